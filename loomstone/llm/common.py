@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +44,17 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # Shuffle files go when the driver's JVM finds their plans unused: ask for that now, not when memory is short.
+    forget_plans(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_plans(spark: SparkSession) -> None:
+    """Let the context cleaner drop shuffle files and broadcasts of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -49,3 +62,31 @@ def text_or_empty(col: str | Column = "text") -> Column:
 def as_bytes(col: str | Column = "text") -> Column:
     """UTF-8 of the text: Python splits and lower-cases ASCII in bytes without decoding."""
     return text_or_empty(col).cast("binary")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, inside a lambda as well."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once an application: they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="loomstone-")) / "loomstone_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """mapInArrow whose function may use this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import text_or_empty
+from loomstone.llm.common import map_arrow, text_or_empty
 
 SAMPLE = 4000
 BUCKETS = 1 << 12
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["p", "n"])
 
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
-    counted = texts.select("t").mapInArrow(votes, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
+    counted = texts.select("t").transform(map_arrow, votes, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
     posterior = fit_labellers({r.p: r.n for r in counted.orderBy("p").collect()})
     # The order is by hash first, so the texts of only ``sample`` rows are kept by any task.
     order = texts.select("t", F.xxhash64("doc_id", "t").alias("k")).orderBy("k", "t").limit(sample)
@@ -213,7 +213,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.string()), pa.array(p, pa.float64()), pa.array(s, pa.float64())], names=["doc_id", "votes", "posterior", "score"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t"))
-    scored = texts.mapInArrow(run, "doc_id long, votes string, posterior double, score double")
+    scored = texts.transform(map_arrow, run, "doc_id long, votes string, posterior double, score double")
     return scored.withColumn("kept", F.col("score") >= reject_below)
 
 
@@ -229,4 +229,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
             good = [rate(*features(t or "")[:3]) >= reject_below for t in b.column(place).to_pylist()]
             yield b.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_arrow, run, docs.schema)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomstone.llm import exact_dedup, ngram_join, packing, quality, secrets
+from loomstone.llm import exact_dedup, licenses, ngram_join, packing, pieces, quality, quality_rules, secrets, toxicity, url_filter
 from loomstone.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +23,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+URL_RULES = ("allow org/", "block example.org/es/", "block example.org/en/1", "allow com/fr/", "block com/de/")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages", "page_id", "url"), [url_filter.rule(x) for x in URL_RULES])
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.index_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -35,17 +47,37 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents", "doc_id", "text", "lang"), read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_join(read(spark, sf_dir, "documents", "doc_id", "text"), width=3, num=90, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, and whether decoding gives the text back."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents", "doc_id", "text"), path), path)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_license_scan": op2_license_scan,
+    "op3_url_filter": op3_url_filter,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_packing": op6_packing,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {

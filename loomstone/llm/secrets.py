@@ -17,12 +17,10 @@ counted over all documents and has at most 5 x 8 x 41 rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import text_or_empty
+from loomstone.llm.common import let, text_or_empty
 
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -123,11 +121,6 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.lit(1.5976) * z + F.lit(0.070566) * z * z * z))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, inside a lambda as well."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def battery(x: Column, size: Column) -> Column:
     """3 x the smallest p-value of the tests, at most 1, for symbols ``x`` of an alphabet of ``size``."""
     n = F.size(x).cast("double")
