@@ -34,12 +34,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import as_bytes, store
+from loomstone.llm.common import as_bytes, map_arrow, store
 from loomstone.llm.components import connected_components
 
 SKETCH_BITS = 20
 BLOCK_BITS = 12
-WORDS = 500_000
 
 
 def shingles_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
@@ -50,30 +49,60 @@ def shingles_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
 
 
 class Hasher:
-    """64-bit hashes of a text's distinct shingles. Hashes of at most ``WORDS`` words are held."""
+    """64-bit hashes of a text's distinct shingles, in numpy.
+
+    A word's hash is its stretch of one running sum over the text's bytes, each
+    weighted by a power of an odd number that has an inverse modulo 2**64.
+    """
+
+    _BASE = 0x9E3779B97F4A7C15
+    _BYTES = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
     def __init__(self, width: int) -> None:
         self.width = width
-        self.held: dict[bytes, int] = {}
+        self._grow(1 << 16)
+
+    def _grow(self, n: int) -> None:
+        self.up = self._powers(self._BASE, n)
+        self.down = self._powers(pow(self._BASE, -1, 2**64), n)
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out = np.full(n, base, dtype=np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    def words(self, text: bytes) -> np.ndarray:
+        b = np.frombuffer(text.lower(), dtype=np.uint8)
+        if len(b) > len(self.up):
+            self._grow(2 * len(b))
+        gap = np.ones(len(b) + 2, dtype=bool)
+        gap[1:-1] = self._SPACE[b]
+        at = np.flatnonzero(gap[1:] != gap[:-1])
+        start, end = at[0::2], at[1::2]
+        sums = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum(self._BYTES[b] * self.up[: len(b)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        return h
 
     def __call__(self, text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        if not words:
-            return np.zeros(0, dtype=np.uint64)
-        held = self.held
-        if len(held) > WORDS:
-            held.clear()
-        for w in words:
-            if w not in held:
-                held[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(held.__getitem__, words), dtype=np.uint64, count=len(words))
-        n = min(self.width, len(words))
+        h = self.words(text)
+        if not len(h):
+            return h
+        n = min(self.width, len(h))
         out = np.full(len(h) - n + 1, n, dtype=np.uint64)
         for i in range(n):
             out ^= h[i : len(h) - n + 1 + i]
-            out *= np.uint64(0x9E3779B97F4A7C15)
+            out *= np.uint64(self._BASE)
             out ^= out >> np.uint64(29)
-        return np.unique(out)
+        out.sort()
+        new = np.ones(len(out), dtype=bool)
+        np.not_equal(out[1:], out[:-1], out=new[1:])
+        return out[new]
 
 
 def _cells(h: np.ndarray) -> np.ndarray:
@@ -102,19 +131,21 @@ def sketch(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype("<i4").tobytes() for v in total.values()], pa.binary())], names=["k", "part"])
 
-    parts = docs.select(as_bytes(text_col).alias("t")).mapInArrow(count, "k int, part binary")
-    summed = parts.repartition("k").mapInArrow(add, "k int, part binary")
+    parts = docs.select(as_bytes(text_col).alias("t")).transform(map_arrow, count, "k int, part binary")
+    summed = parts.repartition("k").transform(map_arrow, add, "k int, part binary")
     out = np.zeros(1 << SKETCH_BITS, dtype=np.int32)
-    for row in summed.toLocalIterator():
+    # At most 2**(SKETCH_BITS - BLOCK_BITS) rows, four bytes a counter in all.
+    for row in summed.collect():
         out[row.k * size : (row.k + 1) * size] = np.frombuffer(row.part, dtype="<i4")
     return out
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, digest of the set (two longs) and the prefix in order, for each row."""
+    """doc_id, n, digests of the set and of the prefix (two longs each) and the prefix in order, for each row."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(counts)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    # Steps of a 256th of a doubling: sixteen bits sort fast, and any order will do.
+    shared = spark.sparkContext.broadcast((np.log2(1.0 + counts) * 256).astype(np.uint16))
+    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "n", "s1", "s2", "p1", "p2")), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = Hasher(width), shared.value
@@ -123,13 +154,13 @@ def prefixes(docs: DataFrame, counts: np.ndarray, text_col: str, width: int, num
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h = hasher(text.as_py())
                 n = len(h)
-                digest = xxhash.xxh3_128_digest(h.tobytes())
-                first = h[np.lexsort((h, seen[_cells(h)]))[: n - -(-n * num // den) + 1]] if n else h
-                rows.append((doc_id, n, *np.frombuffer(digest, dtype="<i8").tolist(), first.view(np.int64)))
+                first = h[np.argsort(seen[_cells(h)], kind="stable")[: n - -(-n * num // den) + 1]] if n else h
+                digests = xxhash.xxh3_128_digest(h.tobytes()) + xxhash.xxh3_128_digest(first.tobytes())
+                rows.append((doc_id, n, *np.frombuffer(digests, dtype="<i8").tolist(), first.view(np.int64)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.select("doc_id", as_bytes(text_col).alias("t")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix array<long>")
+    return docs.select("doc_id", as_bytes(text_col).alias("t")).transform(map_arrow, run, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
 
 
 def possible(num: int, den: int) -> Column:
@@ -160,7 +191,7 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -
 
     left = texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").transform(map_arrow, run, "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -176,18 +207,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = store(prefixes(docs, sketch(docs, "text", width), "text", width, num, den), "join-sets")
-    classes = (
-        sets.where("n > 0 and doc_id is not null")
-        .groupBy("s1", "s2", "n")
-        .agg(F.min("doc_id").alias("class_id"), F.min(F.struct("doc_id", "prefix")).alias("first"))
-        .select("s1", "s2", "n", "class_id", F.col("first.prefix").alias("prefix"))
-    )
-    classes = store(classes, "join-classes")
-    groups = classes.groupBy("n", "prefix").agg(F.min("class_id").alias("g"))
-    grouped = classes.join(groups, ["n", "prefix"])
-    members = store(grouped.select("g", "class_id", "n"), "join-members")
-    lists = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    lists = store(lists, "join-lists")
+    filled = sets.where("n > 0 and doc_id is not null")
+    classes = store(filled.groupBy("s1", "s2", "n", "p1", "p2").agg(F.min("doc_id").alias("class_id")), "join-classes")
+    groups = classes.groupBy("n", "p1", "p2").agg(F.min("class_id").alias("g"))
+    members = store(classes.join(groups, ["n", "p1", "p2"]).select("g", "class_id", "n"), "join-members")
+    # Rows of one id have one text; where they don't, the smallest set stands for them.
+    heads = filled.join(members.select("g").distinct(), F.col("doc_id") == F.col("g"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("n", "prefix")).alias("x"))
+    heads = store(heads.select(F.col("doc_id").alias("g"), F.col("x.n").cast("int").alias("n"), F.col("x.prefix").alias("prefix")), "join-heads")
+    lists = heads.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
 
     hub = lists.groupBy("token").agg(F.min(F.struct("pos", F.col("g").alias("g2"), F.col("n").alias("n2"))).alias("hub"), F.count("*").alias("groups"))
     hubs = hub.where("groups > 1").select("token", F.col("hub.pos").alias("pos2"), F.col("hub.g2").alias("g2"), F.col("hub.n2").alias("n2"))
@@ -229,7 +256,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = classes.join(labels, classes["class_id"] == labels["node"], "left").drop("node")
     named = named.join(ends, classes["class_id"] == ends["node"], "left")
     named = named.select("s1", "s2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sets.join(named, ["s1", "s2", "n"], "left")
+    out = sets.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     has = F.col("doc_id").isNotNull()
     return out.select(
         "doc_id",
