@@ -205,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = [readers[f](t) for t, f in zip(text, fold, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(fold, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["y", "fold", "x"])
 
-    measured = sorted((tuple(r.x), r.y, r.fold) for r in texts.transform(map_arrow, measure, "y int, fold int, x array<double>").toLocalIterator())
+    measured = sorted((tuple(r.x), r.y, r.fold) for r in texts.transform(map_arrow, measure, "y int, fold int, x array<double>").collect())
     x = np.array([m[0] for m in measured], dtype=float).reshape(len(measured), N_FEATURES)
     y, fold = np.array([m[1] for m in measured], dtype=float), np.array([m[2] for m in measured], dtype=int)
     apart = np.zeros(len(y))
