@@ -17,7 +17,9 @@ task packs the same rows again into the same sequences.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import text_or_empty
+from loomstone.llm.common import map_arrow, text_or_empty
 
 BLOCK = 1024
 END_ID = 2
@@ -41,36 +43,76 @@ class Limits:
     loss: int = 4096
 
 
-class WordCache:
-    """Token ids of a text, as bytes, by looking up its space-separated runs.
+#: What keeps a Latin-1 text from the short way: control characters, odd white space, the soft hyphen, special tokens.
+ODD = re.compile("[\\x00-\\x09\\x0B-\\x1F\\x7F-\\xA0\\xAD]|<\\|")
+_L, _N = "a-z\u00AA\u00B5\u00BA\u00DF-\u00F6\u00F8-\u00FF", "0-9\u00B2\u00B3\u00B9\u00BC-\u00BE"
+#: The tokenizer's pre-tokens, for Latin-1 in lower case.
+PRETOKEN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for letters from 256 up, in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    The tokenizer's normaliser and pre-tokenizer treat each such run on its
-    own, so ids of runs joined are the ids of the text. At most ``CACHE`` runs
-    of up to 64 characters are held.
+
+class WordCache:
+    """Token ids of a text, as bytes, mostly by looking up its pre-tokens.
+
+    In plain Latin-1 the tokenizer's normaliser only lowers the case, so the
+    text is cut into pre-tokens here and each goes to the tokenizer's merge
+    model once. Any other text is cut at spaces and line feeds, which nothing in
+    the tokenizer crosses, and its runs beyond plain Latin-1 go through the whole
+    tokenizer. Pre-tokens of up to 64 characters are held: ``CACHE`` newer ones
+    and as many older ones, from which those in use move up.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode_batch
-        self.held: dict[str, bytes] = {"": b""}
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.merge = tokenizer.encode_batch, tokenizer.model.tokenize
+        self.letters = byte_letters()
+        self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def plain(text: str) -> bool:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return not ODD.search(text)
+
+    def _coded(self, w: str) -> bytes:
+        out = self.older.get(w)
+        if out is None:
+            coded = w if w.isascii() else w.encode().decode("latin-1").translate(self.letters)
+            out = array("I", [t.id for t in self.merge(coded)]).tobytes()
+        if len(w) <= 64:
+            self.held[w] = out
+        return out
+
+    def _plain_ids(self, text: str) -> bytes:
+        if len(self.held) > CACHE:
+            self.held, self.older = {}, self.held
+        words = PRETOKEN.findall(text.lower())
+        found = list(map(self.held.get, words))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    found[i] = self.held.get(words[i]) or self._coded(words[i])
+        return b"".join(found)
 
     def ids(self, text: str) -> bytes:
+        if self.plain(text):
+            return self._plain_ids(text)
         runs = text.replace("\n", " ").split(" ")
-        held = self.held
-        missing = [x for x in dict.fromkeys(runs) if x not in held]
-        if missing:
-            if len(held) > CACHE:
-                held.clear()
-                held[""] = b""
-                missing = [x for x in dict.fromkeys(runs) if x]
-            coded = self.encode(missing, add_special_tokens=False)
-            new = {x: np.array(c.ids, dtype="<u4").tobytes() for x, c in zip(missing, coded, strict=True)}
-            held.update((x, b) for x, b in new.items() if len(x) <= 64)
-            if any(len(x) > 64 for x in missing):
-                return b"".join([held[x] if x in held else new[x] for x in runs])
-        return b"".join([held[x] for x in runs])
+        others = [x for x in dict.fromkeys(runs) if not self.plain(x)]
+        coded = {x: array("I", c.ids).tobytes() for x, c in zip(others, self.encode(others, add_special_tokens=False), strict=True)}
+        return b"".join([coded[x] if x in coded else self._plain_ids(x) for x in runs])
 
 
 class Packer:
@@ -214,4 +256,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         if out:
             yield batch(out)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).transform(map_arrow, run, SCHEMA)
