@@ -1,5 +1,7 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = None
+from loomstone.plans import queries
+
+QUERIES = queries.QUERIES
+ORACLES = queries.ORACLES
+FLAGSHIP = queries.retrieve_context

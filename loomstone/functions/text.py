@@ -123,7 +123,7 @@ def slot_values(seed: Column) -> dict[tuple[str, str | None], Column]:
 
 def _put(text: Column, name: str, value: Column) -> Column:
     """Every occurrence of a slot replaced by a value taken as it is."""
-    return F.array_join(F.split(text, slot(name)), value) if False else F.regexp_replace(text, F.lit(slot(name)), F.regexp_replace(value, r"([\\$])", r"\\$1"))
+    return F.regexp_replace(text, F.lit(slot(name)), F.regexp_replace(value, r"([\\$])", r"\\$1"))
 
 
 def clean_pair(instruction: Column, response: Column, seed: Column | None = None) -> tuple[Column, Column]:
@@ -148,9 +148,9 @@ def clean_pair(instruction: Column, response: Column, seed: Column | None = None
             value = values[g, field]
             if neutral:
                 value = F.coalesce(account, F.lit(fixed.NEUTRAL_PHRASES[g])) if g == "account" else F.when(said[g], value).otherwise(fixed.NEUTRAL_PHRASES[g])
-            text = F.when(text.contains("{{"), _put(text, name, value)).otherwise(text)
+            text = _put(text, name, value)
         for name, phrase in fixed.GENERIC_PHRASES.items():
-            text = F.when(text.contains("{{"), F.regexp_replace(text, slot(name), phrase)).otherwise(text)
+            text = F.regexp_replace(text, slot(name), phrase)
         return reveal_slots(text)
 
     asked = F.transform(F.array(instruction), lambda t: one_pass(t, False))
@@ -158,7 +158,8 @@ def clean_pair(instruction: Column, response: Column, seed: Column | None = None
     given = response
     for g, pattern, phrase in fixed.NEUTRAL_REWRITES:
         silent = ~said[g] if g != "account" else account.isNull()
-        given = F.when(silent, F.regexp_replace(given, "(?i)" + pattern, phrase)).otherwise(given)
+        # A pattern that can't match stands for "leave it": the text occurs once in the expression.
+        given = F.regexp_replace(given, F.when(silent, F.lit("(?i)" + pattern)).otherwise(F.lit("(?!)")), F.lit(phrase))
     given = F.transform(F.array(given), lambda t: one_pass(t, True))
     given = F.element_at(F.transform(given, lambda t: one_pass(t, True)), 1)
     return asked, dedup_words(given)

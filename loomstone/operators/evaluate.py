@@ -2,48 +2,50 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from loomstone.functions.text import let
+from loomstone.shipping import map_arrow, ship
 from loomstone.sources import sinks
 
 
-def tokens(text: Column, limit: int | None = None) -> Column:
-    """Runs of ASCII letters and digits in lower case, the first ``limit`` where one is given."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    return found if limit is None else F.slice(found, 1, limit)
+def lcs_length(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, a machine word of ``b`` at a time: bits that fall to 0 are matches."""
+    places: dict[str, int] = {}
+    for i, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << i
+    full = state = (1 << len(b)) - 1
+    for x in a:
+        hit = state & places.get(x, 0)
+        state = ((state + hit) | (state - hit)) & full
+    return len(b) - state.bit_count()
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays: one row of the table is held at a time."""
+def with_rouge_l(rows: DataFrame, prediction: str = "prediction", reference: str = "response", out: str = "rouge_l") -> DataFrame:
+    """Rows with the F1 of the longest common subsequence of two texts' tokens (0 where nothing is common).
 
-    def row(previous: Column, x: Column) -> Column:
-        start = F.struct(F.array(F.lit(0)).alias("row"), F.lit(0).alias("left"))
-        indexed = F.transform(b, lambda y, j: F.struct(y.alias("y"), j.alias("j")))
-
-        def cell(acc: Column, v: Column) -> Column:
-            corner, up = F.element_at(previous, v["j"] + 1), F.element_at(previous, v["j"] + 2)
-            value = F.when(v["y"] == x, corner + 1).otherwise(F.greatest(up, acc["left"]))
-            return F.struct(F.concat(acc["row"], F.array(value)).alias("row"), value.alias("left"))
-
-        return F.aggregate(indexed, start, cell, lambda acc: acc["row"])
-
-    zeros = F.transform(F.sequence(F.lit(0), F.size(b)), lambda _: F.lit(0))
-    return F.element_at(F.aggregate(a, zeros, row), -1)
-
-
-def rouge_l(prediction: Column, reference: Column, limit: int | None = None) -> Column:
-    """F1 of the longest common subsequence of tokens; 0 where nothing is common."""
-    both = F.struct(tokens(prediction, limit).alias("p"), tokens(reference, limit).alias("r"))
+    Tokens are runs of ASCII letters and digits in lower case; null counts as empty.
+    """
+    names = [*rows.columns, out]
 
-    def f1(t: Column) -> Column:
-        return let(lcs_length(t["p"], t["r"]), lambda n: F.when(n > 0, 2.0 * n / (F.size(t["p"]) + F.size(t["r"]))).otherwise(F.lit(0.0)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = re.compile("[a-z0-9]+")
+        for b in batches:
+            pairs = zip(*(b.column(names.index(c)).to_pylist() for c in (prediction, reference)), strict=True)
+            scores = []
+            for p, r in pairs:
+                x, y = cut.findall((p or "").lower()), cut.findall((r or "").lower())
+                n = lcs_length(x, y)
+                scores.append(2.0 * n / (len(x) + len(y)) if n else 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=names)
 
-    return let(both, f1)
+    return map_arrow(rows, run, StructType([*rows.schema.fields, StructField(out, DoubleType())]))
 
 
 def score_with(rows: DataFrame, model: Callable[[pd.DataFrame], pd.Series], out: str = "prediction", kind: str = "string") -> DataFrame:
@@ -53,14 +55,15 @@ def score_with(rows: DataFrame, model: Callable[[pd.DataFrame], pd.Series], out:
         for b in batches:
             yield b.assign(**{out: model(b)})
 
+    ship(rows.sparkSession)
     return rows.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in [*rows.dtypes, (out, kind)]))
 
 
 def evaluate(test: DataFrame, model: Callable[[pd.DataFrame], pd.Series], samples: int, order: str = "id", reference: str = "response") -> float:
     """Mean ROUGE-L of a model over the first ``samples`` test rows by ``order``."""
     rows = test.orderBy(order).limit(samples)
-    scored = score_with(rows, model).select(rouge_l(F.col("prediction"), F.col(reference)).alias("s"))
-    return float(scored.agg(F.coalesce(F.avg("s"), F.lit(0.0))).first()[0])
+    scored = with_rouge_l(score_with(rows, model), "prediction", reference)
+    return float(scored.agg(F.coalesce(F.avg("rouge_l"), F.lit(0.0))).first()[0])
 
 
 def answer_conversation(cases: DataFrame, answer: Callable[[dict, list[dict]], str], key: str = "chat", order: str = "id") -> DataFrame:

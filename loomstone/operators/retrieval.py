@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.shipping import map_arrow
+
 #: Queries of a pass at most; a batch beyond it runs in several passes.
 BLOCK = 4096
 
@@ -81,7 +83,7 @@ def _pass(held: list, stored: DataFrame, k: int, same: bool) -> DataFrame:
             cols = np.repeat(own, n), np.concatenate([c for _, c in kept]), np.concatenate([s for s, _ in kept])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "chunk_id", "similarity"])
 
-    return stored.mapInArrow(run, "query_id long, chunk_id long, similarity double")
+    return stored.transform(map_arrow, run, "query_id long, chunk_id long, similarity double")
 
 
 def assemble(ranked: DataFrame, texts: DataFrame, sep: str = "\n---\n") -> DataFrame:
@@ -153,7 +155,7 @@ def recursive_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, id_c
                 yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(numbers, pa.int32()), pa.array(chunks)], names=["id", "chunk_no", "chunk"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, chunk_no int, chunk string")
+    return docs.select(id_col, text_col).transform(map_arrow, run, f"id {kind}, chunk_no int, chunk string")
 
 
 def build_index(docs: DataFrame, embed, size: int = 1000, overlap: int = 200, path: str | None = None) -> DataFrame:

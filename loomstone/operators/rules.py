@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def check(answer: Column, must: Column, must_not: Column) -> Column:
     """Failures of an answer: groups of patterns of which none matches, then forbidden patterns that match. Case doesn't count."""
     text = F.coalesce(answer, F.lit(""))
-    hit = lambda p: text.rlike(F.concat(F.lit("(?iU)"), p))
+    hit = lambda p: F.rlike(text, F.concat(F.lit("(?iU)"), p))
     missing = F.transform(F.filter(F.coalesce(must, F.array().cast("array<array<string>>")), lambda g: ~F.exists(g, hit)), lambda g: F.concat(F.lit("missing: "), F.array_join(g, " | ")))
     forbidden = F.transform(F.filter(F.coalesce(must_not, F.array().cast("array<string>")), hit), lambda p: F.concat(F.lit("forbidden: "), p))
     return F.concat(missing, forbidden)
@@ -36,7 +36,7 @@ def first_match_join(rows: DataFrame, rules: DataFrame, text: str, key: str) ->
     Spark sends them to the rows if they are small enough. Literal rules are
     better stated as one CASE expression (functions.facts.first_match).
     """
-    hits = rows.select(key, text).join(rules, F.col(text).rlike(F.concat(F.lit("(?iU)"), F.col("pattern"))))
+    hits = rows.select(key, text).join(rules, F.rlike(F.col(text), F.concat(F.lit("(?iU)"), F.col("pattern"))))
     best = hits.groupBy(key).agg(F.min_by("value", "priority").alias("value"))
     return rows.join(best, key, "left")
 

@@ -8,7 +8,7 @@ retrieval miss, context gap, specific, follow-up, topic switch.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import facts, fixed
@@ -144,6 +144,12 @@ def follow_ups(subjects: DataFrame, first: str, then: list[str], title: str, sec
     return _rows(rows.withColumn("context", sections.grounded(F.array(F.lit(title)), F.col("_k"))), "follow_up", F.lit(title))
 
 
+def pick_others(pairs: DataFrame, key: str, alike: str, other: Column, k: int, seed: int) -> DataFrame:
+    """At most k partners of each key, look-alikes first, then by the digest of both."""
+    w = Window.partitionBy(key).orderBy(F.col(alike).desc(), "_d")
+    return pairs.withColumn("_d", draws.digest(seed, F.col(key), other)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_d", "_r")
+
+
 def topic_switches(pool: DataFrame, sections: Sections, n: int = SIZES["switches"]) -> DataFrame:
     """n rows of the pool after one or two earlier exchanges on other intents, of a look-alike section where there is one.
 
