@@ -5,14 +5,15 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-import zipfile
-from collections.abc import Callable, Iterator
-from pathlib import Path
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.shipping import map_arrow
+
+__all__ = ["SPACE_CLASS", "as_bytes", "drawn_share", "forget_plans", "fresh", "let", "map_arrow", "read", "shared_dir", "store", "text_or_empty"]
+
 #: Characters that separate words in most contracts: space, tab, LF, VT, FF, CR.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
@@ -69,24 +70,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once an application: they need not have it installed."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp(prefix="loomstone-")) / "loomstone_package.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    context.addPyFile(str(path))
-    _shipped.add(context.applicationId)
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
-    """mapInArrow whose function may use this package."""
-    ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+def drawn_share(key: Column, n: int, total: int) -> Column:
+    """Condition that about 1.2 n of ``total`` rows meet, by their hash, so that a sample of n sorts few rows a task."""
+    share = min(1.0, (1.2 * n + 50) / max(1, total))
+    return F.pmod(key, F.lit(1 << 32)) <= int(share * (1 << 32))

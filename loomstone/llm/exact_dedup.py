@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import SPACE_CLASS, store, text_or_empty
+from loomstone.llm.common import SPACE_CLASS, fresh, store, text_or_empty
 
 CAPACITY = 2048
 MAX_DEPTH = 12
@@ -100,8 +100,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that agree in id and text (repeated rows) one stays.
     """
-    kept = index_documents(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    rows = docs.withColumn("_key", sha)
-    rows = rows.join(kept, (rows["_key"] == kept["_sha"]) & rows[id_col].eqNullSafe(kept["_id"]), "left_semi")
-    return rows.dropDuplicates([id_col, "_key"]).drop("_key")
+    name, key = fresh(docs, "_id"), fresh(docs, "_key")
+    kept = index_documents(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias("_sha"))
+    rows = docs.withColumn(key, F.sha2(normalised(F.col(text_col)), 256))
+    rows = rows.join(kept, (rows[key] == kept["_sha"]) & rows[id_col].eqNullSafe(kept[name]), "left_semi")
+    return rows.dropDuplicates([id_col, key]).drop(key)

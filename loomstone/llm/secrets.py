@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import let, text_or_empty
+from loomstone.llm.common import fresh, let, text_or_empty
 
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -224,8 +224,8 @@ def cutoffs(found: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], int]:
     return out
 
 
-def scan(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> DataFrame:
-    """``docs`` with two more columns: _base and _spans, ordered arrays of struct<s, r, e, kind>.
+def scan(docs: DataFrame, text_col: str = "text", fdr: float = FDR, base_col: str = "_base", spans_col: str = "_spans") -> DataFrame:
+    """``docs`` with two more columns, base spans and all spans: ordered arrays of struct<s, r, e, kind>.
 
     Null text is empty. A run that overlaps a base span adds nothing. Rows are
     scanned one by one: nulls and repeats in other columns don't matter, and an
@@ -235,7 +235,7 @@ def scan(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> DataFrame
     text = text_or_empty(text_col)
     found = docs.select(text.alias("text")).where(F.col("text").rlike(RUN)).select(F.explode(candidates(F.col("text"))).alias("x")).select("x.*")
     cuts = cutoffs(found, fdr)
-    rows = docs.withColumn("_base", base_spans(text))
+    rows = docs.withColumn(base_col, base_spans(text))
 
     def passes(x: Column) -> Column:
         out = F.lit(False)
@@ -244,7 +244,7 @@ def scan(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> DataFrame
         return out
 
     def apart(x: Column) -> Column:
-        return ~F.exists("_base", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+        return ~F.exists(base_col, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
 
     none = F.array().cast("array<struct<s:int,e:int,kind:string,body:string>>")
     if cuts:
@@ -252,7 +252,7 @@ def scan(docs: DataFrame, text_col: str = "text", fdr: float = FDR) -> DataFrame
         added = F.when(text.rlike(RUN), F.transform(passed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("random").alias("kind"), F.lit("").alias("body")))).otherwise(none)
     else:
         added = none
-    return rows.withColumn("_spans", in_order(F.concat("_base", added))).withColumn("_base", in_order(F.col("_base")))
+    return rows.withColumn(spans_col, in_order(F.concat(base_col, added))).withColumn(base_col, in_order(F.col(base_col)))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
@@ -271,7 +271,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
     """``docs`` with every span (overlapping ones merged) of the text replaced by ``mark``; null text stays null."""
-    found = scan(docs, text_col, fdr)
+    base, spans = fresh(docs, "_base"), fresh(docs, "_spans")
+    found = scan(docs, text_col, fdr, base, spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col(text_col)
 
@@ -279,5 +280,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", fdr:
         gap = F.when(x["s"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, done).otherwise(text)).drop("_base", "_spans")
+    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).drop(base, spans)

@@ -8,6 +8,7 @@ lexical features, and they judge the urls that no rule fits.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -18,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import trees
-from loomstone.llm.common import map_arrow
+from loomstone.llm.common import drawn_share, map_arrow
 
 SAMPLE = 20_000
 BLOCK_AT = 0.5
+FOLDS = 5
 _LOWER = str.maketrans({i: i + 32 for i in range(65, 91)})
 
 
@@ -106,26 +108,29 @@ def features(url: str | None, host: str, path: str, known: Suffixes) -> list[flo
     ]
 
 
-def train(rows: list[tuple[str | None, str, str, int]], known: Suffixes | None = None) -> tuple[Suffixes, trees.Boosted]:
+def train(rows: list[tuple[str | None, str, str, int]]) -> tuple[Suffixes, trees.Boosted]:
     """Suffix statistics and trees from labelled urls (url, host, path, 1 for blocked).
 
-    The statistics of a row leave out the row itself, so that the trees see on
-    known suffixes what they would on new urls.
+    A row's statistics come from the other folds of urls, so that they tell
+    nothing of its own label and look as they would for a new url.
     """
     y = np.array([r[3] for r in rows], dtype=float)
     mean = float(y.mean()) if len(y) else 0.5
-    total: Counter = Counter()
-    blocked: Counter = Counter()
-    for _, host, path, label in rows:
-        for k in parts(host, path):
-            total[k] += 1
-            blocked[k] += label
-    known = Suffixes({k: (blocked[k] + 2 * mean) / (n + 2) for k, n in total.items() if n >= 5}, mean)
-    x = []
-    for url, host, path, label in rows:
-        own = {k: (blocked[k] - label + 2 * mean) / (total[k] + 1) for k in parts(host, path) if total[k] >= 5}
-        x.append(features(url, host, path, Suffixes(own, mean)))
-    return known, trees.fit(np.array(x, dtype=float).reshape(len(rows), -1), y)
+    fold = [zlib.crc32((r[0] or "").encode()) % FOLDS for r in rows]
+
+    def learn(left_out: int | None) -> Suffixes:
+        total: Counter = Counter()
+        blocked: Counter = Counter()
+        for f, (_, host, path, label) in zip(fold, rows, strict=True):
+            if f != left_out:
+                for k in parts(host, path):
+                    total[k] += 1
+                    blocked[k] += label
+        return Suffixes({k: (blocked[k] + 2 * mean) / (n + 2) for k, n in total.items() if n >= 5}, mean)
+
+    others = [learn(f) for f in range(FOLDS)]
+    x = [features(url, host, path, others[f]) for f, (url, host, path, _) in zip(fold, rows, strict=True)]
+    return learn(None), trees.fit(np.array(x, dtype=float) if rows else np.zeros((0, 1)), y)
 
 
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, score double"
@@ -147,7 +152,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
             keep = [(u, found.verdict == "block") for u in b.column(0).to_pylist() if (found := known.fitting(*parse(u)))]
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in keep], pa.string()), pa.array([v for _, v in keep], pa.bool_())], names=["url", "bad"])
 
-    drawn = urls.select("url").transform(map_arrow, labelled, "url string, bad boolean").orderBy(F.xxhash64("url"), "url").limit(sample)
+    marked = urls.select("url").transform(map_arrow, labelled, "url string, bad boolean")
+    key = F.xxhash64("url")
+    drawn = marked.where(drawn_share(key, sample, marked.count())).orderBy(key, "url").limit(sample)
     rows = [(r.url, *parse(r.url), int(r.bad)) for r in drawn.collect()]
     model = pages.sparkSession.sparkContext.broadcast(train(rows))
 
