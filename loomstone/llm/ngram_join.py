@@ -270,6 +270,5 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` whose id is its component's smallest; rows without id stay."""
     joined = jaccard_join(docs, id_col, text_col, **how)
-    gone = joined.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
-
+    gone = joined.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import map_arrow, text_or_empty
+from loomstone.llm.common import drawn_share, map_arrow, text_or_empty
 
 SAMPLE = 4000
 BUCKETS = 1 << 12
@@ -180,10 +180,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
     counted = texts.select("t").transform(map_arrow, votes, "p string, n long").groupBy("p").agg(F.sum("n").alias("n"))
-    posterior = fit_labellers({r.p: r.n for r in counted.orderBy("p").collect()})
-    # The order is by hash first, so the texts of only ``sample`` rows are kept by any task.
-    order = texts.select("t", F.xxhash64("doc_id", "t").alias("k")).orderBy("k", "t").limit(sample)
-    drawn = [r.t for r in order.toLocalIterator()]
+    patterns = {r.p: r.n for r in counted.orderBy("p").collect()}
+    posterior = fit_labellers(patterns)
+    order = texts.select("t", F.xxhash64("doc_id", "t").alias("k")).where(drawn_share(F.col("k"), sample, sum(patterns.values())))
+    drawn = [r.t for r in order.orderBy("k", "t").limit(sample).toLocalIterator()]
     target = np.array([posterior.get(pattern(shape(t), len(t.split())), PRIOR_GOOD) for t in drawn])
     return posterior, train(drawn, target)
 

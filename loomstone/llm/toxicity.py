@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import trees
-from loomstone.llm.common import map_arrow, store, text_or_empty
+from loomstone.llm.common import drawn_share, map_arrow, store, text_or_empty
 
 SAMPLE = 8000
 ENTRIES = 3000
@@ -169,7 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Learn from labelled rows that are not held out; a row counts once per text and label."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("y"))
-    drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    key = F.xxhash64("doc_id")
+    drawn = known.where(drawn_share(key, sample, known.count())).orderBy(key, "doc_id").limit(sample)
     # ``drawn`` has at most ``sample`` rows of an id and a label.
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(drawn), "doc_id")
     texts = texts.dropDuplicates(["text", "y"]).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
