@@ -32,7 +32,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from loomstone.llm.common import map_arrow, text_or_empty
 
 MARK = "▁"
-HELD = 400_000
+HELD = 100_000
+PAIRS = 400_000
+#: Rows coded at a time, which bounds what a worker holds beside its input.
+STEP = 256
 UNKNOWN_PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
 
@@ -147,7 +150,7 @@ class Codec:
 
     def _stay(self, a: int, b: int) -> bool:
         """Whether piece b stays apart from piece a before it (-1: none, or a character without a piece)."""
-        if len(self.apart) > 1_000_000:
+        if len(self.apart) > PAIRS:
             self.apart.clear()
         left, right = self.words[a] if a >= 0 else "", self.words[b]
         found = self.apart[a * self.size + b] = self.merged(left + right) == ([left, right] if left else [right])
@@ -250,15 +253,24 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, text and ids. Null text is empty and has no ids; repeats are coded row by row."""
+    """One row per row of ``docs``: doc_id, ids, and round_trip: whether the ids decode to the text.
+
+    Null text is empty and has no ids; repeats and null ids are coded row by
+    row, an empty table gives no rows. A text that holds the space mark itself
+    decodes to a space there, as the format has it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for b in batches:
-            ids = [c.encode(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(ids)], names=["doc_id", "text", "ids"])
+            for i in range(0, b.num_rows, STEP):
+                texts = b.column(1).slice(i, STEP).to_pylist()
+                ids = [c.encode(t) for t in texts]
+                same = [c.decode(x) == t for x, t in zip(ids, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, STEP), _lists(ids), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).transform(map_arrow, run, "doc_id long, text string, ids array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return rows.transform(map_arrow, run, "doc_id long, ids array<int>, round_trip boolean")
 
 
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
@@ -268,7 +280,7 @@ def decode(coded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for b in batches:
-            texts = [None if x.as_py() is None else c.decode(x.values.to_numpy()) for x in b.column(names.index(ids_col))]
+            texts = [c.decode(x.values.to_numpy()) if x.is_valid else None for x in b.column(names.index(ids_col))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
     return coded.select(*names[:-1]).transform(map_arrow, run, StructType([*coded.schema.fields, StructField("decoded", StringType())]))

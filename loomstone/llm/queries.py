@@ -62,9 +62,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding gives the text back."""
-    path = tokenizer_path("piece_bpe_32k.model")
-    coded = pieces.decode(pieces.encode(read(spark, sf_dir, "documents", "doc_id", "text"), path), path)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.col("text")).alias("round_trip"))
+    coded = pieces.encode(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -88,12 +87,12 @@ ORACLES: dict[str, str] = {
     """,
     "op9_ngram_jaccard_join": r"""
         WITH RECURSIVE w AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
             FROM documents
         ),
         s AS (
             SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 3
-                THEN list_transform(range(1, len(words) - 1), i -> words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
+                THEN list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])
                 WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle
             FROM w
         ),
