@@ -28,9 +28,9 @@ def split_by_question(rows: DataFrame, test_size: int, seed: int, question: str
     rest = keyed.join(held, keyed["_key"] == held["key"], "left_anti")
     if history in rows.columns:
         asked = F.transform(F.filter(history, lambda m: m["role"] == "user"), lambda m: question_key(m["content"]))
-        told = held.agg(F.collect_set("key").alias("_held"))
-        # One row of at most ``test_size`` keys beside each training row: no explode, no second shuffle of histories.
-        rest = rest.join(F.broadcast(told)).where(~F.coalesce(F.arrays_overlap(asked, F.col("_held")), F.lit(False))).drop("_held")
+        # A scalar subquery of at most ``test_size`` keys: no explode, no join and no shuffle of histories.
+        told = held.agg(F.collect_set("key")).scalar()
+        rest = rest.where(~F.coalesce(F.arrays_overlap(asked, told), F.lit(False)))
     return rest.drop("_key"), test
 
 
