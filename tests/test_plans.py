@@ -191,3 +191,21 @@ def test_conversation_answers_see_the_chat(spark):
     cases = spark.createDataFrame([("c", 2, "b", None), ("c", 1, "a", None), ("c", 3, "d", [("user", "own")])], f"chat string, id int, q string, history {TURNS}")
     got = evaluate.answer_conversation(cases, lambda case, chat: f"{case['q']}{len(chat)}").collect()
     assert {r.id: r.answer for r in got} == {1: "a0", 2: "b2", 3: "d1"}
+
+
+def test_generators_have_the_rows_their_lists_give(spark):
+    from loomstone.functions import facts
+    from loomstone.plans.generators import Generators
+
+    rows = Generators(spark).all()
+    count = {r.intent: r["count"] for r in rows.groupBy("intent").count().collect()}
+    assert count == {
+        "inspection_price_specific": 26 * 2 + 17 * 2 + 2, "sifm_fee_specific": 26 + 18 * 2 + 2, "sifm_commission": 9 * 2 + 8, "featured_price_specific": 6 + 2,
+        "city_eligibility": 22 + 15, "transfer_city": 3 * 3 + 7, "sifm_model_year": 9 + 3, "auction_fee_unknown": 5,
+    }
+    assert rows.select("instruction").distinct().count() == sum(count.values())
+    # each answer is what reading the question gives
+    told = F.array_join(F.transform(facts.detect(F.col("instruction")), lambda f: f["text"]), " ")
+    wrong = rows.withColumn("told", told).where(~F.contains("told", "response")).collect()
+    # a month reads as 28 days, whose sentence then replaces the month's
+    assert not [(r.instruction, r.response, r.told) for r in wrong if "month" not in r.instruction] and len(wrong) == 1
