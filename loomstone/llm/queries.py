@@ -79,7 +79,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
+_RULE_RISK = quality_rules.RISK / len(quality_rules.GRIDS)
+_GRID = ", ".join(f"('{rule}', {r}, {i}, {c})" for r, (rule, grid) in enumerate(quality_rules.GRIDS.items()) for i, c in enumerate(grid))
+_RATES = {
+    "symbol_rate": "n_symbols / greatest(n_words, 1)",
+    "upper_rate": "n_upper / greatest(word_chars, 1)",
+    "dup_line_rate": "n_dup_lines / greatest(n_lines, 1)",
+    "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
+    "mean_word": "word_chars / greatest(n_words, 1)",
+}
+
 ORACLES: dict[str, str] = {
+    "op8_quality_rules": rf"""
+        WITH t AS (
+            SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
+                list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+            FROM documents
+        ),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 6, 1))) AS i FROM t)),
+        rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+        cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, (SELECT unnest(range(8)) AS o) GROUP BY doc_id),
+        counts AS (
+            SELECT doc_id, stratum, len(ws)::BIGINT AS n_words, length(array_to_string(ws, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+                (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS n_upper
+            FROM t LEFT JOIN cov USING (doc_id)
+        ),
+        rates AS ({" UNION ALL ".join(f"SELECT doc_id, stratum, '{rule}' AS rule, {rate} AS v FROM counts" for rule, rate in _RATES.items())}),
+        good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
+        k AS (
+            SELECT stratum, rule, idx, c, count(*) AS n, count_if(v > c) AS k FROM rates JOIN good USING (doc_id)
+            JOIN (VALUES {_GRID}) AS grid(rule, ord, idx, c) USING (rule) GROUP BY ALL
+        ),
+        level AS (SELECT {quality_rules.CONFIDENCE_LOSS} / (greatest(count(DISTINCT stratum), 1) * {len(quality_rules.GRIDS)}) AS level FROM k),
+        tested AS (
+            SELECT *, CASE WHEN k >= n * {_RULE_RISK} THEN 1.0 ELSE list_sum(list_transform(range(k::BIGINT + 1), lambda i:
+                exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RULE_RISK}) + (n - i) * ln(1 - {_RULE_RISK})))) END <= level AS ok FROM k, level
+        ),
+        cut AS (SELECT stratum, rule, arg_max(c, idx) AS c FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY idx) AS passed FROM tested) WHERE passed GROUP BY ALL),
+        hit AS (
+            SELECT doc_id, string_agg(rule, ',' ORDER BY ord) AS rejected_by FROM rates JOIN cut USING (stratum, rule)
+            JOIN (SELECT DISTINCT rule, ord FROM (VALUES {_GRID}) AS grid(rule, ord, idx, c)) USING (rule) WHERE v > c GROUP BY doc_id
+        ),
+        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+        FROM f LEFT JOIN hit USING (doc_id)
+    """,
     "op4_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents),
         g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
