@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomstone.shipping import map_arrow
 
-__all__ = ["SPACE_CLASS", "as_bytes", "drawn_share", "forget_plans", "fresh", "let", "map_arrow", "read", "shared_dir", "store", "text_or_empty"]
+__all__ = ["SPACE_CLASS", "as_bytes", "discard", "drawn_share", "forget_plans", "fresh", "let", "map_arrow", "read", "shared_dir", "store", "text_or_empty"]
 
 #: Characters that separate words in most contracts: space, tab, LF, VT, FF, CR.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -47,7 +47,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     # Shuffle files go when the driver's JVM finds their plans unused: ask for that now, not when memory is short.
     forget_plans(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a stored table that nothing to come reads."""
+    spark = stored.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored._stored_at)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def forget_plans(spark: SparkSession) -> None:

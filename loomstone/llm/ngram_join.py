@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import as_bytes, map_arrow, store
+from loomstone.llm.common import as_bytes, discard, map_arrow, store
 from loomstone.llm.components import connected_components
 
 SKETCH_BITS = 20
@@ -194,6 +194,12 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").transform(map_arrow, run, "a long, b long")
 
 
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, t): the texts of the documents that a pair names, one for each id."""
+    named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return store(docs.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(as_bytes()).alias("t")), "join-texts")
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id and n_links.
 
@@ -206,28 +212,34 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row without id has no class and no component. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = store(prefixes(docs, sketch(docs, "text", width), "text", width, num, den), "join-sets")
+    full = store(prefixes(docs, sketch(docs, "text", width), "text", width, num, den), "join-sets")
+    sets = store(full.drop("prefix"), "join-digests")
     filled = sets.where("n > 0 and doc_id is not null")
     classes = store(filled.groupBy("s1", "s2", "n", "p1", "p2").agg(F.min("doc_id").alias("class_id")), "join-classes")
     groups = classes.groupBy("n", "p1", "p2").agg(F.min("class_id").alias("g"))
     members = store(classes.join(groups, ["n", "p1", "p2"]).select("g", "class_id", "n"), "join-members")
     # Rows of one id have one text; where they don't, the smallest set stands for them.
-    heads = filled.join(members.select("g").distinct(), F.col("doc_id") == F.col("g"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("n", "prefix")).alias("x"))
-    heads = store(heads.select(F.col("doc_id").alias("g"), F.col("x.n").cast("int").alias("n"), F.col("x.prefix").alias("prefix")), "join-heads")
-    lists = heads.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-
-    hub = lists.groupBy("token").agg(F.min(F.struct("pos", F.col("g").alias("g2"), F.col("n").alias("n2"))).alias("hub"), F.count("*").alias("groups"))
-    hubs = hub.where("groups > 1").select("token", F.col("hub.pos").alias("pos2"), F.col("hub.g2").alias("g2"), F.col("hub.n2").alias("n2"))
-    shared = store(lists.join(hubs, "token").withColumn("first", F.col("g") == F.col("g2")), "join-shared")
+    heads = full.where("n > 0").join(members.select("g").distinct(), F.col("doc_id") == F.col("g"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("n", "prefix")).alias("x"))
+    heads = store(heads.select(F.col("doc_id").alias("g"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix")), "join-heads")
+    discard(full)
+
+    # Lists of shingles are exploded twice rather than stored: once to find those that two groups share, once to keep
+    # these. Each time one shuffle is alive, of a shingle, a group and, in one long, the place and the size.
+    lists = heads.select("g", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "g", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")).alias("at"))
+    common = lists.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
+    common = store(common, "join-tokens")
+    listed = store(lists.join(common, "token", "left_semi"), "join-lists")
+    discard(heads)
+    hub = listed.groupBy("token").agg(F.min(F.struct(F.shiftright("at", 32).alias("pos2"), F.col("g").alias("g2"), "at")).alias("hub"))
+    hub = hub.select("token", "hub.pos2", "hub.g2", F.col("hub.at").bitwiseAND(2**32 - 1).alias("n2"))
+    spread = listed.select("token", "g", F.shiftright("at", 32).alias("pos"), F.col("at").bitwiseAND(2**32 - 1).alias("n"))
+    shared = store(spread.join(hub, "token"), "join-shared")
 
     # Round 1: every member of a group with the group's own representative, every group with its hubs.
     inner = members.where(F.col("class_id") != F.col("g")).select(F.col("class_id").alias("a"), F.col("g").alias("b"))
-    outer = shared.where(~F.col("first") & possible(num, den)).select(F.col("g").alias("a"), F.col("g2").alias("b")).distinct()
-    several = members.join(inner.select(F.col("b").alias("g")).distinct(), "g", "left_semi")
-    near = several.select("class_id").unionByName(shared.select(F.col("g").alias("class_id"))).distinct()
-    texts = store(docs.join(near, docs["doc_id"] == near["class_id"], "left_semi").groupBy("doc_id").agg(F.min(as_bytes()).alias("t")), "join-texts")
+    outer = shared.where((F.col("g") != F.col("g2")) & possible(num, den)).select(F.col("g").alias("a"), F.col("g2").alias("b")).distinct()
     first = store(inner.unionByName(outer), "join-pairs")
-    links = store(verify(first, texts, width, num, den), "join-links")
+    links = store(verify(first, texts_of(docs, first), width, num, den), "join-links")
     labels = store(connected_components(links), "join-labels")
 
     # Round 2: what round 1 left apart. Components, not groups, meet first, so that members of one never do.
@@ -248,9 +260,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     its = spread.select(F.col("g").alias("g2"), F.col("c").alias("c2"), F.col("class_id").alias("b"))
     second = pairs.join(own, ["g", "c"]).join(its, ["g2", "c2"]).select("a", "b")
     second = store(second.join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "join-pairs")
-    more = store(verify(second, texts, width, num, den), "join-links")
-    links = links.unionByName(more)
-    labels = store(connected_components(links), "join-labels")
+    if not second.isEmpty():
+        links = links.unionByName(store(verify(second, texts_of(docs, second), width, num, den), "join-links"))
+        labels = store(connected_components(links), "join-labels")
 
     ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     named = classes.join(labels, classes["class_id"] == labels["node"], "left").drop("node")
