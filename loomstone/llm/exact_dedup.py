@@ -100,8 +100,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that agree in id and text (repeated rows) one stays.
     """
-    name, key = fresh(docs, "_id"), fresh(docs, "_key")
-    kept = index_documents(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn(key, F.sha2(normalised(F.col(text_col)), 256))
-    rows = rows.join(kept, (rows[key] == kept["_sha"]) & rows[id_col].eqNullSafe(kept[name]), "left_semi")
-    return rows.dropDuplicates([id_col, key]).drop(key)
+    # Equal names and plain equality: the join and the removal of repeated rows share one shuffle of the texts.
+    sha, at, null = fresh(docs, "_sha"), fresh(docs, "_at"), fresh(docs, "_null")
+    keys = lambda i, h: [F.coalesce(h, F.lit("")).alias(sha), F.coalesce(i, F.lit(0)).alias(at), i.isNull().alias(null)]
+    kept = index_documents(docs, id_col, text_col).where("kept").select(*keys(F.col("doc_id"), F.col("text_sha256")))
+    rows = docs.select("*", *keys(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256)))
+    return rows.join(kept, [sha, at, null], "left_semi").dropDuplicates([sha, at, null]).select(docs.columns)
