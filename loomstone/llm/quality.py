@@ -25,6 +25,11 @@ from loomstone.llm.common import drawn_share, map_arrow, text_or_empty
 
 SAMPLE = 4000
 BUCKETS = 1 << 12
+HELD = 100_000
+#: The first labellers, whose bad votes are signs of kinds of junk.
+SIGNS = 5
+#: How often, at most, such a sign is taken to show on a good text; else kinds that are rare hide among the good.
+FALSE_SIGN = 0.002
 REJECT_BELOW = 0.5
 PRIOR_GOOD = 0.85
 
@@ -86,30 +91,49 @@ def pattern(rates: np.ndarray, n: int) -> str:
 def fit_labellers(patterns: dict[str, int], rounds: int = 100) -> dict[str, float]:
     """Posterior of "good" for each vote pattern, by EM over the counts of patterns.
 
-    Start: the share of good votes. Vote probabilities are smoothed, and the
-    prior is held between 0.05 and 0.95, so one-sided tables stay defined.
+    Two models of latent classes: good and bad, and good and a class of junk for
+    each of the ``SIGNS`` first labellers (kinds of junk seldom share their
+    signs). In each class every labeller votes with probabilities of its own.
+    The model with the higher likelihood, less the usual penalty for its
+    parameters (BIC), counts. Probabilities are smoothed, so one-sided tables
+    stay defined.
     """
     if not patterns:
         return {}
     votes = np.array([[int(c) for c in p] for p in patterns])
     weight = np.array(list(patterns.values()), dtype=float)
     cast = votes != 1
-    post = np.where(cast.any(axis=1), ((votes == 2).sum(axis=1) + 1.7) / (cast.sum(axis=1) + 2), PRIOR_GOOD)
+    share = np.where(cast.any(axis=1), ((votes == 2).sum(axis=1) + 1.7) / (cast.sum(axis=1) + 2), PRIOR_GOOD)
+    signs = votes[:, :SIGNS] == 0
+    kind = np.where(signs.any(axis=1)[:, None], np.eye(SIGNS)[signs.argmax(axis=1)], 1 / SIGNS)
+    good = np.where(signs.any(axis=1), 0.1, share)
+    starts = (np.stack([share, 1 - share], axis=1), np.concatenate([good[:, None], (1 - good)[:, None] * kind], axis=1))
+    found = [_maximise(votes, weight, start, rounds) for start in starts]
+    size = [(1 + votes.shape[1]) * start.shape[1] - 1 for start in starts]
+    scores = [reached - 0.5 * k * np.log(weight.sum() + 1) for (reached, _), k in zip(found, size, strict=True)]
+    return dict(zip(patterns, found[int(np.argmax(scores))][1][:, 0].tolist(), strict=True))
+
+
+def _maximise(votes: np.ndarray, weight: np.ndarray, post: np.ndarray, rounds: int) -> tuple[float, np.ndarray]:
+    """Log-likelihood and class posteriors (good first) that EM reaches from a start."""
+    bad, cast = (votes == 0).astype(float), (votes != 1).astype(float)
+    # one and three pseudo-votes lean each class to its side
+    lean = np.where(np.arange(post.shape[1]) == 0, 1.0, 2.0)[:, None]
+    reached = -np.inf
     for _ in range(rounds):
-        prior = np.clip((weight @ post) / weight.sum(), 0.05, 0.95)
-        score = np.full(len(votes), np.log(prior) - np.log(1 - prior))
-        for j in range(votes.shape[1]):
-            for v in (0, 2):
-                at = votes[:, j] == v
-                good, bad = weight @ (post * at), weight @ ((1 - post) * at)
-                g = (good + (1.0 if v == 0 else 3.0)) / (weight @ (post * cast[:, j]) + 4)
-                b = (bad + (3.0 if v == 0 else 1.0)) / (weight @ ((1 - post) * cast[:, j]) + 4)
-                score[at] += np.log(g) - np.log(b)
-        new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if np.abs(new - post).max() < 1e-9:
+        held = (post * weight[:, None]).T
+        prior = (held.sum(axis=1) + 1) / (weight.sum() + len(held))
+        p = (held @ bad + lean) / (held @ cast + 4)
+        if len(held) > 2:
+            p[0, :SIGNS] = np.minimum(p[0, :SIGNS], FALSE_SIGN)
+        logs = np.log(prior)[None, :] + bad @ np.log(p).T + (cast - bad) @ np.log(1 - p).T
+        top = logs.max(axis=1, keepdims=True)
+        each = top[:, 0] + np.log(np.exp(logs - top).sum(axis=1))
+        before, reached = reached, float(weight @ each)
+        post = np.exp(logs - each[:, None])
+        if abs(reached - before) < 1e-9 * abs(reached):
             break
-        post = new
-    return dict(zip(patterns, post.tolist(), strict=True))
+    return reached, post
 
 
 def bucket(word: str) -> int:
@@ -117,20 +141,26 @@ def bucket(word: str) -> int:
 
 
 class Features:
-    """Sparse hashed word shares and dense rates of a text. At most 300,000 word hashes are held."""
+    """Sparse hashed word shares and dense rates of a text.
+
+    Word hashes are held: ``HELD`` newer and as many older ones, from which those in use move up.
+    """
 
     def __init__(self) -> None:
         self.held: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         tokens = text.split()
         counts = Counter(tokens)
-        if len(self.held) > 300_000:
-            self.held.clear()
+        if len(self.held) > HELD:
+            self.held, self.older = {}, self.held
+        held, older = self.held, self.older
         for w in counts:
-            if w not in self.held:
-                self.held[w] = bucket(w.lower())
-        at = np.fromiter((self.held[w] for w in counts), dtype=np.int64, count=len(counts))
+            if w not in held:
+                known = older.get(w)
+                held[w] = bucket(w.lower()) if known is None else known
+        at = np.fromiter(map(held.__getitem__, counts), dtype=np.int64, count=len(counts))
         share = np.fromiter(counts.values(), dtype=float, count=len(counts)) / max(1, len(tokens))
         return at, share, shape(text), len(tokens)
 
@@ -204,7 +234,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         (post, rate), features = model.value, Features()
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
+            for held in b.column(1):
+                text = held.as_py()
                 at, share, rates, n = features(text)
                 p = pattern(rates, n)
                 out.append((p, post.get(p, PRIOR_GOOD), rate(at, share, rates)))
@@ -226,7 +257,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate, features = model.value, Features()
         for b in batches:
-            good = [rate(*features(t or "")[:3]) >= reject_below for t in b.column(place).to_pylist()]
+            good = [rate(*features(t.as_py() or "")[:3]) >= reject_below for t in b.column(place)]
             yield b.filter(pa.array(good, pa.bool_()))
 
     return docs.transform(map_arrow, run, docs.schema)
