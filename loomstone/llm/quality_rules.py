@@ -122,13 +122,16 @@ def cutoffs(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", good_c
     table = store(table, "rule-strata")
     level = loss / (max(1, table.count()) * len(GRIDS))
     rule_risk = risk / len(GRIDS)
+    tested = [
+        (binomial_tail(F.col(f"{rule}_{i}"), F.col("n"), rule_risk) <= level).alias(f"ok_{rule}_{i}") for rule, grid in GRIDS.items() for i in range(len(grid))
+    ]
+    table = table.select("stratum", "n", *tested)
     out = []
     for rule, grid in GRIDS.items():
-        passed = [binomial_tail(F.col(f"{rule}_{i}"), F.col("n"), rule_risk) <= level for i in range(len(grid))]
-        steps = [(reduce(lambda a, b: a & b, passed[: i + 1]), c) for i, c in enumerate(grid)]
         chosen = F.lit(None).cast("double")
-        for ok, c in steps:
-            chosen = F.when(ok, F.lit(c)).otherwise(chosen)
+        for i, c in enumerate(grid):
+            so_far = reduce(lambda a, b: a & b, (F.col(f"ok_{rule}_{k}") for k in range(i + 1)))
+            chosen = F.when(so_far, F.lit(c)).otherwise(chosen)
         out.append(chosen.alias(f"cut_{rule}"))
     return table.select("stratum", F.col("n").alias("n_good"), *out)
 
