@@ -179,12 +179,13 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -
         last: tuple[bytes, set] = (b"", set())
         for batch in batches:
             a, b = [], []
-            for x, y, tx, ty in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for x, y, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                tx, ty = left.as_py(), right.as_py()
                 if ty != last[0]:
                     last = ty, set(shingles_of(ty.lower().split(), width))
-                left = set(shingles_of(tx.lower().split(), width))
-                common = len(left & last[1])
-                if den * common >= num * (len(left) + len(last[1]) - common):
+                own = set(shingles_of(tx.lower().split(), width))
+                common = len(own & last[1])
+                if den * common >= num * (len(own) + len(last[1]) - common):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -197,7 +198,8 @@ def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(doc_id, t): the texts of the documents that a pair names, one for each id."""
     named = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return store(docs.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(as_bytes()).alias("t")), "join-texts")
+    # Merged at every size, for a cost that grows with the documents alone.
+    return store(docs.join(named.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(as_bytes()).alias("t")), "join-texts")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -228,7 +230,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lists = heads.select("g", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "g", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")).alias("at"))
     common = lists.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("token")
     common = store(common, "join-tokens")
-    listed = store(lists.join(common, "token", "left_semi"), "join-lists")
+    # A merge join at every size: it can be split where a shingle is hot, and its cost grows with the lists.
+    listed = store(lists.join(common.hint("merge"), "token", "left_semi"), "join-lists")
     discard(heads)
     hub = listed.groupBy("token").agg(F.min(F.struct(F.shiftright("at", 32).alias("pos2"), F.col("g").alias("g2"), "at")).alias("hub"))
     hub = hub.select("token", "hub.pos2", "hub.g2", F.col("hub.at").bitwiseAND(2**32 - 1).alias("n2"))
