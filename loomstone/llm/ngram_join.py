@@ -18,6 +18,8 @@ order is right; the counters only make it a good one.
    groups that are not yet in one component meet each other. Size and position
    filters apply to each pair.
 5. verify: members of a pair of groups are compared on their words, exactly.
+6. degrees: linked classes are in one component, so the classes of a component
+   are counted against each other, in blocks, a pair of blocks at a time.
 
 Because links of equal sets and of the hub join most of a large group of
 copies before other pairs are made, no group emits all of its pairs unless its
@@ -39,6 +41,9 @@ from loomstone.llm.components import connected_components
 
 SKETCH_BITS = 20
 BLOCK_BITS = 12
+#: Shingles, with repeats over classes, and classes of a block in the count of links.
+BLOCK_SHINGLES = 1 << 18
+BLOCK_CLASSES = 1 << 9
 
 
 def shingles_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
@@ -202,15 +207,99 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return store(docs.join(named.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(as_bytes()).alias("t")), "join-texts")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id and n_links.
+def common_counts(sets: list[list[int]], n_left: int) -> np.ndarray:
+    """How many numbers each of the first ``n_left`` sets shares with each of the others, or of these if there are no others."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    col = np.fromiter((x for part in sets for x in part), np.int64, len(row))
+    # What one set alone holds is common to no pair.
+    held = np.bincount(col) > 1
+    row, col = row[held[col]], (np.cumsum(held) - 1)[col[held[col]]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    n = int(col[-1]) + 1 if len(col) else 0
+    out = np.zeros((n_left, len(sets) - n_left or n_left))
+    step = max(1, (1 << 23) // len(sets))
+    for at in range(0, n, step):
+        lo, hi = np.searchsorted(col, (at, at + step))
+        part = np.zeros((len(sets), min(step, n - at)), dtype=np.float32)
+        part[row[lo:hi], col[lo:hi] - at] = 1
+        # Whole numbers below 2**24 are exact as float32.
+        out += part[:n_left] @ (part[n_left:] if n_left < len(sets) else part).T
+    return out
+
+
+def block_links(rows: list[tuple[int, int, bytes]], width: int, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """(class, number of links) over the pairs of two blocks (sides 0 and 1) or within one (side 2); rows are (class, side, text)."""
+    ids: dict[tuple[bytes, ...], int] = {}
+    rows = sorted(rows, key=lambda r: r[1] == 1)
+    n_left = sum(r[1] != 1 for r in rows)
+    within = rows[0][1] == 2
+    if not n_left or (n_left == len(rows) and not within):
+        return
+    sets = [[ids.setdefault(x, len(ids)) for x in set(shingles_of(t.lower().split(), width))] for _, _, t in rows]
+    common, size = common_counts(sets, n_left), np.array([len(x) for x in sets])
+    links = den * common >= num * (size[:n_left, None] + (size if within else size[n_left:]) - common)
+    if within:
+        np.fill_diagonal(links, False)
+    degree = links.sum(axis=1) if within else np.concatenate([links.sum(axis=1), links.sum(axis=0)])
+    yield from ((r[0], int(d)) for r, d in zip(rows, degree, strict=True) if d)
+
+
+def degrees(docs: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(node, n_links): with how many classes each class of a component links, over all pairs of the component.
+
+    Where the links found are all pairs of the component, no text is read. Other
+    components are dealt into blocks by a hash of the class; each pair of blocks
+    meets in one task, which gives a number a class, so no list of pairs is made.
+    """
+    pairs = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = pairs.join(labels, pairs["a"] == labels["node"]).groupBy("component").agg(F.count("*").alias("found"))
+    sized = labels.join(classes.select(F.col("class_id").alias("node"), "n"), "node")
+    sizes = sized.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("total")).join(found, "component")
+    blocks = F.ceil(F.greatest(F.col("total") / BLOCK_SHINGLES, F.col("k") / BLOCK_CLASSES)).cast("int")
+    whole = F.col("found") * 2 == F.col("k") * (F.col("k") - 1)
+    placed = store(sized.join(sizes.select("component", "k", whole.alias("whole"), blocks.alias("blocks")), "component"), "join-blocks")
+
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = placed.where("not whole").select("node", "component", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", side.alias("side"))
+    texts = texts_of(docs, placed.where("not whole").select(F.col("node").alias("a"), F.col("node").alias("b")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(rows: list) -> pa.RecordBatch:
+            got = list(block_links(rows, width, num, den))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in range(2)], names=["node", "n_links"])
+
+        key, rows = None, []
+        for b in batches:
+            for *at, node, its, text in zip(*(b.column(i).to_pylist() for i in range(5)), b.column(5), strict=True):
+                if at != key:
+                    if rows:
+                        yield counted(rows)
+                    key, rows = at, []
+                rows.append((node, its, text.as_py()))
+        if rows:
+            yield counted(rows)
+
+    # A pair of blocks comes as one stretch of a task's rows.
+    met = dealt.join(texts.withColumnRenamed("doc_id", "node"), "node").select("component", "lo", "hi", "node", "side", "t")
+    counted = met.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").transform(map_arrow, run, "node long, n_links long")
+    counted = counted.unionByName(placed.where("whole").select("node", (F.col("k") - 1).alias("n_links")))
+    return store(counted.groupBy("node").agg(F.sum("n_links").alias("n_links")), "join-degrees")
+
+
+def jaccard_join(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, count_links: bool = True
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id and, with ``count_links``, n_links.
 
     Links are those of ``num / den`` Jaccard similarity of the sets of distinct
     ``width``-word shingles (ASCII letters in lower case; words between ASCII
     white space). Fewer words give one shingle of them all; a text that is
     null or has no words links with nothing and is its own component.
-    class_id is the smallest id with the same set, n_links the number of other
-    classes found linked with it. Repeated rows and ids fall in one class. A
+    class_id is the smallest id with the same set, n_links the number of all other
+    classes that link with it. Repeated rows and ids fall in one class. A
     row without id has no class and no component. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -267,10 +356,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links = links.unionByName(store(verify(second, texts_of(docs, second), width, num, den), "join-links"))
         labels = store(connected_components(links), "join-labels")
 
-    ends = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     named = classes.join(labels, classes["class_id"] == labels["node"], "left").drop("node")
-    named = named.join(ends, classes["class_id"] == ends["node"], "left")
-    named = named.select("s1", "s2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    if count_links:
+        ends = degrees(docs, classes, links, labels, width, num, den)
+        named = named.join(ends, classes["class_id"] == ends["node"], "left")
+    count = [F.coalesce("n_links", F.lit(0)).alias("n_links")] * count_links
+    named = named.select("s1", "s2", "n", "class_id", F.coalesce("component", "class_id").alias("component_id"), *count)
     out = sets.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
     has = F.col("doc_id").isNotNull()
     return out.select(
@@ -278,12 +369,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("n").alias("n_shingles"),
         F.when(has, F.coalesce("component_id", "doc_id")).alias("component_id"),
         F.when(has, F.coalesce("class_id", "doc_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        *count,
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` whose id is its component's smallest; rows without id stay."""
-    joined = jaccard_join(docs, id_col, text_col, **how)
+    joined = jaccard_join(docs, id_col, text_col, count_links=False, **how)
     gone = joined.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
     return docs.join(gone, id_col, "left_anti").select(docs.columns)

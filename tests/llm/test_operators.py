@@ -276,6 +276,34 @@ def test_join_against_plain(spark, docs, width, num):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: want[i] for i, _ in given}
 
 
+def plain_links(rows, width, num, den):
+    """class_id and number of links of every row, by comparing all pairs of distinct sets."""
+    sets = {}
+    for i, t in rows:
+        w = words((t or "").translate(LOWER))
+        sets[i] = frozenset(zip(*(w[k:] for k in range(width)))) if len(w) >= width else frozenset([tuple(w)] if w else [])
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    linked = {s: sum(x is not s and den * len(s & x) >= num * len(s | x) for x in first if x) if s else 0 for s in first}
+    return {i: (first[s] if s else i, linked[s]) for i, s in sets.items()}
+
+
+def test_join_counts_links_of_all_pairs(spark, docs, monkeypatch):
+    width, num = 5, 80
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()][:300]
+    chain = [(i, " ".join(f"c{k}" for k in range(i * 4, i * 4 + 150))) for i in range(12)]
+    cases = [rows, near_copies(40, True, 2), near_copies(40, False, 1), near_copies(30, True, 4), near_copies(2, True, 1), near_copies(1, True, 1) * 2, chain]
+    given = [(100_000 * k + i, t) for k, rows in enumerate(cases) for i, t in rows]
+    given += [(900_000 + i, t) for i, t in near_copies(5, True, 2)]
+    want = plain_links(given, width, num, 100)
+    assert max(n for _, n in want.values()) > 10
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 7, raising=False)
+    got = ngram_join.jaccard_join(df, width=width, num=num, den=100).collect()
+    assert len(got) == len(given) and {r.doc_id: (r.class_id, r.n_links) for r in got} == want
+
+
 def test_join_on_hard_and_empty_tables(hard, empty):
     got = ngram_join.jaccard_join(hard, width=3, num=90).collect()
     assert len(got) == len(HARD)
