@@ -2,8 +2,8 @@
 
 A text becomes its words (ASCII letters in lower case, digits and characters
 beyond ASCII). Each rule is a regular expression over the words joined by one
-space, with a keyword that must be among the text's words before the
-expression is tried, a priority (its place in the list) and a label. Of
+space, with keywords of which every match contains one, so that the expression
+is tried only where one is among the text's words, a priority (its place in the list) and a label. Of
 overlapping detections, one that lies within a longer one's interval is
 suppressed; of those that overlap in part, the one of higher priority stays.
 Base phrases are counted on their own and stay.
@@ -35,13 +35,13 @@ BASE = (
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     pattern: re.Pattern
     priority: int  # smaller wins
     weight: float
 
 
-#: Signatures in order of priority within a label: label | keyword | expression over words | weight of a detection.
+#: Signatures in order of priority within a label: label | keywords, of which every match has one | expression over words | weight of a detection.
 #: Written by hand from the licences' own titles and grant sentences.
 SIGNATURES = r"""
 mit | mit | (?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?mit licen[sc]e | 1.0
@@ -57,25 +57,25 @@ mit-0 | attribution | mit no attribution(?: licen[sc]e)? | 1.0
 mit-0 | mit | mit 0(?: licen[sc]e)? | 0.8
 apache-2 | apache | (?:licensed|released|distributed) under (?:the )?apache licen[sc]e(?: version)? 2(?: 0)? | 1.0
 apache-2 | apache | apache licen[sc]e version 2(?: 0)?(?: january 2004)? | 1.0
-apache-2 | apache | apache (?:software )?licen[sc]e v?2(?: 0)? | 0.9
+apache-2 | apache | apache (?:software )?licen[sc]e (?:v ?)?2(?: 0)? | 0.9
 apache-2 | apache | apache 2(?: 0)?(?: licen[sc]ed?)? | 0.7
 apache-2 | apache | spdx license identifier apache 2 0 | 1.0
 apache-2 | apache | www apache org licen[sc]es license 2 0 | 1.0
 apache-2 | asl | asl 2 0 | 0.6
 apache-2 | warranties | distributed on an as is basis without warranties or conditions of any kind | 0.9
-apache-1.1 | apache | apache (?:software )?licen[sc]e (?:version )?1 1 | 1.0
-apache-1.0 | apache | apache (?:software )?licen[sc]e (?:version )?1 0 | 1.0
+apache-1.1 | apache | apache (?:software )?licen[sc]e (?:version |v ?)?1 1 | 1.0
+apache-1.0 | apache | apache (?:software )?licen[sc]e (?:version |v ?)?1 0 | 1.0
 apache | apache | (?:the )?apache licen[sc]e | 0.6
 gpl-1 | gnu | gnu general public licen[sc]e (?:as published by the free software foundation )?version 1 | 1.0
-gpl-1 | gpl | gpl ?v?1(?: 0)?(?: only| or later)? | 0.8
+gpl-1 | gpl gplv1 gpl1 | gpl ?v?1(?: 0)?(?: only| or later)? | 0.8
 gpl-2 | gnu | gnu general public licen[sc]e (?:as published by the free software foundation )?(?:either )?(?:version|v) ?2 | 1.0
 gpl-2 | gplv2 | gplv2(?: only| or later)? | 0.9
-gpl-2 | gpl | gpl (?:version |v )?2(?: 0)?(?: only| or later)? | 0.9
+gpl-2 | gpl | gpl (?:version |v ?)?2(?: 0)?(?: only| or later)? | 0.9
 gpl-2 | gpl | spdx license identifier gpl 2 0(?: only| or later)? | 1.0
 gpl-2 | licenses | www gnu org licen[sc]es old licenses gpl 2 0 | 1.0
 gpl-3 | gnu | gnu general public licen[sc]e (?:as published by the free software foundation )?(?:either )?(?:version|v) ?3 | 1.0
 gpl-3 | gplv3 | gplv3(?: only| or later)? | 0.9
-gpl-3 | gpl | gpl (?:version |v )?3(?: 0)?(?: only| or later)? | 0.9
+gpl-3 | gpl | gpl (?:version |v ?)?3(?: 0)?(?: only| or later)? | 0.9
 gpl-3 | gpl | spdx license identifier gpl 3 0(?: only| or later)? | 1.0
 gpl-3 | gnu | www gnu org licen[sc]es gpl 3 0 | 1.0
 gpl | gnu | gnu general public licen[sc]e | 0.8
@@ -83,24 +83,24 @@ gpl | gnu | gnu gpl | 0.8
 gpl | gpl | (?:licensed|released|distributed) under (?:the )?(?:terms of the )?gpl | 0.7
 gpl | redistribute | free software you can redistribute it and or modify it under the terms of the gnu general public | 0.9
 gpl | gnu | www gnu org licen[sc]es gpl | 0.8
-gpl-classpath | classpath | (?:gpl|general public licen[sc]e) (?:version )?2? ?(?:0 )?with (?:the )?classpath exception | 1.0
+gpl-classpath | classpath | (?:gpl|general public licen[sc]e) (?:version |v ?)?2? ?(?:0 )?with (?:the )?classpath exception | 1.0
 gpl-classpath | classpath | classpath exception 2 0 | 0.9
 gpl-linking | linking | gpl linking exception | 0.8
 lgpl-2 | library | gnu library general public licen[sc]e(?: version 2)? | 1.0
-lgpl-2 | lgpl | lgpl (?:version |v )?2(?: 0)?(?! 1)(?: only| or later)? | 0.9
+lgpl-2 | lgpl | lgpl (?:version |v ?)?2(?: 0)?(?! 1)(?: only| or later)? | 0.9
 lgpl-2.1 | lesser | gnu lesser general public licen[sc]e (?:as published by the free software foundation )?(?:either )?version 2 1 | 1.0
-lgpl-2.1 | lgpl | lgpl (?:version |v )?2 1(?: only| or later)? | 0.9
+lgpl-2.1 | lgpl | lgpl (?:version |v ?)?2 1(?: only| or later)? | 0.9
 lgpl-2.1 | lgplv2 | lgplv2 1 | 0.9
 lgpl-2.1 | lgpl | spdx license identifier lgpl 2 1(?: only| or later)? | 1.0
 lgpl-3 | lesser | gnu lesser general public licen[sc]e (?:as published by the free software foundation )?(?:either )?version 3 | 1.0
 lgpl-3 | lgplv3 | lgplv3 | 0.9
-lgpl-3 | lgpl | lgpl (?:version |v )?3(?: 0)?(?: only| or later)? | 0.9
+lgpl-3 | lgpl | lgpl (?:version |v ?)?3(?: 0)?(?: only| or later)? | 0.9
 lgpl-3 | lgpl | spdx license identifier lgpl 3 0(?: only| or later)? | 1.0
 lgpl | lesser | gnu lesser general public licen[sc]e | 0.8
 lgpl | lgpl | (?:gnu |the )lgpl | 0.7
 agpl-3 | affero | gnu affero general public licen[sc]e (?:as published by the free software foundation )?(?:either )?(?:version|v) ?3 | 1.0
 agpl-3 | agplv3 | agplv3 | 0.9
-agpl-3 | agpl | agpl (?:version |v )?3(?: 0)?(?: only| or later)? | 0.9
+agpl-3 | agpl | agpl (?:version |v ?)?3(?: 0)?(?: only| or later)? | 0.9
 agpl-3 | agpl | spdx license identifier agpl 3 0(?: only| or later)? | 1.0
 agpl-1 | affero | affero general public licen[sc]e version 1 | 0.9
 agpl | affero | (?:gnu )?affero general public licen[sc]e | 0.8
@@ -135,32 +135,32 @@ wtfpl | wtfpl | wtfpl(?: version 2)? | 0.9
 wtfpl | public | do what the fuck you want to public licen[sc]e | 1.0
 boost-1 | boost | boost software licen[sc]e(?: version 1(?: 0)?)? | 1.0
 boost-1 | bsl | spdx license identifier bsl 1 0 | 1.0
-mpl-1.0 | mozilla | mozilla public licen[sc]e (?:version |v )?1 0 | 1.0
-mpl-1.1 | mozilla | mozilla public licen[sc]e (?:version |v )?1 1 | 1.0
-mpl-1.1 | mpl | mpl (?:version |v )?1 1 | 0.9
-mpl-2.0 | mozilla | mozilla public licen[sc]e (?:version |v )?2 0 | 1.0
-mpl-2.0 | mpl | mpl (?:version |v )?2 0 | 0.9
+mpl-1.0 | mozilla | mozilla public licen[sc]e (?:version |v ?)?1 0 | 1.0
+mpl-1.1 | mozilla | mozilla public licen[sc]e (?:version |v ?)?1 1 | 1.0
+mpl-1.1 | mpl | mpl (?:version |v ?)?1 1 | 0.9
+mpl-2.0 | mozilla | mozilla public licen[sc]e (?:version |v ?)?2 0 | 1.0
+mpl-2.0 | mpl | mpl (?:version |v ?)?2 0 | 0.9
 mpl-2.0 | mozilla | mozilla org mpl 2 0 | 1.0
 mpl | mozilla | mozilla public licen[sc]e | 0.8
-epl-1.0 | eclipse | eclipse public licen[sc]e (?:version |v )?1 0 | 1.0
-epl-1.0 | epl | epl (?:version |v )?1 0 | 0.9
-epl-2.0 | eclipse | eclipse public licen[sc]e (?:version |v )?2 0 | 1.0
-epl-2.0 | epl | epl (?:version |v )?2 0 | 0.9
+epl-1.0 | eclipse | eclipse public licen[sc]e (?:version |v ?)?1 0 | 1.0
+epl-1.0 | epl | epl (?:version |v ?)?1 0 | 0.9
+epl-2.0 | eclipse | eclipse public licen[sc]e (?:version |v ?)?2 0 | 1.0
+epl-2.0 | epl | epl (?:version |v ?)?2 0 | 0.9
 epl | eclipse | eclipse public licen[sc]e | 0.8
-edl-1.0 | eclipse | eclipse distribution licen[sc]e(?: version| v)?(?: 1 0)? | 0.9
-cddl-1.0 | cddl | cddl (?:version )?1 0 | 0.9
-cddl-1.0 | distribution | common development and distribution licen[sc]e (?:version |v )?1 0 | 1.0
-cddl-1.1 | distribution | common development and distribution licen[sc]e (?:version |v )?1 1 | 1.0
+edl-1.0 | eclipse | eclipse distribution licen[sc]e(?: v1 0|(?: v| version)?(?: 1 0)?) | 0.9
+cddl-1.0 | cddl | cddl (?:version |v ?)?1 0 | 0.9
+cddl-1.0 | distribution | common development and distribution licen[sc]e (?:version |v ?)?1 0 | 1.0
+cddl-1.1 | distribution | common development and distribution licen[sc]e (?:version |v ?)?1 1 | 1.0
 cddl | distribution | common development and distribution licen[sc]e | 0.8
 cpl-1.0 | common | common public licen[sc]e(?: version 1 0)? | 0.9
 cpal-1.0 | attribution | common public attribution licen[sc]e(?: version 1 0)? | 0.9
 ipl-1.0 | ibm | ibm public licen[sc]e(?: version 1 0)? | 0.9
-osl-3.0 | open | open software licen[sc]e (?:version |v )?3 0 | 0.9
-osl-2.1 | open | open software licen[sc]e (?:version |v )?2 1 | 0.9
-afl-3.0 | academic | academic free licen[sc]e (?:version |v )?3 0 | 0.9
-afl-2.1 | academic | academic free licen[sc]e (?:version |v )?2 1 | 0.9
-artistic-1.0 | artistic | artistic licen[sc]e (?:version )?1 0 | 0.9
-artistic-2.0 | artistic | artistic licen[sc]e (?:version )?2 0 | 0.9
+osl-3.0 | open | open software licen[sc]e (?:version |v ?)?3 0 | 0.9
+osl-2.1 | open | open software licen[sc]e (?:version |v ?)?2 1 | 0.9
+afl-3.0 | academic | academic free licen[sc]e (?:version |v ?)?3 0 | 0.9
+afl-2.1 | academic | academic free licen[sc]e (?:version |v ?)?2 1 | 0.9
+artistic-1.0 | artistic | artistic licen[sc]e (?:version |v ?)?1 0 | 0.9
+artistic-2.0 | artistic | artistic licen[sc]e (?:version |v ?)?2 0 | 0.9
 artistic | artistic | (?:the |perl )artistic licen[sc]e | 0.7
 perl | perl | same terms as perl(?: itself)? | 0.9
 psf-2.0 | python | python software foundation licen[sc]e(?: version 2)? | 0.9
@@ -180,14 +180,14 @@ unicode | unicode | unicode (?:data files and software |inc )?licen[sc]e(?: agre
 ncsa | illinois | university of illinois ncsa open source licen[sc]e | 1.0
 ncsa | ncsa | ncsa licen[sc]e | 0.8
 ofl-1.1 | sil | sil open font licen[sc]e(?: version 1 1)? | 1.0
-ofl-1.1 | ofl | ofl (?:version )?1 1 | 0.9
+ofl-1.1 | ofl | ofl (?:version |v ?)?1 1 | 0.9
 ofl-1.0 | sil | sil open font licen[sc]e version 1 0 | 1.0
-eupl-1.1 | union | european union public licen[sc]e (?:version |v )?1 1 | 1.0
-eupl-1.1 | eupl | eupl (?:version |v )?1 1 | 0.9
-eupl-1.2 | union | european union public licen[sc]e (?:version |v )?1 2 | 1.0
-eupl-1.2 | eupl | eupl (?:version |v )?1 2 | 0.9
+eupl-1.1 | union | european union public licen[sc]e (?:version |v ?)?1 1 | 1.0
+eupl-1.1 | eupl | eupl (?:version |v ?)?1 1 | 0.9
+eupl-1.2 | union | european union public licen[sc]e (?:version |v ?)?1 2 | 1.0
+eupl-1.2 | eupl | eupl (?:version |v ?)?1 2 | 0.9
 eupl | union | european union public licen[sc]e | 0.8
-cecill-2.1 | cecill | cecill (?:free software licen[sc]e agreement )?(?:version |v )?2 1 | 0.9
+cecill-2.1 | cecill | cecill (?:free software licen[sc]e agreement )?(?:version |v ?)?2 1 | 0.9
 cecill-b | cecill | cecill b | 0.9
 cecill-c | cecill | cecill c | 0.9
 cecill | cecill | (?:licence |license )cecill | 0.8
@@ -195,13 +195,13 @@ ms-pl | microsoft | microsoft public licen[sc]e | 0.9
 ms-pl | ms | ms pl | 0.7
 ms-rl | microsoft | microsoft reciprocal licen[sc]e | 0.9
 ecl-2.0 | educational | educational community licen[sc]e(?: version 2 0)? | 0.9
-upl-1.0 | universal | universal permissive licen[sc]e(?: v| version)?(?: 1 0)? | 0.9
+upl-1.0 | universal | universal permissive licen[sc]e(?: v1 0|(?: v| version)?(?: 1 0)?) | 0.9
 mulan-2.0 | mulan | mulan psl(?: v2| 2 0)? | 0.9
 postgresql | postgresql | postgresql licen[sc]e | 0.9
 vim | vim | vim licen[sc]e | 0.8
 tcl | tcl | tcl(?: tk)? licen[sc]e | 0.7
 json | evil | shall be used for good not evil | 1.0
-beerware | beerware | beer ?ware licen[sc]e | 0.9
+beerware | beerware beer | beer ?ware licen[sc]e | 0.9
 beerware | beer | the beer ware licen[sc]e(?: revision 42)? | 0.9
 sleepycat | sleepycat | sleepycat licen[sc]e | 0.9
 qpl-1.0 | q | q public licen[sc]e(?: version 1 0)? | 0.9
@@ -209,39 +209,39 @@ npl-1.1 | netscape | netscape public licen[sc]e(?: version 1 1)? | 0.9
 spl-1.0 | sun | sun public licen[sc]e(?: version 1 0)? | 0.9
 apsl-2.0 | apple | apple public source licen[sc]e(?: version)?(?: 2 0)? | 0.9
 rpl-1.5 | reciprocal | reciprocal public licen[sc]e(?: version)?(?: 1 5)? | 0.9
-sissl | sissl | sun industry standards source licen[sc]e | 0.9
+sissl | sun | sun industry standards source licen[sc]e | 0.9
 bsl-1.1 | business | business source licen[sc]e(?: version)?(?: 1 1)? | 0.9
 sspl-1 | server | server side public licen[sc]e(?: version)?(?: 1)? | 1.0
 sspl-1 | sspl | sspl(?: v?1)? | 0.8
-elastic-2.0 | elastic | elastic licen[sc]e (?:version |v )?2(?: 0)? | 0.9
+elastic-2.0 | elastic | elastic licen[sc]e (?:version |v ?)?2(?: 0)? | 0.9
 commons-clause | commons | commons clause(?: licen[sc]e)?(?: condition)? | 0.9
 polyform-nc | polyform | polyform noncommercial licen[sc]e | 0.9
 polyform-sb | polyform | polyform small business licen[sc]e | 0.9
 parity | parity | parity public licen[sc]e | 0.9
 hippocratic | hippocratic | hippocratic licen[sc]e | 0.9
 blueoak-1.0.0 | oak | blue oak model licen[sc]e | 0.9
-openrail | openrail | (?:creativeml |bigscience )?open ?rail(?: m)? | 0.8
+openrail | openrail rail | (?:creativeml |bigscience )?open ?rail(?: m)? | 0.8
 rail | responsible | responsible ai licen[sc]e | 0.8
 cc0-1.0 | cc0 | cc0(?: 1 0)?(?: universal)? | 1.0
 cc0-1.0 | zero | creative commons zero(?: v1 0 universal)? | 1.0
 cc0-1.0 | publicdomain | creativecommons org publicdomain zero 1 0 | 1.0
 cc-pdm | publicdomain | creativecommons org publicdomain mark 1 0 | 1.0
 cc-by-nc-nd | cc | cc by nc nd(?: [1-4] [05])? | 1.0
-cc-by-nc-nd | noderivatives | (?:creative commons )?attribution non ?commercial no ?derivatives?(?: works)?(?: [1-4] [05])? | 1.0
-cc-by-nc-nd | noderivs | (?:creative commons )?attribution non ?commercial no ?derivs(?: [1-4] [05])? | 1.0
+cc-by-nc-nd | noderivatives noderivative derivatives derivative | (?:creative commons )?attribution non ?commercial no ?derivatives?(?: works)?(?: [1-4] [05])? | 1.0
+cc-by-nc-nd | noderivs derivs | (?:creative commons )?attribution non ?commercial no ?derivs(?: [1-4] [05])? | 1.0
 cc-by-nc-nd | creativecommons | creativecommons org licen[sc]es by nc nd | 1.0
 cc-by-nc-sa | cc | cc by nc sa(?: [1-4] [05])? | 1.0
-cc-by-nc-sa | sharealike | (?:creative commons )?attribution non ?commercial share ?alike(?: [1-4] [05])? | 1.0
+cc-by-nc-sa | sharealike alike | (?:creative commons )?attribution non ?commercial share ?alike(?: [1-4] [05])? | 1.0
 cc-by-nc-sa | creativecommons | creativecommons org licen[sc]es by nc sa | 1.0
 cc-by-nc | cc | cc by nc(?: [1-4] [05])? | 1.0
 cc-by-nc | noncommercial | (?:creative commons )?attribution noncommercial(?: [1-4] [05])?(?: international)? | 1.0
 cc-by-nc | commercial | (?:creative commons )?attribution non commercial(?: [1-4] [05])?(?: international)? | 1.0
 cc-by-nc | creativecommons | creativecommons org licen[sc]es by nc | 1.0
 cc-by-nd | cc | cc by nd(?: [1-4] [05])? | 1.0
-cc-by-nd | noderivatives | (?:creative commons )?attribution no ?derivatives?(?: [1-4] [05])? | 1.0
+cc-by-nd | noderivatives noderivative derivatives derivative | (?:creative commons )?attribution no ?derivatives?(?: [1-4] [05])? | 1.0
 cc-by-nd | creativecommons | creativecommons org licen[sc]es by nd | 1.0
 cc-by-sa | cc | cc by sa(?: [1-4] [05])? | 1.0
-cc-by-sa | sharealike | (?:creative commons )?attribution share ?alike(?: [1-4] [05])?(?: international)? | 1.0
+cc-by-sa | sharealike alike | (?:creative commons )?attribution share ?alike(?: [1-4] [05])?(?: international)? | 1.0
 cc-by-sa | creativecommons | creativecommons org licen[sc]es by sa | 1.0
 cc-by | cc | cc by(?: [1-4] [05])? | 0.9
 cc-by | creative | creative commons attribution(?: [1-4] [05])?(?: international)?(?: public)?(?: licen[sc]e)? | 0.9
@@ -253,13 +253,13 @@ gfdl-1.3 | documentation | gnu free documentation licen[sc]e version 1 3 | 1.0
 gfdl | documentation | gnu free documentation licen[sc]e | 0.9
 gfdl | gfdl | (?:gnu |the )?gfdl | 0.8
 odbl-1.0 | odbl | odbl(?: 1 0)? | 0.9
-odbl-1.0 | database | open (?:data commons open )?database licen[sc]e(?: v| version)?(?: 1 0)? | 0.9
+odbl-1.0 | database | open (?:data commons open )?database licen[sc]e(?: v1 0|(?: v| version)?(?: 1 0)?) | 0.9
 odc-by-1.0 | odc | odc by(?: 1 0)? | 0.9
-odc-by-1.0 | commons | open data commons attribution licen[sc]e(?: v| version)?(?: 1 0)? | 0.9
+odc-by-1.0 | commons | open data commons attribution licen[sc]e(?: v1 0|(?: v| version)?(?: 1 0)?) | 0.9
 pddl-1.0 | dedication | (?:open data commons )?public domain dedication and licen[sc]e | 0.9
 cdla-permissive | community | community data licen[sc]e agreement permissive(?: version)?(?: [12] 0)? | 0.9
 cdla-sharing | community | community data licen[sc]e agreement sharing(?: version)?(?: 1 0)? | 0.9
-ogl-uk-3.0 | government | open government licen[sc]e v?3(?: 0)? | 0.9
+ogl-uk-3.0 | government | open government licen[sc]e (?:v ?)?3(?: 0)? | 0.9
 ogl-uk | government | open government licen[sc]e | 0.8
 etalab-2.0 | etalab | etalab (?:open )?licen[sc]e(?: ouverte)?(?: 2 0)? | 0.9
 dl-de-by-2.0 | datenlizenz | datenlizenz deutschland namensnennung(?: version)?(?: 2 0)? | 0.9
@@ -277,8 +277,8 @@ proprietary | proprietary | proprietary (?:and confidential|licen[sc]e|software)
 proprietary | confidential | confidential and proprietary | 0.7
 proprietary | eula | end user licen[sc]e agreement eula | 0.8
 proprietary | agreement | end user licen[sc]e agreement | 0.7
-proprietary | reproduction | unauthori[sz]ed (?:copying|reproduction|distribution) (?:of this (?:file|software|material) )?(?:via any medium )?is strictly prohibited | 0.9
-non-commercial | commercial | for non ?commercial (?:use|purposes) only | 0.7
+proprietary | prohibited | unauthori[sz]ed (?:copying|reproduction|distribution) (?:of this (?:file|software|material) )?(?:via any medium )?is strictly prohibited | 0.9
+non-commercial | commercial noncommercial | for non ?commercial (?:use|purposes) only | 0.7
 non-commercial | noncommercial | noncommercial (?:use|purposes) only | 0.7
 non-commercial | research | for research (?:use|purposes) only | 0.7
 non-commercial | educational | for educational (?:use|purposes) only | 0.6
@@ -288,8 +288,8 @@ non-commercial | educational | for educational (?:use|purposes) only | 0.6
 def rules() -> list[Rule]:
     out = []
     for i, line in enumerate(x for x in SIGNATURES.strip().split("\n")):
-        label, keyword, body, weight = (x.strip() for x in line.split(" | "))
-        out.append(Rule(label, keyword.encode(), re.compile(rb"(?<= )(?:" + body.encode() + rb")(?= )"), i, float(weight)))
+        label, keywords, body, weight = (x.strip() for x in line.split(" | "))
+        out.append(Rule(label, tuple(keywords.encode().split()), re.compile(rb"(?<= )(?:" + body.encode() + rb")(?= )"), i, float(weight)))
     return out
 
 
@@ -311,16 +311,16 @@ class Scanner:
     def __init__(self, known: list[Rule] | None = None) -> None:
         self.by_word: dict[bytes, list[Rule]] = {}
         for rule in rules() if known is None else known:
-            self.by_word.setdefault(rule.keyword, []).append(rule)
+            for keyword in rule.keywords:
+                self.by_word.setdefault(keyword, []).append(rule)
         alternatives = b"|".join(sorted((re.escape(w) for w in self.by_word), key=len, reverse=True))
         self.gate = re.compile(rb"(?<= )(?:" + alternatives + rb")(?= )")
 
     def detections(self, words: bytes) -> list[Found]:
-        """Accepted detections by place; only rules whose keyword is a word of the text are tried."""
+        """Accepted detections by place; only rules of which a keyword is a word of the text are tried."""
         found: list[tuple[int, int, Rule]] = []
-        for keyword in set(self.gate.findall(words)):
-            for rule in self.by_word[keyword]:
-                found += [(*m.span(), rule) for m in rule.pattern.finditer(words)]
+        for rule in {r.priority: r for k in set(self.gate.findall(words)) for r in self.by_word[k]}.values():
+            found += [(*m.span(), rule) for m in rule.pattern.finditer(words)]
         if not found:
             return []
         # Containment, longest first: what lies within a longer interval goes; of equal ones the first rule stays.

@@ -150,6 +150,44 @@ def test_license_rules_against_ungated_matching():
         assert all(0 <= x.first < x.last <= ws.count(b" ") - 1 for x in got)
 
 
+def strings_of(parsed):
+    """Every string that a signature's expression, of literals, choices and optional parts, can match."""
+    out = [""]
+    for op, arg in parsed:
+        match str(op):
+            case "LITERAL":
+                parts = [chr(arg)]
+            case "IN":
+                parts = [chr(c) for o, v in arg for c in ([v] if str(o) == "LITERAL" else range(v[0], v[1] + 1))]
+            case "BRANCH":
+                parts = [x for branch in arg[1] for x in strings_of(branch)]
+            case "SUBPATTERN":
+                parts = strings_of(arg[3])
+            case "MAX_REPEAT":
+                assert arg[:2] == (0, 1)
+                parts = ["", *strings_of(arg[2])]
+            case "ASSERT_NOT":
+                parts = [""]
+        out = [a + b for a in out for b in parts]
+    return out
+
+
+def test_every_string_of_a_license_rule_passes_the_gate():
+    for rule, line in zip(licenses.rules(), licenses.SIGNATURES.strip().split("\n"), strict=True):
+        scanner = licenses.Scanner([rule])
+        for text in strings_of(re._parser.parse(line.split(" | ")[2].strip())):
+            assert scanner.detections(licenses.words_of(text.encode())), (rule.label, text)
+
+
+def test_license_names_written_apart():
+    scanner = licenses.Scanner()
+    for text, label in [
+        ("Creative Commons Attribution-Share Alike 3.0", "cc-by-sa"), ("Attribution No Derivatives 4.0", "cc-by-nd"), ("Creative Commons Attribution-NonCommercial-Share Alike 3.0", "cc-by-nc-sa"),
+        ("GPL v2.0", "gpl-2"), ("LGPL v2.1", "lgpl-2.1"), ("Mozilla Public License v2.0", "mpl-2.0"), ("Beer-Ware License", "beerware"), ("Open RAIL-M", "openrail"),
+    ]:
+        assert label in [x.label for x in scanner.detections(licenses.words_of(text.encode()))], text
+
+
 # --- urls -----------------------------------------------------------------------------
 
 
