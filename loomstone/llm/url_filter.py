@@ -152,7 +152,8 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
             keep = [(u, found.verdict == "block") for u in b.column(0).to_pylist() if (found := known.fitting(*parse(u)))]
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in keep], pa.string()), pa.array([v for _, v in keep], pa.bool_())], names=["url", "bad"])
 
-    marked = urls.select("url").transform(map_arrow, labelled, "url string, bad boolean")
+    # A url is one training row, whatever the number of its copies.
+    marked = urls.select("url").distinct().transform(map_arrow, labelled, "url string, bad boolean")
     key = F.xxhash64("url")
     drawn = marked.where(drawn_share(key, sample, marked.count())).orderBy(key, "url").limit(sample)
     rows = [(r.url, *parse(r.url), int(r.bad)) for r in drawn.collect()]

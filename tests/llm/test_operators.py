@@ -224,6 +224,14 @@ def test_url_trees_learn_lexical_signs(spark):
     assert sum(got[1000 + i] == ("block" if i % 2 else "allow") for i in range(40)) >= 38
 
 
+def test_url_sample_is_of_distinct_urls(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(url_filter, "train", lambda rows, real=url_filter.train: given.extend(rows) or real(rows))
+    df = spark.createDataFrame([(i, f"http://s{i % 300}.example.org/{'es' if i % 2 else 'it'}/{i % 300}") for i in range(3000)], "page_id long, url string")
+    url_filter.judge(df, [url_filter.rule("allow org/"), url_filter.rule("block example.org/es/")], sample=100).count()
+    assert len({r[0] for r in given}) == len(given) == 100
+
+
 # --- exact dedup --------------------------------------------------------------------------
 
 
