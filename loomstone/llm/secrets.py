@@ -1,22 +1,35 @@
 """Secret scan in DataFrame operations only.
 
 Base rules find assignments, access keys and long hex runs. The method adds
-runs of secret-like characters that pass a battery of randomness tests under
-the encoding inferred from their characters: chi-squared uniformity of the
-alphabet, a runs test about the middle of the alphabet, and the serial
-correlation of neighbouring symbols. The smallest of the three p-values, times
-three, measures how well a run agrees with random symbols.
-
-How short a run can be and still tell is decided by the data: every candidate
-has a decoy of its own length and encoding, cut from the letters of its own
-document. In each stratum of encoding and length band, the cut-off is the
-lowest at which decoys that pass, over candidates that pass, stay within
-``fdr``; strata in which no cut-off does report nothing. The decision table is
-counted over all documents and has at most 5 x 8 x 41 rows.
+runs of secret-like characters outside the base spans that pass a battery of
+randomness tests under the encoding inferred from their characters:
+
+* chi-squared: cells of the alphabet (letters frequent in prose, other letters,
+  digits, each case on its own) are as full as a uniform draw would fill them;
+* runs: neighbours fall in the same cell as often as they would by chance;
+* serial correlation of the symbols' places in the alphabet.
+
+Three times the smallest p-value measures agreement with random symbols. A run
+may pass at a level of 0.001 at the lowest, so that about one random key in a
+thousand is lost to chance.
+
+What else looks like a key, and how short a run can still tell, is decided by
+the data: every document gives ``DECOYS`` decoys made of its own text the way
+names in code, paths and encoded text are made of words, of all encodings and
+length bands. The share of decoys that pass at a level, times the runs of the
+stratum (encoding and length band), over the runs that pass there, bounds the
+false discoveries; a stratum reports at the lowest level where this is within
+``fdr``, or not at all. Strata with few decoys borrow those of shorter bands,
+then of other encodings. The decision table is counted over all documents and
+has at most 5 x 8 x 9 rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+from itertools import pairwise
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,54 +37,106 @@ from loomstone.llm.common import fresh, let, text_or_empty
 
 ASSIGN = r"""(?i:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
-RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: A run of 24 hex digits or more is the same whether shorter runs are matched and dropped or not matched.
+HEX = r"[0-9a-f]{24,}"
+RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.05
-BINS = 40
-
-#: Inferred encoding, the characters it allows, its alphabet in order.
-ENCODINGS = (
-    ("decimal", "^[0-9]+$", "0123456789"),
-    ("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef"),
-    ("base32", "^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("lower36", "^[a-z0-9]+$", "abcdefghijklmnopqrstuvwxyz0123456789"),
-    ("base64", "", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
-)
+#: Levels a run can pass at, from the strictest down; a run's level is the number of these its p-value reaches.
+LEVELS = (0.2, 0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001)
+#: Length bands start here and widen by doubling.
+BANDS = (20, 24, 32, 48, 80, 144, 272, 528)
+#: Decoys of a document, and how many a stratum needs before it borrows others.
+DECOYS = 2
+ENOUGH = 100
+#: Matches of a text whose starts are summed up in one go: a text with very many costs no square of them.
+STRIDE = 256
+
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Letters that prose in Latin script uses most, and its vowels and other frequent letters on their own.
+_COMMON = "aeinorst"
+_RARE = "".join(c for c in _LOWER if c not in _COMMON)
+_VOWELS, _FREQUENT = "aeiou", "dhlnrst"
+_OTHER = "".join(c for c in _LOWER if c not in _VOWELS + _FREQUENT)
+#: Inferred encoding: the characters it allows, its alphabet in order, and the alphabet's cells.
+ENCODINGS = {
+    "decimal": ("^[0-9]+$", _DIGITS, ("01", "23", "45", "67", "89")),
+    "hex": ("^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", ("0123", "4567", "89ab", "cdef")),
+    "base32": ("^[A-Z2-7]+$", _UPPER + "234567", (_VOWELS.upper(), _FREQUENT.upper(), _OTHER.upper(), "234567")),
+    "lower36": ("^[a-z0-9]+$", _LOWER + _DIGITS, (_VOWELS, _FREQUENT, _OTHER, _DIGITS)),
+    "base64": ("", _UPPER + _LOWER + _DIGITS + "+/-_", (_COMMON, _RARE, _COMMON.upper(), _RARE.upper(), _DIGITS + "+/-_")),
+}
+_SPAN = "struct<s:int,e:int,kind:string,hit:string>"
+
+
+def _no_spans() -> Column:
+    return F.array().cast(f"array<{_SPAN}>")
+
+
+def starts(lengths: Column) -> Column:
+    """The sums of all ``lengths`` before each, by blocks of ``STRIDE``."""
+
+    def running(values: Column, first: Column) -> Column:
+        none = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(values, none, step, lambda a: a["out"])
+
+    def whole(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(blocks, running(sums, F.lit(0)), running))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / STRIDE).cast("int")), lambda b: F.slice(lengths, b * STRIDE + 1, F.lit(STRIDE)))
+    return F.when(F.size(lengths) > 0, let(blocks, whole)).otherwise(F.array().cast("array<int>"))
+
+
+def matches(text: Column, pattern: str, kind: str) -> Column:
+    """array<struct<s, e, kind, hit>> of leftmost non-overlapping matches, in code points.
+
+    Matches and the gaps between them are cut out in one pass each; a match
+    starts where the gaps and matches before it end.
+    """
 
+    def placed(gaps: Column, hits: Column) -> Column:
+        # The text after the last match is a gap that no match follows.
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.char_length(g).alias("gap"), F.char_length(h).alias("own"), h.alias("hit")))
 
-def matches(text: Column, pattern: str, kind: str, keep: Column | None = None, group: int = 0) -> Column:
-    """array<struct<s, e, kind, body>> of leftmost non-overlapping matches, in code points.
+        def spans(x: Column) -> Column:
+            at = starts(F.transform(x, lambda y: y["gap"] + y["own"]))
+            return F.zip_with(x, at, lambda y, a: F.struct((a + y["gap"]).alias("s"), (a + y["gap"] + y["own"]).alias("e"), F.lit(kind).alias("kind"), y["hit"].alias("hit")))
 
-    Each found piece is a match with the gap before it, so starts are running
-    sums of lengths. ``\\G`` holds the search at the last match: linear time.
-    """
-    piece = rf"\G([\s\S]*?)((?:{pattern}))"
-    found = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(piece), F.lit(1)).alias("gap"),
-        F.regexp_extract_all(text, F.lit(piece), F.lit(2)).alias("hit"),
-        F.regexp_extract_all(text, F.lit(piece), F.lit(2 + group)).alias("body"),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,kind:string,body:string>>").alias("out"))
+        return let(pairs, spans)
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + F.char_length(x["gap"])
-        e = s + F.char_length(x["hit"])
-        one = F.array(F.struct(s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), x["body"].alias("body")))
-        return F.struct(e.alias("at"), F.concat(acc["out"], one).alias("out"))
+    def found(text: Column) -> Column:
+        spans = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: placed(F.split(text, pattern, -1), hits))
+        return F.when(text.rlike(pattern), spans).otherwise(_no_spans())
+
+    return let(text, found)
 
-    spans = F.aggregate(found, start, step, lambda acc: acc["out"])
-    none = F.array().cast("array<struct<s:int,e:int,kind:string,body:string>>")
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+
+#: The base rules: kind, expression, and what a match must have to stay.
+_BASE: tuple[tuple[str, str, Callable[[Column], Column]], ...] = (
+    ("assign", ASSIGN, lambda hit: F.char_length(F.regexp_extract(hit, ASSIGN, 1)) >= 6),
+    ("access", ACCESS, lambda hit: F.char_length(hit) >= 20),
+    ("hex", HEX, lambda hit: F.lit(True)),
+)
 
 
 def base_spans(text: Column) -> Column:
-    """Spans of the three base rules, failing matches dropped, in order of start and kind as listed."""
-    assign = F.filter(matches(text, ASSIGN, "assign", group=1), lambda x: F.char_length(x["body"]) >= 6)
-    access = F.filter(matches(text, ACCESS, "access"), lambda x: x["e"] - x["s"] >= 20)
-    # A run of 24 hex digits or more is the same whether shorter runs are matched and dropped or not matched.
-    hexes = matches(text, "[0-9a-f]{24,}", "hex")
-    return F.concat(assign, access, hexes)
+    """Spans of the three base rules, failing matches dropped, by kind as listed."""
+    return F.concat(*(F.filter(matches(text, pattern, kind), partial(lambda stays, x: stays(x["hit"]), stays)) for kind, pattern, stays in _BASE))
+
+
+def without_base(text: Column) -> Column:
+    """The text with blanks for what the base rules find, so that every other character keeps its place."""
+
+    def blanked(text: Column, pattern: str, stays: Callable[[Column], Column]) -> Column:
+        blank = lambda g, h: F.concat(g, F.when(h.isNull(), F.lit("")).when(stays(h), F.repeat(F.lit(" "), F.char_length(h))).otherwise(h))
+        parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), blank)
+        return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+
+    for _, pattern, stays in _BASE:
+        text = let(text, partial(lambda pattern, stays, t: blanked(t, pattern, stays), pattern, stays))
+    return text
 
 
 def _rank(kind: Column) -> Column:
@@ -87,171 +152,209 @@ def as_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def bare(run: Column) -> Column:
+    """A run without its padding."""
+    return F.rtrim(run, F.lit("="))
+
+
 def encoding_of(body: Column) -> Column:
     out = F.lit("base64")
-    for name, allowed, _ in reversed(ENCODINGS[:-1]):
-        out = F.when(body.rlike(allowed), F.lit(name)).otherwise(out)
+    for name in reversed([x for x in ENCODINGS if x != "base64"]):
+        out = F.when(body.rlike(ENCODINGS[name][0]), F.lit(name)).otherwise(out)
     return out
 
 
-def symbols(body: Column, encoding: Column, decoy: bool = False) -> Column:
-    """Places of the characters in their alphabet; a decoy's letters are folded into it by code."""
-    chars = F.filter(F.split(body, ""), lambda c: c != "")
-
-    def at(c: Column) -> Column:
-        out = None
-        for name, _, alphabet in ENCODINGS:
-            place = F.pmod(F.ascii(c), F.lit(len(alphabet))) if decoy else F.greatest(F.instr(F.lit(alphabet), F.lower(c) if name == "hex" else c) - 1, F.lit(0))
-            out = F.when(encoding == name, place) if out is None else out.when(encoding == name, place)
-        return out
+def _by_encoding(encoding: Column, value: Callable[[str], Column]) -> Column:
+    out = value("base64")
+    for name in reversed([x for x in ENCODINGS if x != "base64"]):
+        out = F.when(encoding == name, value(name)).otherwise(out)
+    return out
 
-    return F.transform(chars, at)
 
+def tail(z: Column) -> Column:
+    """Upper tail of the normal distribution for z >= 0, by the rational form of Abramowitz and Stegun (26.2.17), within 1e-7."""
+    poly = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return let(z, lambda z: F.exp(-z * z / 2) * 0.3989422804014327 * let(1 / (1 + 0.2316419 * z), poly))
 
-def _size(encoding: Column) -> Column:
-    out = None
-    for name, _, alphabet in ENCODINGS:
-        out = F.when(encoding == name, F.lit(len(alphabet))) if out is None else out.when(encoding == name, F.lit(len(alphabet)))
-    return out
 
+def battery(body: Column, encoding: Column) -> Column:
+    """3 x the smallest p-value of the tests, at most 1, for a run without padding."""
 
-def _tail(z: Column) -> Column:
-    """Upper tail of the normal distribution, by a logistic form within 0.0002."""
-    z = F.greatest(F.least(z, F.lit(8.0)), F.lit(-8.0))
-    return 1 / (1 + F.exp(F.lit(1.5976) * z + F.lit(0.070566) * z * z * z))
+    def tests(name: str) -> Column:
+        _, alphabet, cells = ENCODINGS[name]
+        share = [len(c) / len(alphabet) for c in cells]
+        plain = F.lower(body) if name == "hex" else body
+        n = F.char_length(body).cast("double")
+        to = {c: chr(97 + k) for k, cell in enumerate(cells) for c in cell}
 
+        def on_cells(x: Column) -> Column:
+            # Two hex digits write one byte: first and second ones are counted on their own.
+            phases = [F.regexp_replace(x, "(.).?", "$1"), F.regexp_replace(x, ".(.)?", "$1")] if name == "hex" else [x]
+            free = len(phases) * (len(cells) - 1)
+            square = F.lit(0.0)
+            for phase in phases:
+                for k, p in enumerate(share):
+                    expected = F.char_length(phase) * p
+                    full = F.char_length(phase) - F.char_length(F.replace(phase, F.lit(chr(97 + k)), F.lit("")))
+                    square = square + F.pow(full - expected, F.lit(2.0)) / expected
+            # Wilson and Hilferty: the cube root of chi-squared over its freedom is close to normal.
+            z = (F.pow(square / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5
+            # Fuller agreement than the middle of chance says nothing against a run.
+            uniform = tail(F.greatest(z, F.lit(0.0)))
+            s2, s3 = sum(p**2 for p in share), sum(p**3 for p in share)
+            runs = F.char_length(F.regexp_replace(x, r"(.)\1*", "x")).cast("double")
+            spread = F.sqrt((n - 1) * (s2 * (1 - s2)) + 2 * (n - 2) * (s3 - s2 * s2))
+            return F.least(uniform, 2 * tail(F.abs(runs - (1 + (n - 1) * (1 - s2))) / spread))
 
-def battery(x: Column, size: Column) -> Column:
-    """3 x the smallest p-value of the tests, at most 1, for symbols ``x`` of an alphabet of ``size``."""
-    n = F.size(x).cast("double")
+        return F.least(let(F.translate(plain, "".join(to), "".join(to.values())), on_cells), serial(places(plain, alphabet), n))
 
-    def uniform(cells: Column) -> Column:
-        free = (cells - 1).cast("double")
-        square = let(
-            F.transform(x, lambda v: F.floor(v * cells / size)),
-            lambda binned: F.aggregate(
-                F.sequence(F.lit(0), cells - 1), F.lit(0.0),
-                lambda acc, k: acc + F.pow(F.size(F.filter(binned, lambda b: b == k)) - n / cells, F.lit(2.0)) * cells / n,
-            ),
-        )
-        # Wilson and Hilferty: the cube root of chi-squared over its freedom is close to normal.
-        return _tail((F.pow(square / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
+    def places(x: Column, alphabet: str) -> Column:
+        return F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
 
-    def runs(upper: Column) -> Column:
-        ups = F.aggregate(upper, F.lit(0.0), lambda a, v: a + v)
-        changes = F.aggregate(
-            F.sequence(F.lit(2), F.size(upper)), F.lit(1.0),
-            lambda a, i: a + F.abs(F.element_at(upper, i) - F.element_at(upper, i - 1)),
-        )
+    def serial(x: Column, n: Column) -> Column:
+        def about(x: Column, mean: Column) -> Column:
+            ahead = F.zip_with(F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, F.lit(1), F.greatest(F.size(x) - 1, F.lit(0))), lambda a, b: (a - mean) * (b - mean))
+            lagged = F.aggregate(ahead, F.lit(0.0), lambda a, v: a + v)
+            return let(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)), lambda v: F.when(v == 0, F.lit(0.0)).otherwise(2 * tail(F.abs(lagged / v) * F.sqrt(n))))
 
-        def p(v: Column) -> Column:
-            product, spread = v["product"], F.sqrt(F.greatest(v["product"] * (v["product"] - n) / (n * n * (n - 1)), F.lit(1e-9)))
-            return F.when(product == 0, F.lit(0.0)).otherwise(2 * _tail(F.abs(v["changes"] - (product / n + 1)) / spread))
+        return let(x, lambda held: let(F.aggregate(held, F.lit(0.0), lambda a, v: a + v) / n, lambda mean: about(held, mean)))
 
-        return let(let(ups, lambda u: F.struct((2 * u * (n - u)).alias("product"), changes.alias("changes"))), p)
+    return F.least(F.lit(1.0), 3 * _by_encoding(encoding, tests))
 
-    def serial(mean: Column) -> Column:
-        around = F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
-        lagged = F.aggregate(
-            F.sequence(F.lit(2), F.size(x)), F.lit(0.0),
-            lambda a, i: a + (F.element_at(x, i) - mean) * (F.element_at(x, i - 1) - mean),
-        )
-        return let(around, lambda v: F.when(v == 0, F.lit(0.0)).otherwise(2 * _tail(F.abs(lagged / v) * F.sqrt(n))))
 
-    alphabet = let(F.when(n >= 40, F.lit(8)).otherwise(F.lit(4)), uniform)
-    order = let(F.transform(x, lambda v: F.when(v * 2 >= size, F.lit(1.0)).otherwise(F.lit(0.0))), runs)
-    follow = let(F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / n, serial)
-    return F.least(F.lit(1.0), 3 * F.least(alphabet, order, follow))
+def level_of(p: Column) -> Column:
+    """How many of ``LEVELS`` the p-value reaches; 0: it passes at none."""
+    return let(p, lambda v: sum((F.when(v >= x, 1).otherwise(0) for x in LEVELS), F.lit(0)).cast("int"))
 
 
 def band_of(length: Column) -> Column:
-    """Length bands of doubling width: 20-23, 24-31, 32-47, 48-79 and so on to 7."""
-    return F.least(F.floor(F.log2((length - 16) / 4)), F.lit(7)).cast("int")
+    out = F.lit(len(BANDS) - 1)
+    for k, upper in reversed(list(enumerate(BANDS[1:]))):
+        out = F.when(length < upper, F.lit(k)).otherwise(out)
+    return out
+
+
+def judged(run: Column, extra: list[Column], decoy: bool) -> Column:
+    """struct<(extra), encoding, band, level, decoy> of a run or decoy."""
+
+    def measured(body: Column, e: Column) -> Column:
+        return F.struct(*extra, e.alias("encoding"), band_of(F.char_length(body)).alias("band"), level_of(battery(body, e)).alias("level"), F.lit(decoy).alias("decoy"))
+
+    return let(bare(run), lambda body: let(encoding_of(body), lambda e: measured(body, e)))
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<s, e, encoding, band, bin, decoy_bin>> of a text's runs with their battery values.
+    """array<struct<s, e, encoding, band, level, decoy>> of a text's runs outside base spans."""
+    found = F.transform(matches(without_base(text), RUN, "random"), lambda x: judged(x["hit"], [x["s"].alias("s"), x["e"].alias("e")], False))
+    # What is shorter than a run without its padding can't be told from chance.
+    return F.when(text.rlike(RUN), found).otherwise(F.array().cast("array<struct<s:int,e:int,encoding:string,band:int,level:int,decoy:boolean>>"))
+
+
+#: How decoys come about: their words joined as names and paths are, or text written out in another encoding.
+_JOINED: tuple[Callable[[Column, Column, Column], Column], ...] = (
+    lambda text, words, h: F.array_join(F.transform(words, F.lower), "_"),
+    lambda text, words, h: F.array_join(F.transform(words, F.initcap), ""),
+    lambda text, words, h: F.array_join(F.transform(words, F.lower), "/"),
+    lambda text, words, h: F.array_join(F.transform(words, lambda w, i: F.concat(F.initcap(w), F.when(i % 3 == 1, F.pmod(h + i, F.lit(100)).cast("string")).otherwise(F.lit("")))), ""),
+    lambda text, words, h: F.array_join(F.transform(words, F.lower), "-"),
+)
+_MADE: tuple[Callable[[Column, Column, Column], Column], ...] = (
+    lambda text, words, h: F.lower(F.hex(text.cast("binary"))),
+    lambda text, words, h: F.upper(F.array_join(words, "")),
+    lambda text, words, h: F.lower(F.array_join(words, "")),
+    lambda text, words, h: F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("string")), ""),
+    lambda text, words, h: F.lower(F.array_join(F.transform(words, lambda w, i: F.concat(w, F.when(i % 2 == 1, F.pmod(h + i, F.lit(1000)).cast("string")).otherwise(F.lit("")))), "")),
+)
 
-    The decoy is cut from the text's letters, runs left out, at a place given by
-    the run's hash; a text with fewer letters than the run has no decoy.
-    """
-    letters = F.when(text.rlike(RUN), F.regexp_replace(text, f"{RUN}|[^A-Za-z]", ""))
 
-    def judged(x: Column, letters: Column) -> Column:
-        length = F.char_length(x["body"])
-        spare = F.char_length(letters) - length
-        cut = F.substring(letters, F.pmod(F.xxhash64(x["body"]), F.greatest(spare, F.lit(0)) + 1).cast("int") + 1, length)
+def decoys(text: Column) -> Column:
+    """array<struct<encoding, band, level, decoy>>: up to ``DECOYS`` of a text, by its hash; short texts give fewer or none."""
+    bands = list(pairwise(BANDS[:6]))
+
+    def one(k: int) -> Column:
+        h = F.pmod(F.xxhash64(text, F.lit(k)), F.lit(1 << 40))
+        kinds = _JOINED if k % 2 == 0 else _MADE
+        lows, widths = F.array(*(F.lit(a) for a, _ in bands)), F.array(*(F.lit(b - a) for a, b in bands))
+        band = (h % len(bands)).cast("int") + 1
+        length = F.element_at(lows, band) + (F.shiftright(h, 12) % F.element_at(widths, band)).cast("int")
+        place = (F.shiftright(h, 20) % F.greatest(F.char_length(text) - 300, F.lit(1))).cast("int") + 1
 
-        def measured(e: Column) -> Column:
-            size = _size(e)
-            own = let(symbols(x["body"], e), lambda v: battery(v, size))
-            other = F.when(spare >= 0, let(symbols(cut, e, True), lambda v: battery(v, size)))
-            return F.struct(
-                x["s"].alias("s"), x["e"].alias("e"), e.alias("encoding"), band_of(length).alias("band"),
-                F.floor(own * BINS).cast("int").alias("bin"), F.floor(other * BINS).cast("int").alias("decoy_bin"),
-            )
+        def made(piece: Column) -> Column:
+            words = F.regexp_extract_all(piece, F.lit("[A-Za-z]+"), F.lit(0))
+            out = kinds[-1](piece, words, h)
+            for i, how in enumerate(kinds[:-1]):
+                out = F.when(F.shiftright(h, 6) % len(kinds) == i, how(piece, words, h)).otherwise(out)
+            return F.substring(out, F.lit(1), length)
 
-        return let(encoding_of(x["body"]), measured)
+        run = let(F.substring(text, place, F.lit(300)), made)
+        return let(run, lambda x: F.when(F.char_length(x) == length, judged(x, [], True)))
 
-    return let(letters, lambda held: F.transform(matches(text, RUN, "random"), lambda x: judged(x, held)))
+    return F.filter(F.array(*(one(k) for k in range(DECOYS))), lambda x: x.isNotNull())
 
 
 def cutoffs(found: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], int]:
-    """The lowest bin of each (encoding, band) from which decoys are within ``fdr`` of candidates.
+    """The lowest level of each (encoding, band) at which false discoveries are within ``fdr``.
 
-    Decoys are counted in proportion to the candidates and raised by one, so
-    that a stratum with few of either decides for silence. Counts come as one
-    row per stratum and bin, at most 5 x 8 x 42 of them, whatever the input.
+    With T runs in the stratum of which t pass, and d of D decoys, at most
+    T (d + 1) / (D + 1) of the t are false; the one that is added keeps strata
+    with few decoys silent. Counts come as one row per stratum and level.
     """
-    v = F.explode(
-        F.array(
-            F.struct(F.col("bin").alias("b"), F.lit(1).alias("t"), F.lit(0).alias("d")),
-            F.struct(F.coalesce("decoy_bin", F.lit(-1)).alias("b"), F.lit(0).alias("t"), F.when(F.col("decoy_bin").isNotNull(), 1).otherwise(0).alias("d")),
-        )
-    )
-    table = found.select("encoding", "band", v.alias("v")).groupBy("encoding", "band", "v.b").agg(F.sum("v.t").alias("t"), F.sum("v.d").alias("d"))
-    strata: dict[tuple[str, int], list] = {}
+    table = found.groupBy("encoding", "band", "level", "decoy").agg(F.count("*").alias("n"))
+    runs: dict[tuple[str, int], list[int]] = {}
+    made: dict[tuple[str, int], list[int]] = {}
     for r in table.collect():
-        strata.setdefault((r.encoding, r.band), []).append((r.b, r.t, r.d))
-    out = {}
-    for key, bins in strata.items():
-        targets, decoys = sum(t for _, t, _ in bins), sum(d for _, _, d in bins)
-        for b in range(1, BINS + 1):
-            t, d = sum(x[1] for x in bins if x[0] >= b), sum(x[2] for x in bins if x[0] >= b)
-            if t and decoys and (d + 1) * targets <= fdr * t * decoys:
-                out[key] = b
+        (made if r.decoy else runs).setdefault((r.encoding, r.band), [0] * (len(LEVELS) + 1))[r.level] += r.n
+
+    def pool(encoding: str, band: int) -> list[int]:
+        choices = (
+            lambda e, b: e == encoding and b == band,
+            lambda e, b: e == encoding and b <= band,
+            lambda e, b: b <= band,
+        )
+        out: list[int] = [0]
+        for fits in choices:
+            out = [sum(x) for x in zip(*(v for k, v in made.items() if fits(*k)), strict=True)] or [0]
+            if sum(out) >= ENOUGH:
                 break
-    return out
+        return out
+
+    cuts = {}
+    for key, of in runs.items():
+        others = pool(*key)
+        for level in range(1, len(LEVELS) + 1):
+            t, d = sum(of[level:]), sum(others[level:])
+            if t and sum(of) * (d + 1) <= fdr * t * (sum(others) + 1):
+                cuts[key] = level
+                break
+    return cuts
 
 
 def scan(docs: DataFrame, text_col: str = "text", fdr: float = FDR, base_col: str = "_base", spans_col: str = "_spans") -> DataFrame:
     """``docs`` with two more columns, base spans and all spans: ordered arrays of struct<s, r, e, kind>.
 
-    Null text is empty. A run that overlaps a base span adds nothing. Rows are
-    scanned one by one: nulls and repeats in other columns don't matter, and an
-    empty table gives an empty result. Two passes over the texts, no shuffle of
-    texts or spans.
+    Null text is empty. Base spans are cut out before runs are sought, so the
+    method's spans never overlap them, and what is left of a run beside one is
+    tested on its own. Rows are scanned one by one: nulls and repeats in other
+    columns don't matter, and an empty table gives an empty result. Two passes
+    over the texts, no shuffle of texts or spans.
     """
     text = text_or_empty(text_col)
-    found = docs.select(text.alias("text")).where(F.col("text").rlike(RUN)).select(F.explode(candidates(F.col("text"))).alias("x")).select("x.*")
+    fields = ("encoding", "band", "level", "decoy")
+    tried = F.transform(candidates(F.col("text")), lambda x: F.struct(*(x[f].alias(f) for f in fields)))
+    found = docs.select(text.alias("text")).select(F.explode(F.concat(tried, decoys(F.col("text")))).alias("x")).select("x.*")
     cuts = cutoffs(found, fdr)
     rows = docs.withColumn(base_col, base_spans(text))
 
     def passes(x: Column) -> Column:
         out = F.lit(False)
         for (encoding, band), cut in sorted(cuts.items()):
-            out = out | ((x["encoding"] == encoding) & (x["band"] == band) & (x["bin"] >= cut))
+            out = out | ((x["encoding"] == encoding) & (x["band"] == band) & (x["level"] >= cut))
         return out
 
-    def apart(x: Column) -> Column:
-        return ~F.exists(base_col, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
-
-    none = F.array().cast("array<struct<s:int,e:int,kind:string,body:string>>")
+    added = _no_spans()
     if cuts:
-        passed = F.filter(candidates(text), lambda x: passes(x) & apart(x))
-        added = F.when(text.rlike(RUN), F.transform(passed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("random").alias("kind"), F.lit("").alias("body")))).otherwise(none)
-    else:
-        added = none
+        passed = F.filter(candidates(text), passes)
+        added = F.when(text.rlike(RUN), F.transform(passed, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit("random").alias("kind"), F.lit("").alias("hit")))).otherwise(added)
     return rows.withColumn(spans_col, in_order(F.concat(base_col, added))).withColumn(base_col, in_order(F.col(base_col)))
 
 
