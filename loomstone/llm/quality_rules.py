@@ -1,15 +1,21 @@
 """Quality rules whose cut-offs are chosen under risk control, in DataFrame operations only.
 
-Every rule rejects a document whose rate is above a cut-off. In each stratum
-(language) the good documents among the labelled ones are a holdout: a cut-off
-is allowed if the exact binomial bound on its false rejection rate is within
-``RISK / number of rules``, that is, if as few rejections as were seen would
-have a probability of at most the level under that rate. Levels are divided by
-the number of strata and rules (Bonferroni); along a rule's grid, from the
-loosest cut-off down, testing goes on only while it succeeds (fixed sequence),
-which needs no further correction. So with probability 1 - CONFIDENCE_LOSS no
-stratum loses more than RISK of its good documents to these rules. Strata with
-too few labels get no cut-off and lose nothing.
+Every rule rejects a document whose rate is above a cut-off. The rules' cut-offs
+move together along one fixed list of settings, from the loosest down
+(``SETTINGS``). In each stratum (language) the good documents among the labelled
+ones that the base rules leave are a holdout: a setting is allowed if the exact binomial bound on the
+false rejections of all its rules together is within ``RISK``, that is, if as
+few as were seen would have a probability of at most the level under that rate.
+Testing goes on to the next setting only while it succeeds (fixed sequence),
+which needs no correction; the level is ``CONFIDENCE_LOSS`` over the number of
+strata (Bonferroni). So with probability 1 - CONFIDENCE_LOSS no stratum loses
+more than RISK of its good documents to the method.
+
+Strata with fewer good labels than could ever allow a setting (without one false
+rejection) are pooled, and the bound holds for their pool as a whole; a stratum
+there also stops at the last setting up to which its own holdout loses no more
+than RISK. Where the pool has too few labels, too, and in strata without any,
+there is no cut-off and nothing is lost.
 
 One pass over the texts; labels are joined to the measured rates, not to texts.
 """
@@ -27,14 +33,17 @@ RISK = 0.02
 CONFIDENCE_LOSS = 0.05
 WINDOW = 8
 
-#: Rate and its cut-offs, from the loosest down.
-GRIDS = {
-    "symbol_rate": (2.0, 1.0, 0.5, 0.25, 0.1, 0.05, 0.02),
-    "upper_rate": (0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1),
-    "dup_line_rate": (0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1),
-    "repeat_rate": (0.3, 0.25, 0.2, 0.15, 0.1, 0.05),
-    "mean_word": (40.0, 30.0, 20.0, 15.0, 12.0),
-}
+#: Rates, in the order in which rejections name them, and the settings of their cut-offs from the loosest down.
+RULES = ("symbol_rate", "upper_rate", "dup_line_rate", "repeat_rate", "mean_word")
+SETTINGS = (
+    (2.0, 0.9, 0.9, 0.3, 40.0),
+    (1.0, 0.7, 0.7, 0.25, 30.0),
+    (0.5, 0.5, 0.5, 0.2, 20.0),
+    (0.25, 0.4, 0.4, 0.15, 15.0),
+    (0.1, 0.3, 0.3, 0.1, 12.0),
+    (0.05, 0.2, 0.2, 0.07, 11.0),
+    (0.02, 0.1, 0.1, 0.05, 10.0),
+)
 
 
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
@@ -109,31 +118,46 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.when(k >= n * rate, F.lit(1.0)).otherwise(F.exp(total))
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def least_labels(strata: Column, risk: float, loss: float) -> Column:
+    """The number of good labels at which a holdout without a false rejection allows a setting."""
+    return F.ceil(F.log(F.lit(loss) / F.greatest(strata, F.lit(1))) / F.log(F.lit(1 - risk)))
+
+
 def cutoffs(counts: DataFrame, labels: DataFrame, id_col: str = "doc_id", good_col: str = "quality", risk: float = RISK, loss: float = CONFIDENCE_LOSS) -> DataFrame:
-    """One row per stratum with labels: the lowest allowed cut-off of each rule, null where none is allowed.
+    """One row per stratum with good labels: pool, good labels there, and the place of its last allowed setting, null where none is.
 
-    Labels that are null, repeated or of unknown ids don't count twice or at all.
+    Labels that are null, repeated or of unknown ids don't count twice or at
+    all; of an id with several labels, one that says good is enough.
     """
     good = labels.where(F.col(good_col) == 1).select(F.col(id_col).alias("doc_id")).distinct()
-    measured = counts.select("doc_id", "stratum", *(v.alias(k) for k, v in rates(counts).items()))
+    measured = counts.where(~base_failed()).select("doc_id", "stratum", *(v.alias(k) for k, v in rates(counts).items()))
     held = measured.join(good, "doc_id", "left_semi")
-    seen = [F.count_if(F.col(rule) > c).alias(f"{rule}_{i}") for rule, grid in GRIDS.items() for i, c in enumerate(grid)]
-    table = held.groupBy("stratum").agg(F.count("*").alias("n"), *seen)
-    table = store(table, "rule-strata")
-    level = loss / (max(1, table.count()) * len(GRIDS))
-    rule_risk = risk / len(GRIDS)
-    tested = [
-        (binomial_tail(F.col(f"{rule}_{i}"), F.col("n"), rule_risk) <= level).alias(f"ok_{rule}_{i}") for rule, grid in GRIDS.items() for i in range(len(grid))
-    ]
-    table = table.select("stratum", "n", *tested)
-    out = []
-    for rule, grid in GRIDS.items():
-        chosen = F.lit(None).cast("double")
-        for i, c in enumerate(grid):
-            so_far = reduce(lambda a, b: a & b, (F.col(f"ok_{rule}_{k}") for k in range(i + 1)))
-            chosen = F.when(so_far, F.lit(c)).otherwise(chosen)
-        out.append(chosen.alias(f"cut_{rule}"))
-    return table.select("stratum", F.col("n").alias("n_good"), *out)
+    lost = [F.count_if(reduce(lambda a, b: a | b, (F.col(r) > c for r, c in zip(RULES, cuts, strict=True)))).alias(f"lost_{i}") for i, cuts in enumerate(SETTINGS)]
+    table = store(held.groupBy("stratum").agg(F.count("*").alias("n"), *lost), "rule-strata")
+
+    whole = table.agg(F.count("*").alias("strata"))
+    few = F.col("n") < least_labels(F.col("strata"), risk, loss)
+    pool = F.when(few, F.lit("few")).otherwise(F.concat(F.lit("own "), F.col("stratum")))
+    settings = range(len(SETTINGS))
+
+    def leading(passed: list[Column]) -> Column:
+        """The place of the last setting before the first that fails, null if that is the first."""
+        held = F.array(*passed)
+        first = F.coalesce(F.nullif(F.array_position(held, F.lit(False)), F.lit(0).cast("long")) - 1, F.size(held).cast("long"))
+        return F.nullif(first - 1, F.lit(-1).cast("long"))
+
+    spared = leading([F.col(f"lost_{i}") <= F.col("n") * risk for i in settings])
+    placed = table.join(F.broadcast(whole), how="cross").select("stratum", pool.alias("pool"), spared.alias("spared"), "n", *(f"lost_{i}" for i in settings))
+    pooled = placed.groupBy("pool").agg(F.sum("n").alias("n_good"), *(F.sum(f"lost_{i}").alias(f"lost_{i}") for i in settings))
+    level = F.lit(loss) / F.col("pools")
+    allowed = leading([binomial_tail(F.col(f"lost_{i}"), F.col("n_good"), risk) <= level for i in settings])
+    tested = pooled.join(F.broadcast(pooled.agg(F.count("*").alias("pools"))), how="cross").select("pool", "n_good", allowed.alias("allowed"))
+    both = F.when(F.col("allowed").isNotNull() & F.col("spared").isNotNull(), F.least("allowed", "spared"))
+    return placed.select("stratum", "pool", "spared").join(tested, "pool").select("stratum", "pool", "n_good", both.alias("setting"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum: str = "lang") -> DataFrame:
@@ -144,12 +168,14 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     empty table gives no rows. Columns other than those named are not read.
     """
     counts = store(measure(docs, id_col, text_col, stratum), "rule-counts")
-    cuts = cutoffs(counts, labels, id_col)
+    cuts = cutoffs(counts, labels, id_col).select("stratum", "setting")
     joined = counts.join(cuts, "stratum", "left")
     values = rates(counts)
-    hits = F.array(*(F.when(values[r] > F.col(f"cut_{r}"), F.lit(r)) for r in GRIDS))
-    joined = joined.withColumn("rejected_by", F.array_join(hits, ","))
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    at = (F.col("setting") + 1).cast("int")
+    cut = lambda k: F.element_at(F.array(*(F.lit(float(s[k])) for s in SETTINGS)), at)
+    hits = F.when(F.col("setting").isNotNull(), F.array_join(F.array(*(F.when(values[r] > cut(k), F.lit(r)) for k, r in enumerate(RULES))), ","))
+    joined = joined.withColumn("rejected_by", F.coalesce(hits, F.lit("")))
+    failed = base_failed()
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.col("rejected_by") == "")).alias("kept"), "rejected_by",

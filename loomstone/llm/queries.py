@@ -79,8 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-_RULE_RISK = quality_rules.RISK / len(quality_rules.GRIDS)
-_GRID = ", ".join(f"('{rule}', {r}, {i}, {c})" for r, (rule, grid) in enumerate(quality_rules.GRIDS.items()) for i, c in enumerate(grid))
+_SETTINGS = ", ".join(f"({i}, {', '.join(map(str, cuts))})" for i, cuts in enumerate(quality_rules.SETTINGS))
 _RATES = {
     "symbol_rate": "n_symbols / greatest(n_words, 1)",
     "upper_rate": "n_upper / greatest(word_chars, 1)",
@@ -105,25 +104,32 @@ ORACLES: dict[str, str] = {
                 (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '[A-Z]')) AS n_upper
             FROM t LEFT JOIN cov USING (doc_id)
         ),
-        rates AS ({" UNION ALL ".join(f"SELECT doc_id, stratum, '{rule}' AS rule, {rate} AS v FROM counts" for rule, rate in _RATES.items())}),
+        rates AS (SELECT doc_id, stratum, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {", ".join(f"{rate} AS {rule}" for rule, rate in _RATES.items())} FROM counts),
+        settings AS (SELECT * FROM (VALUES {_SETTINGS}) AS s(setting, {", ".join(f"c_{rule}" for rule in _RATES)})),
         good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
-        k AS (
-            SELECT stratum, rule, idx, c, count(*) AS n, count_if(v > c) AS k FROM rates JOIN good USING (doc_id)
-            JOIN (VALUES {_GRID}) AS grid(rule, ord, idx, c) USING (rule) GROUP BY ALL
+        lost AS (
+            SELECT stratum, setting, count(*) AS n, count_if({" OR ".join(f"{rule} > c_{rule}" for rule in _RATES)}) AS k
+            FROM rates JOIN good USING (doc_id), settings WHERE NOT base_failed GROUP BY ALL
         ),
-        level AS (SELECT {quality_rules.CONFIDENCE_LOSS} / (greatest(count(DISTINCT stratum), 1) * {len(quality_rules.GRIDS)}) AS level FROM k),
+        least AS (SELECT ceil(ln({quality_rules.CONFIDENCE_LOSS} / greatest(count(DISTINCT stratum), 1)) / ln(1 - {quality_rules.RISK})) AS least FROM lost),
+        placed AS (SELECT stratum, setting, n, k, CASE WHEN n < least THEN 'few' ELSE 'own ' || stratum END AS pool FROM lost, least),
+        spared AS (SELECT stratum, max(setting) AS spared FROM (SELECT *, bool_and(k <= n * {quality_rules.RISK}) OVER (PARTITION BY stratum ORDER BY setting) AS passed FROM lost) WHERE passed GROUP BY stratum),
+        pooled AS (SELECT pool, setting, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k FROM placed GROUP BY ALL),
+        pools AS (SELECT greatest(count(DISTINCT pool), 1) AS pools FROM pooled),
         tested AS (
-            SELECT *, CASE WHEN k >= n * {_RULE_RISK} THEN 1.0 ELSE list_sum(list_transform(range(k::BIGINT + 1), lambda i:
-                exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_RULE_RISK}) + (n - i) * ln(1 - {_RULE_RISK})))) END <= level AS ok FROM k, level
+            SELECT pool, setting, CASE WHEN k >= n * {quality_rules.RISK} THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i:
+                exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality_rules.RISK}) + (n - i) * ln(1 - {quality_rules.RISK})))) END <= {quality_rules.CONFIDENCE_LOSS} / pools AS ok
+            FROM pooled, pools
         ),
-        cut AS (SELECT stratum, rule, arg_max(c, idx) AS c FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY idx) AS passed FROM tested) WHERE passed GROUP BY ALL),
+        allowed AS (SELECT pool, max(setting) AS allowed FROM (SELECT *, bool_and(ok) OVER (PARTITION BY pool ORDER BY setting) AS passed FROM tested) WHERE passed GROUP BY pool),
+        chosen AS (SELECT stratum, least(allowed, spared) AS setting FROM (SELECT DISTINCT stratum, pool FROM placed) JOIN allowed USING (pool) JOIN spared USING (stratum)),
         hit AS (
-            SELECT doc_id, string_agg(rule, ',' ORDER BY ord) AS rejected_by FROM rates JOIN cut USING (stratum, rule)
-            JOIN (SELECT DISTINCT rule, ord FROM (VALUES {_GRID}) AS grid(rule, ord, idx, c)) USING (rule) WHERE v > c GROUP BY doc_id
+            SELECT doc_id, concat_ws(',', {", ".join(f"CASE WHEN {rule} > c_{rule} THEN '{rule}' END" for rule in _RATES)}) AS rejected_by
+            FROM rates JOIN chosen USING (stratum) JOIN settings USING (setting)
         ),
         f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-            NOT base_failed AND rejected_by IS NULL AS kept, coalesce(rejected_by, '') AS rejected_by
+            NOT base_failed AND coalesce(rejected_by, '') = '' AS kept, coalesce(rejected_by, '') AS rejected_by
         FROM f LEFT JOIN hit USING (doc_id)
     """,
     "op4_exact_dedup": r"""

@@ -592,6 +592,45 @@ def test_risk_control_rejects_junk_and_spares_the_good(spark):
     assert all(got[i].kept for i, _, _ in few)  # too few labels for a cut-off in that stratum
 
 
+def test_strata_with_few_labels_are_pooled(spark):
+    """Without a false rejection: 217 good labels allow all settings of one of four strata, fewer only together."""
+    prose = " ".join(f"word{i}" for i in range(30))
+    rows = [(1000 * k + i, f"{prose} nr{i}", lang) for k, (lang, n) in enumerate([("a", 230), ("b", 130), ("c", 100), ("d", 3)]) for i in range(n)] + [(90_000, prose, "unlabelled"), (90_001, prose, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = labels_of(spark, [(i, 1, 0) for i, _, _ in rows if i < 90_000] + [(0, None, None), (0, 0, 1), (0, 1, 0), (None, 1, 0), (777_777, 1, 1)])
+    counts = quality_rules.measure(df)
+    got = {r.stratum: (r.pool, r.n_good, r.setting) for r in quality_rules.cutoffs(counts, labels).collect()}
+    last = len(quality_rules.SETTINGS) - 1
+    assert got == {"a": ("own a", 230, last), "b": ("few", 233, last), "c": ("few", 233, last), "d": ("few", 233, last)}
+    got = {r.stratum: (r.pool, r.n_good, r.setting) for r in quality_rules.cutoffs(counts.where("stratum not in ('c', 'd')"), labels).collect()}
+    assert got == {"a": ("own a", 230, last), "b": ("few", 130, None)}
+
+
+def test_a_pooled_stratum_stops_where_its_own_holdout_loses(spark):
+    prose = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{prose} nr{i}", f"l{i % 4}") for i in range(800)] + [(1000 + i, f"{prose} nr{i}" + " #" * 10, "x") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = labels_of(spark, [(i, 1, 0) for i, _, _ in rows])
+    got = {r.stratum: r.setting for r in quality_rules.cutoffs(quality_rules.measure(df), labels).collect()}
+    assert quality_rules.SETTINGS[got["x"]][0] > 10 / 71 and all(got[f"l{k}"] > got["x"] for k in range(4))
+
+
+def test_a_setting_that_loses_good_documents_ends_the_list(spark):
+    prose = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{prose} nr{i}" + " #" * (10 if i < 20 else 0), "en") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = labels_of(spark, [(i, 1, 0) for i, _, _ in rows])
+    (got,) = quality_rules.cutoffs(quality_rules.measure(df), labels).collect()
+    assert quality_rules.SETTINGS[got.setting][0] > 10 / 71 > quality_rules.SETTINGS[got.setting + 1][0]
+    assert quality_rules.judge(df, labels).where("not kept").count() == 0
+
+
+def test_cutoffs_are_granted_where_the_sql_is_compared(spark, testdata):
+    sf = testdata.replace("sf0.001", "sf0.01")
+    rows = queries.QUERIES["op8_quality_rules"](spark, sf).collect()
+    assert sum(r.rejected_by != "" and not r.base_failed for r in rows) > 10
+
+
 # --- toxicity ------------------------------------------------------------------------------------------
 
 
