@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from loomstone.shipping import map_arrow
 
-__all__ = ["SPACE_CLASS", "as_bytes", "discard", "drawn_share", "forget_plans", "fresh", "let", "map_arrow", "read", "shared_dir", "store", "text_or_empty"]
+__all__ = ["SPACE_CLASS", "as_bytes", "discard", "drawn_share", "forget_plans", "fresh", "joined_small", "let", "map_arrow", "read", "shared_dir", "store", "text_or_empty"]
+
+#: Rows of a few short columns that may be broadcast: some tens of megabytes.
+BROADCAST_ROWS = 1 << 18
 
 #: Characters that separate words in most contracts: space, tab, LF, VT, FF, CR.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -65,6 +68,16 @@ def forget_plans(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def joined_small(rows: DataFrame, stored: DataFrame, on: list[str], how: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined with a stored table of few columns: broadcast if it has at most ``most`` rows, else by merging.
+
+    The count comes from the files' footers. Both ways give the same rows; a
+    merge join can be split where a key is hot.
+    """
+    few = stored.count() <= most
+    return rows.join(F.broadcast(stored) if few else stored.hint("merge"), on, how)
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

@@ -310,38 +310,71 @@ def test_url_sample_is_of_distinct_urls(spark, monkeypatch):
 # --- exact dedup --------------------------------------------------------------------------
 
 
+def check_dedup(df, **how):
+    groups = defaultdict(list)
+    for r in df.select("doc_id", "text").collect():
+        groups[re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")].append(r.doc_id)
+    got = exact_dedup.index_documents(df, **how).collect()
+    assert len(got) == df.count()
+    by_text = defaultdict(list)
+    for r in got:
+        by_text[r.text_sha256].append(r)
+    assert len(by_text) == len(groups)
+    for text, ids in groups.items():
+        rows = by_text[hashlib.sha256(text.encode()).hexdigest()]
+        least = min((i for i in ids if i is not None), default=None)
+        assert {(r.keep_id, r.group_size) for r in rows} == {(least, len(ids))}
+        assert sum(r.kept for r in rows) == 1 and [r.doc_id for r in rows if r.kept] == [least]
+        assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in rows)
+    return got
+
+
 def test_exact_dedup_against_plain(hard, docs, empty):
     for df in (hard, docs):
-        groups = defaultdict(list)
-        for r in df.select("doc_id", "text").collect():
-            groups[re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")].append(r.doc_id)
-        got = exact_dedup.index_documents(df, capacity=4, max_depth=6).collect()
-        assert len(got) == df.count()
-        by_text = defaultdict(list)
-        for r in got:
-            by_text[r.text_sha256].append(r)
-        assert len(by_text) == len(groups)
-        for text, ids in groups.items():
-            rows = by_text[hashlib.sha256(text.encode()).hexdigest()]
-            least = min((i for i in ids if i is not None), default=None)
-            assert {(r.keep_id, r.group_size) for r in rows} == {(least, len(ids))}
-            assert sum(r.kept for r in rows) == 1 and [r.doc_id for r in rows if r.kept] == [least]
-            assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in rows)
+        got = check_dedup(df, capacity=4)
+        assert len({r.bucket for r in got}) > 1
+        check_dedup(df)
     kept = exact_dedup.deduplicate(hard)
     assert kept.columns == hard.columns and kept.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in HARD})
     assert exact_dedup.index_documents(empty).count() == 0 and exact_dedup.deduplicate(empty).count() == 0
 
 
+def test_forced_collisions_of_hash_and_digest_chain(hard, docs):
+    for df, links in ((hard, 1), (docs, 5)):
+        got = check_dedup(df, capacity=4, hash_bits=4)
+        assert max(r.link for r in got) > links  # texts chain at one hash, told apart by digest
+        got = check_dedup(df, capacity=4, hash_bits=4, digest_chars=1)
+        assert max(r.link for r in got) > links  # and by their bytes alone
+
+
+def test_dedup_joins_by_merging_beyond_the_broadcast_bound(docs, hard, monkeypatch):
+    real = exact_dedup.joined_small
+    monkeypatch.setattr(exact_dedup, "joined_small", lambda *a: real(*a, most=-1))
+    check_dedup(docs, capacity=8)
+    assert exact_dedup.deduplicate(hard).count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t in HARD})
+
+
+def test_dedup_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "a b"), (1, "a  b"), (1, "other"), (2, "a b"), (3, "c"), (3, "c"), (None, "c"), (None, None), (None, ""), (4, "d")]
+    got = exact_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), " ".join((r.text or "").split())) for r in got) == [("1", "a b"), ("1", "other"), ("3", "c"), ("4", "d"), ("None", "")]
+
+
 def test_directory_splits_overfull_buckets(spark):
-    entries = spark.range(3000).select(F.xxhash64("id").alias("h"))
-    slots = exact_dedup.directory(entries, 100, 8).collect()
-    held = Counter()
-    depth = {r.slot: (r.depth, r.bucket) for r in slots}
-    for r in entries.select(F.shiftrightunsigned("h", 56).alias("s")).collect():
-        held[depth[r.s][1]] += 1
-    assert max(held.values()) <= 100 and {d for d, _ in depth.values()} <= set(range(9))
-    for s, (d, b) in depth.items():
-        assert b == (s >> (8 - d)) * 64 + d
+    """Hashes that share 40 leading bits need a directory that doubles far beyond what their number asks for."""
+    near = (0x5A5A5A5A5A << 24) - (1 << 63)
+    hashes = spark.range(3000).select(F.xxhash64("id").alias("h")).unionByName(spark.range(300).select((F.lit(near) + F.col("id")).alias("h")))
+    slots, bits = exact_dedup.directory(hashes, 100)
+    assert bits > 40
+    held, of = Counter(), {r.slot: r for r in slots.collect()}
+    for r in hashes.select(F.shiftrightunsigned("h", 64 - bits).alias("s")).collect():
+        held[of[r.s].bucket] += 1
+    assert max(held.values()) <= 100 and sum(held.values()) == 3300
+    for s, r in of.items():
+        assert r.bucket == (s >> (bits - r.depth)) + (1 << r.depth)
+        # no bucket is deeper than need be: with its buddy it would be overfull
+        if r.depth:
+            assert sum(n for b, n in held.items() if b >> max(0, b.bit_length() - r.depth) == r.bucket >> 1) > 100
 
 
 # --- n-gram join ----------------------------------------------------------------------------
