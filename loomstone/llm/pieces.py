@@ -3,25 +3,29 @@
 The automaton reads a segment once. At each position the pieces that end there
 are found along output links, longest first, and relaxed:
 
-* unigram models: best[i] is the best sum of scores over all ways to cut the
-  first i characters (Viterbi);
-* BPE models: a model's pieces carry merge ranks, and the best sum of ranks is
-  not what merging gives. There the pass keeps, for each position, the last
-  piece of the merged prefix. A piece that ends at i extends the prefix before
-  it if the two pieces, merged on their own, stay apart; exactly one does. This
-  gives the same pieces as merging the whole segment, in one pass.
+* Viterbi: best[i] is the best sum of scores over all ways to cut the first i
+  characters. For a unigram model that is the library's encoding.
+* BPE models: a model's scores are merge ranks, and the cut with the best sum of
+  ranks (``best_ids``) is not what merging gives. So the same pass also keeps, for
+  each position, the last piece of the merged prefix. A piece that ends at i
+  extends the prefix before it if the two pieces, merged on their own, stay
+  apart; exactly one does. This gives the library's ids (``ids``).
 
 Text becomes segments at spaces (pieces hold the space mark only in front) and
-at line ends; coded segments are held, ``HELD`` newer and as many older ones.
-Characters without a piece fall back to their bytes, or to the unknown piece.
+at line ends, which no piece crosses, so that a text's best cut is that of its
+segments. New segments are coded many at a time, a position of all of them in
+one step on arrays (``Codec.cuts_of_many``); those that hold a character beyond
+the ``CLASSES`` most frequent ones go one by one (``Codec.cuts``). Coded segments
+are held, ``HELD`` at most. Characters without a piece fall back to their bytes,
+or to the unknown piece.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,16 @@ from pyspark.sql.types import StringType, StructField, StructType
 from loomstone.llm.common import map_arrow, text_or_empty
 
 MARK = "▁"
-HELD = 100_000
+#: Segments held and, at most, their ids; pairs of pieces held.
+HELD = 500_000
+HELD_IDS = 1 << 24
 PAIRS = 400_000
-#: Rows coded at a time, which bounds what a worker holds beside its input.
-STEP = 256
+#: Characters of text coded at a time, which bounds what a worker holds beside its input.
+STEP = 1 << 21
+#: Characters with a column in the array form of the automaton, and the longest segments that use it.
+CLASSES = 127
+LONGEST = 48
+BATCH = 8192
 UNKNOWN_PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
 
@@ -129,10 +139,51 @@ class Codec:
         if any(MARK in w.lstrip(MARK) or "\n" in w for w in self.words):
             raise ValueError("pieces that cross a space or a line end are not supported")
         self.size = len(self.words) + 1
-        self.held: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.prepare()
+        self.segment = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
+        self.forget()
+
+    def prepare(self) -> None:
+        """The automaton as arrays: moves by class of character, failure links resolved, and what ends at each node."""
+        automaton = self.automaton
+        #: For each node the pieces that end there, longest first, as (piece, length, score).
+        self.ends = [tuple([(k, n, self.scores[k]) for k, n in found]) for found in automaton.ends]
         self.apart: dict[int, bool] = {}
-        self.segment = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        counts = Counter(c for w in self.words for c in w)
+        own = set(self.words)
+        # A character that is itself a piece can always be cut off alone.
+        chosen = [c for c, _ in counts.most_common() if c in own][:CLASSES]
+        self.kind_of = np.zeros(0x110000, dtype=np.uint8)
+        for k, c in enumerate(chosen, start=1):
+            self.kind_of[ord(c)] = k
+        column = {c: k for k, c in enumerate(chosen, start=1)}
+        self.moves = np.zeros((len(automaton.next), len(chosen) + 1), dtype=np.int32)
+        queue = deque([0])
+        while queue:
+            at = queue.popleft()
+            if at:
+                self.moves[at] = self.moves[automaton.fail[at]]
+            for c, to in automaton.next[at].items():
+                if c in column:
+                    self.moves[at, column[c]] = to
+                queue.append(to)
+        self.n_ends = np.array([len(x) for x in automaton.ends], dtype=np.int32)
+        self.first_end = np.concatenate([[0], np.cumsum(self.n_ends)[:-1]]).astype(np.int64)
+        self.end_word = np.array([k for x in automaton.ends for k, _ in x], dtype=np.int64)
+        self.length_of = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.score_of = np.array(self.scores, dtype=np.float64)
+        #: Verdicts on pairs, by hash; what isn't here is in ``apart`` or worked out.
+        self.pair_bits = 20
+        self.pair_key = np.full(1 << self.pair_bits, -1, dtype=np.int64)
+        self.pair_stays = np.zeros(1 << self.pair_bits, dtype=bool)
+
+    def forget(self) -> None:
+        """Drop the held segments."""
+        self.held: dict[str, int] = {}
+        self.spans = np.zeros((1024, 4), dtype=np.int64)  # start and end in ids, start and end in best
+        self.best_score = np.zeros(1024)
+        self.flat = [np.zeros(4096, dtype=np.uint32), np.zeros(4096, dtype=np.uint32)]
+        self.used = [0, 0]
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: the best-ranked neighbours first, the leftmost of equals."""
@@ -156,83 +207,184 @@ class Codec:
         found = self.apart[a * self.size + b] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
-    def by_merges(self, text: str) -> list[int]:
-        """Numbers of the words, or minus the place (from 1) of a character without a piece."""
-        automaton, apart, size = self.automaton, self.apart, self.size
-        following, ends, step = automaton.next, automaton.ends, automaton.step
-        last, at = [-1], 0
+    def cuts(self, text: str, merges: bool) -> tuple[list[int], list[int] | None, float]:
+        """Best cut, merged cut and best sum of scores, in one pass.
+
+        A cut lists numbers of words, or minus the place (from 1) of a character without a piece.
+        """
+        automaton, apart, size, floor = self.automaton, self.apart, self.size, self.floor
+        following, ends, step = automaton.next, self.ends, automaton.step
+        best, cut, last, at = [0.0], [-1], [-1], 0
         for c in text:
             to = following[at].get(c)
             at = step(at, c) if to is None else to
-            for k, n in ends[at]:
-                before = last[-n]
-                stay = apart.get(before * size + k)
-                if self._stay(before, k) if stay is None else stay:
-                    last.append(k)
-                    break
-            else:
-                last.append(-1)
-        out, i = [], len(text)
-        lengths = self.lengths
-        while i:
-            k = last[i]
-            out.append(k if k >= 0 else -i)
-            i -= lengths[k] if k >= 0 else 1
-        return out[::-1]
-
-    def by_scores(self, text: str) -> list[int]:
-        best, cut, at = [0.0], [0], 0
-        for i, c in enumerate(text, start=1):
-            at = self.automaton.step(at, c)
-            score, word, single = None, -1, False
-            for k, n in self.automaton.ends[at]:
-                single |= n == 1
-                s = best[i - n] + self.scores[k]
+            found = ends[at]
+            # A character without a piece of its own can be cut off alone, at a penalty.
+            score, word = (None, -1) if found and found[-1][1] == 1 else (best[-1] + floor, -1)
+            for k, n, s in found:
+                s += best[-n]
                 if score is None or s > score:
                     score, word = s, k
-            if not single and (score is None or best[i - 1] + self.floor > score):
-                score, word = best[i - 1] + self.floor, -1
             best.append(score)
             cut.append(word)
-        out, i = [], len(text)
+            if merges:
+                for k, n, _ in found:
+                    before = last[-n]
+                    stay = apart.get(before * size + k)
+                    if self._stay(before, k) if stay is None else stay:
+                        last.append(k)
+                        break
+                else:
+                    last.append(-1)
+        return self._back(cut), self._back(last) if merges else None, best[-1]
+
+    def _back(self, ends: list[int]) -> list[int]:
+        out, i, lengths = [], len(ends) - 1, self.lengths
         while i:
-            k = cut[i]
+            k = ends[i]
             out.append(k if k >= 0 else -i)
-            i -= self.lengths[k] if k >= 0 else 1
+            i -= lengths[k] if k >= 0 else 1
         return out[::-1]
 
-    def _bytes(self, segment: str) -> bytes:
-        out = self.older.get(segment)
-        if out is None and segment[-1] in ".," and len(segment) > 1 and segment[-2:] not in self.pairs:
-            # No piece holds these two characters side by side, so nothing merges across them.
-            head, tail = segment[:-1], segment[-1]
-            out = (self.held.get(head) or self._bytes(head)) + (self.held.get(tail) or self._bytes(tail))
-        if out is None:
-            cut = self.by_merges(segment) if self.kind == BPE else self.by_scores(segment)
-            ids: list[int] = []
-            for k in cut:
-                if k >= 0:
-                    ids.append(self.numbers[k])
-                else:
-                    ids += [self.byte[b] for b in segment[-k - 1].encode()] if self.byte else [self.unknown]
-            out = array("I", ids).tobytes()
-        if len(segment) <= 64:
-            self.held[segment] = out
+    def _stays(self, before: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """``_stay`` of many pairs."""
+        key = before * self.size + k
+        at = ((key * 0x9E3779B1) >> 7) & ((1 << self.pair_bits) - 1)
+        out = self.pair_stays[at]
+        for i in np.flatnonzero(self.pair_key[at] != key).tolist():
+            stay = self.apart.get(int(key[i]))
+            out[i] = self._stay(int(before[i]), int(k[i])) if stay is None else stay
+            self.pair_key[at[i]], self.pair_stays[at[i]] = key[i], out[i]
         return out
 
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, dtype=np.uint32)
-        if len(self.held) > HELD:
-            self.held, self.older = {}, self.held
-        marked = (MARK if self.dummy else "") + text.replace(" ", MARK)
-        line_end = self._bytes("\n") if "\n" in marked else b""
-        held, code = self.held, self._bytes
-        lines = [b"".join([held.get(s) or code(s) for s in self.segment.findall(line)]) for line in marked.split("\n")]
-        return np.frombuffer(line_end.join(lines), dtype="<u4")
+    def cuts_of_many(self, kinds: np.ndarray, lengths: np.ndarray, merges: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``cuts`` of many segments, as matrices: the last word of the best and of the merged cut at each position, and the best sums.
+
+        ``kinds`` holds a segment's classes of characters in a row, longer segments first.
+        """
+        n, width = kinds.shape
+        best = np.zeros((n, width + 1))
+        cut = np.full((n, width + 1), -1, dtype=np.int64)
+        last = np.full((n, width + 1), -1, dtype=np.int64)
+        node = np.zeros(n, dtype=np.int64)
+        for i in range(1, width + 1):
+            alive = int(np.searchsorted(-lengths, -i, side="right"))
+            node = self.moves[node[:alive], kinds[:alive, i - 1]].astype(np.int64)
+            ends, first = self.n_ends[node], self.first_end[node]
+            score, word = np.full(alive, -np.inf), np.full(alive, -1, dtype=np.int64)
+            merged = np.full(alive, -1, dtype=np.int64)
+            for j in range(int(ends.max(initial=0))):
+                rows = np.flatnonzero(ends > j)
+                k = self.end_word[first[rows] + j]
+                start = i - self.length_of[k]
+                sums = best[rows, start] + self.score_of[k]
+                better = sums > score[rows]
+                score[rows[better]], word[rows[better]] = sums[better], k[better]
+                if merges:
+                    left = merged[rows] < 0
+                    rows, k = rows[left], k[left]
+                    stays = self._stays(last[rows, start[left]], k)
+                    merged[rows[stays]] = k[stays]
+            best[:alive, i], cut[:alive, i], last[:alive, i] = score, word, merged
+        return cut, last, best
+
+    def _walked(self, ends: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of each row's cut, one row after the other, and their numbers."""
+        at, rows, back = lengths.copy(), np.arange(len(lengths)), []
+        while len(rows):
+            k = ends[rows, at[rows]]
+            back.append((rows, k))
+            at[rows] -= self.length_of[k]
+            rows = rows[at[rows] > 0]
+        row = np.concatenate([r for r, _ in back[::-1]])
+        word = np.concatenate([k for _, k in back[::-1]])
+        # Steps came last word first; a stable sort by row brings each row's words in order.
+        order = np.argsort(row, kind="stable")
+        return word[order], np.bincount(row, minlength=len(lengths))
+
+    def _hold(self, segments: list[str], ids: list[np.ndarray], sizes: list[np.ndarray], scores: np.ndarray) -> None:
+        """Add coded segments: for the library's and the best ids, all of them and their numbers by segment."""
+        first, n = len(self.held), len(segments)
+        if first + n > len(self.spans):
+            room = max(2 * len(self.spans), first + n)
+            self.spans = np.concatenate([self.spans, np.zeros((room - len(self.spans), 4), dtype=np.int64)])
+            self.best_score = np.concatenate([self.best_score, np.zeros(room - len(self.best_score))])
+        for side in (0, 1):
+            total = self.used[side] + len(ids[side])
+            if total > len(self.flat[side]):
+                self.flat[side] = np.concatenate([self.flat[side], np.zeros(max(len(self.flat[side]), total - len(self.flat[side])), dtype=np.uint32)])
+            self.flat[side][self.used[side] : total] = ids[side]
+            ends = self.used[side] + np.cumsum(sizes[side])
+            self.spans[first : first + n, 2 * side] = ends - sizes[side]
+            self.spans[first : first + n, 2 * side + 1] = ends
+            self.used[side] = total
+        self.best_score[first : first + n] = scores
+        self.held.update(zip(segments, range(first, first + n), strict=True))
+
+    def _ids(self, segment: str, cut: list[int]) -> list[int]:
+        ids: list[int] = []
+        for k in cut:
+            if k >= 0:
+                ids.append(self.numbers[k])
+            else:
+                ids += [self.byte[b] for b in segment[-k - 1].encode("utf-8", "replace")] if self.byte else [self.unknown]
+        return ids
+
+    def _code(self, segments: list[str]) -> None:
+        lengths = np.fromiter(map(len, segments), np.int64, len(segments))
+        kinds = self.kind_of[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        starts = np.cumsum(lengths) - lengths
+        plain = (np.minimum.reduceat(kinds, starts) > 0) & (lengths <= LONGEST)
+        order = np.flatnonzero(plain)
+        order = order[np.argsort(-lengths[order], kind="stable")]
+        numbers = np.array(self.numbers, dtype=np.uint32)
+        merges = self.kind == BPE
+        for at in range(0, len(order), BATCH):
+            some = order[at : at + BATCH]
+            size = lengths[some]
+            matrix = kinds[np.minimum(starts[some, None] + np.arange(size[0]), len(kinds) - 1)]
+            cut, last, best = self.cuts_of_many(matrix, size, merges)
+            word, n = self._walked(cut, size)
+            merged, m = self._walked(last, size) if merges else (word, n)
+            self._hold([segments[i] for i in some], [numbers[merged], numbers[word]], [m, n], best[np.arange(len(some)), size])
+        for i in np.flatnonzero(~plain).tolist():
+            best, merged, score = self.cuts(segments[i], merges)
+            ids = [np.array(self._ids(segments[i], x), dtype=np.uint32) for x in (best if merged is None else merged, best)]
+            self._hold([segments[i]], ids, [np.array([len(x)]) for x in ids], np.array([score]))
+
+    def encode_many(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """For the library's ids and those of the best cut: where each text's ids begin and end, and all ids; and the best scores.
+
+        The two lists of ids are the same for unigram models.
+        """
+        if len(self.held) > HELD or max(self.used) > HELD_IDS:
+            self.forget()
+        mark = MARK if self.dummy else ""
+        by_text = [self.segment.findall(mark + t.replace(" ", MARK)) if t else [] for t in texts]
+        counts = np.fromiter(map(len, by_text), np.int64, len(by_text))
+        segments = list(chain.from_iterable(by_text))
+        places = list(map(self.held.get, segments))
+        if None in places:
+            self._code(list(dict.fromkeys(s for s, x in zip(segments, places, strict=True) if x is None)))
+            places = list(map(self.held.__getitem__, segments))
+        at = np.array(places, dtype=np.int64)
+        of = np.concatenate([[0], np.cumsum(counts)])
+        offsets, ids = [], []
+        for side in (0, 1):
+            start, end = self.spans[at, 2 * side], self.spans[at, 2 * side + 1]
+            ends = np.concatenate([[0], np.cumsum(end - start)])
+            ids.append(self.flat[side][np.arange(ends[-1]) + np.repeat(start - ends[:-1], end - start)])
+            offsets.append(ends[of])
+        scores = np.array([self.best_score[at[a:b]].sum() for a, b in zip(of[:-1], of[1:], strict=True)])
+        return offsets, ids, scores
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, float]:
+        """The library's ids of one text, those of the best cut, and its score."""
+        _, (ids, best), scores = self.encode_many([text])
+        return ids, best, float(scores[0])
 
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join([self.table[i] for i in ids.tolist()]).decode("utf-8", errors="replace")
+        text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
@@ -246,31 +398,43 @@ def codec(path: str, model_type: int | None = None) -> Codec:
     return _codecs[path, model_type]
 
 
-def _lists(rows: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-    values = np.concatenate(rows) if rows else np.zeros(0, dtype=np.uint32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
+def steps(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about ``STEP`` characters."""
+    start, size = 0, 0
+    for i, t in enumerate(texts, start=1):
+        size += len(t)
+        if size >= STEP or i == len(texts):
+            yield start, i
+            start, size = i, 0
+
+
+SCHEMA = "doc_id long, ids array<int>, best_ids array<int>, best_score double, round_trip boolean"
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, ids, and round_trip: whether the ids decode to the text.
+    """One row per row of ``docs``: doc_id, the library's ids, the best cut's ids and score, and round_trip.
 
-    Null text is empty and has no ids; repeats and null ids are coded row by
-    row, an empty table gives no rows. A text that holds the space mark itself
-    decodes to a space there, as the format has it.
+    round_trip says whether both lists of ids decode to the text. Null text is
+    empty, has no ids and the score 0; repeats and null ids are coded row by row,
+    an empty table gives no rows. A text that holds the space mark itself
+    decodes to a space there, as the format has it. Ids must be whole numbers.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for b in batches:
-            for i in range(0, b.num_rows, STEP):
-                texts = b.column(1).slice(i, STEP).to_pylist()
-                ids = [c.encode(t) for t in texts]
-                same = [c.decode(x) == t for x, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, STEP), _lists(ids), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
+            texts = b.column(1).to_pylist()
+            for lo, hi in steps(texts):
+                offsets, ids, scores = c.encode_many(texts[lo:hi])
+                same = [True] * (hi - lo)
+                for at, x in zip(offsets, ids, strict=True):
+                    same = [s and c.decode(x[a:z]) == t for s, a, z, t in zip(same, at[:-1], at[1:], texts[lo:hi], strict=True)]
+                lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for at, x in zip(offsets, ids, strict=True)]
+                columns = [b.column(0).slice(lo, hi - lo), *lists, pa.array(scores, pa.float64()), pa.array(same, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.transform(map_arrow, run, "doc_id long, ids array<int>, round_trip boolean")
+    return rows.transform(map_arrow, run, SCHEMA)
 
 
 def decode(coded: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:

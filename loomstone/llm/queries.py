@@ -61,9 +61,9 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every whole text, and whether decoding gives the text back."""
+    """Ids of every whole text by merging and by the best cut, its score, and whether decoding both gives the text back."""
     coded = pieces.encode(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.size("best_ids").cast("long").alias("n_best"), "best_ids", "best_score", "round_trip")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
