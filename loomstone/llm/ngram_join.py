@@ -10,20 +10,26 @@ shingles of widely shared passages come late and stay out of prefixes. Any
 order is right; the counters only make it a good one.
 
 1. sketch: one pass counts shingles by cell.
-2. prefixes: one pass gives each document its set's digest, size and prefix.
+2. prefixes: one pass gives each document its set's digest, size, prefix and
+   parities: bits that tell whether a cell of shingles holds an odd number.
+   Two sets differ in at least as many shingles as their parities differ in
+   bits, so a pair that differs in too many can't link (parity filter).
 3. classes: documents with equal sets become one class; classes with equal
    size and prefix become one group.
-4. group pairs: for each shingle, groups meet the group in which it stands
-   earliest (a hub, usually the original of edited copies). After linking,
-   groups that are not yet in one component meet each other. Size and position
-   filters apply to each pair.
-5. verify: members of a pair of groups are compared on their words, exactly.
-6. degrees: linked classes are in one component, so the classes of a component
-   are counted against each other, in blocks, a pair of blocks at a time.
-
-Because links of equal sets and of the hub join most of a large group of
-copies before other pairs are made, no group emits all of its pairs unless its
-members really are in different components.
+4. hubs: for each shingle, groups meet the group in which it stands earliest (a
+   hub, usually the original of edited copies), members their group. Size,
+   position and parity filters apply to each pair.
+5. verify: what is left is compared on its words, exactly; a hub's text is sent
+   once for each task that needs it.
+6. families: groups that met one hub, and the members of one group, are a
+   family; every pair that can link lies in one. Where a family is in several
+   components after linking, its members are compared by size and parities, in
+   blocks on arrays, a pair of blocks at a time. Only pairs that pass leave a
+   task: first, of those between two components, one a block, then any that
+   are still apart. So texts are read for pairs that link, or nearly do, and no
+   pairs of copies are emitted that others already join.
+7. degrees (if asked for): linked classes are in one component, so the classes
+   of a component are counted against each other, in blocks as well.
 """
 
 from __future__ import annotations
@@ -44,6 +50,11 @@ BLOCK_BITS = 12
 #: Shingles, with repeats over classes, and classes of a block in the count of links.
 BLOCK_SHINGLES = 1 << 18
 BLOCK_CLASSES = 1 << 9
+#: Members of a family's block, and bytes of their parities.
+BLOCK_MEMBERS = 1 << 12
+BLOCK_BYTES = 1 << 23
+#: Pairs with one hub that share a copy of its text.
+HUB_PAIRS = 1 << 11
 
 
 def shingles_of(words: list[bytes], width: int) -> list[tuple[bytes, ...]]:
@@ -145,12 +156,27 @@ def sketch(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
     return out
 
 
+def parities(h: np.ndarray, num: int, den: int) -> bytes:
+    """For each of a power of two of cells whether it holds an odd number of the set's hashes; about eight cells for each difference allowed."""
+    allowed = 2 * len(h) * (den - num) // (den + num)
+    cells = max(64, 1 << (8 * allowed).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray, n: int) -> np.ndarray:
+    """Parities of ``n`` words from those of more: cells that become one add up."""
+    while words.shape[-1] > n:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
+
 def prefixes(docs: DataFrame, counts: np.ndarray, text_col: str, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, digests of the set and of the prefix (two longs each) and the prefix in order, for each row."""
+    """doc_id, n, digests of the set and of the prefix (two longs each), parities and the prefix in order, for each row."""
     spark = docs.sparkSession
     # Steps of a 256th of a doubling: sixteen bits sort fast, and any order will do.
     shared = spark.sparkContext.broadcast((np.log2(1.0 + counts) * 256).astype(np.uint16))
-    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "n", "s1", "s2", "p1", "p2")), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([*((x, pa.int64()) for x in ("doc_id", "n", "s1", "s2", "p1", "p2")), ("par", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = Hasher(width), shared.value
@@ -161,11 +187,11 @@ def prefixes(docs: DataFrame, counts: np.ndarray, text_col: str, width: int, num
                 n = len(h)
                 first = h[np.argsort(seen[_cells(h)], kind="stable")[: n - -(-n * num // den) + 1]] if n else h
                 digests = xxhash.xxh3_128_digest(h.tobytes()) + xxhash.xxh3_128_digest(first.tobytes())
-                rows.append((doc_id, n, *np.frombuffer(digests, dtype="<i8").tolist(), first.view(np.int64)))
+                rows.append((doc_id, n, *np.frombuffer(digests, dtype="<i8").tolist(), parities(h, num, den), first.view(np.int64)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.select("doc_id", as_bytes(text_col).alias("t")).transform(map_arrow, run, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>")
+    return docs.select("doc_id", as_bytes(text_col).alias("t")).transform(map_arrow, run, "doc_id long, n long, s1 long, s2 long, p1 long, p2 long, par binary, prefix array<long>")
 
 
 def possible(num: int, den: int) -> Column:
@@ -177,27 +203,53 @@ def possible(num: int, den: int) -> Column:
     return (F.least("n", "n2") * den >= F.greatest("n", "n2") * num) & (left >= least)
 
 
+def sift(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and parities let them link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(2).to_numpy(), b.column(3).to_numpy()
+            keep = []
+            for m, k, x, y in zip(*n, b.column(4), b.column(5), strict=True):
+                x, y = np.frombuffer(x.as_py(), dtype="<u8"), np.frombuffer(y.as_py(), dtype="<u8")
+                words = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                keep.append(min(m, k) * den >= max(m, k) * num and differ * (den + num) <= (m + k) * (den - num))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (classes.select(F.col("class_id").alias(x), F.col("n").alias(f"n{x}"), F.col("par").alias(f"p{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb").transform(map_arrow, run, "a long, b long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose shingle sets, on their words, link."""
+    """The pairs (a, b) whose shingle sets, on their words, link.
+
+    b's text comes ahead of the texts that meet it. Where many do, they are
+    dealt to several stretches of rows, each with a copy of b's text.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, set] = (b"", set())
+        hub: set = set()
         for batch in batches:
             a, b = [], []
-            for x, y, left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                tx, ty = left.as_py(), right.as_py()
-                if ty != last[0]:
-                    last = ty, set(shingles_of(ty.lower().split(), width))
-                own = set(shingles_of(tx.lower().split(), width))
-                common = len(own & last[1])
-                if den * common >= num * (len(own) + len(last[1]) - common):
+            for y, x, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                own = set(shingles_of(text.as_py().lower().split(), width))
+                if x is None:
+                    hub = own
+                    continue
+                common = len(own & hub)
+                if den * common >= num * (len(own) + len(hub) - common):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").transform(map_arrow, run, "a long, b long")
+    stretches = pairs.groupBy("b").agg(F.ceil(F.count("*") / HUB_PAIRS).cast("int").alias("stretches"))
+    met = pairs.join(stretches, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("stretches")).cast("int").alias("stretch"))
+    met = met.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "stretch", "a", "t")
+    hubs = stretches.join(texts.withColumnRenamed("doc_id", "b"), "b")
+    hubs = hubs.select("b", F.explode(F.sequence(F.lit(0), F.col("stretches") - 1)).alias("stretch"), F.lit(None).cast("long").alias("a"), "t")
+    rows = met.unionByName(hubs).repartition("b", "stretch").sortWithinPartitions("b", "stretch", F.asc_nulls_first("a"))
+    return rows.select("b", "a", "t").transform(map_arrow, run, "a long, b long")
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -289,6 +341,85 @@ def degrees(docs: DataFrame, classes: DataFrame, links: DataFrame, labels: DataF
     return store(counted.groupBy("node").agg(F.sum("n_links").alias("n_links")), "join-degrees")
 
 
+def close_pairs(rows: list[tuple[int, int, int, int, bytes]], num: int, den: int, forest: bool) -> Iterator[tuple[int, int]]:
+    """Pairs of classes in different components that sizes and parities let link, between sides 0 and 1 or within side 2.
+
+    Rows are (class, side, component, n, parities). ``forest``: of the pairs
+    between two components, as joined by earlier pairs, only the first.
+    """
+    within = rows[0][1] == 2
+    order = sorted(range(len(rows)), key=lambda r: rows[r][3])
+    right = [r for r in order if within or rows[r][1] == 1]
+    place = {r: k for k, r in enumerate(right)}
+    names = {c: k for k, c in enumerate(dict.fromkeys(r[2] for r in rows))}
+    component = np.array([names[r[2]] for r in rows])
+    of_right = np.array(right, dtype=np.int64)
+    size = np.array([rows[r][3] for r in right], dtype=np.int64)
+    words = np.array([len(rows[r][4]) // 8 for r in right])
+    # Larger sets have no fewer cells, so rows of one width are one stretch of the right side.
+    stretches = []
+    for w in np.unique(words).tolist():
+        lo, hi = np.searchsorted(words, (w, w + 1))
+        stretches.append((int(lo), int(hi), {w: np.frombuffer(b"".join(rows[r][4] for r in right[lo:hi]), dtype="<u8").reshape(-1, w)}))
+    for i in order:
+        _, side, _, n, bits = rows[i]
+        if side == 1:
+            continue
+        own = np.frombuffer(bits, dtype="<u8")
+        low, high = np.searchsorted(size, -(-n * num // den)), np.searchsorted(size, n * den // num, side="right")
+        if within:
+            low = max(low, place[i] + 1)
+        for lo, hi, held in stretches:
+            lo_, hi_ = max(lo, int(low)), min(hi, int(high))
+            if lo_ >= hi_:
+                continue
+            w = min(len(own), max(held))
+            if w not in held:
+                held[w] = folded(held[max(held)], w)
+            differ = np.bitwise_count(held[w][lo_ - lo : hi_ - lo] ^ folded(own, w)).sum(axis=1, dtype=np.int64)
+            met = of_right[lo_:hi_][differ * (den + num) <= (n + size[lo_:hi_]) * (den - num)]
+            met = met[component[met] != component[i]]
+            if forest:
+                # one row of each component, which then is this row's own
+                _, at = np.unique(component[met], return_index=True)
+                met = met[at]
+                for c in component[met].tolist():
+                    component[component == c] = component[i]
+            yield from ((rows[i][0], rows[r][0]) for r in met.tolist())
+
+
+def apart(families: DataFrame, members: DataFrame, labels: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of classes of one family that are in different components and that sizes and parities let link."""
+    label = F.coalesce(F.col("component"), F.col("class_id")).alias("c")
+    spread = members.join(labels, members["class_id"] == labels["node"], "left").select("g", "class_id", label, "n", "par")
+    placed = store(families.join(spread, "g").select("family", "class_id", "c", "n", "par"), "join-families")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum(F.octet_length("par")) / BLOCK_BYTES)).cast("int")
+    mixed = placed.groupBy("family").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), blocks.alias("blocks")).where("lo < hi").select("family", "blocks")
+    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
+    dealt = placed.join(mixed, "family").select("family", "class_id", "c", "n", "par", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    dealt = dealt.select("family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class_id", side.alias("side"), "c", "n", "par")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def passed(rows: list) -> pa.RecordBatch:
+            got = list(close_pairs(rows, num, den, forest))
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in range(2)], names=["a", "b"])
+
+        key, rows = None, []
+        for b in batches:
+            for *at, node, its, c, n, bits in zip(*(b.column(i).to_pylist() for i in range(7)), b.column(7), strict=True):
+                if at != key:
+                    if rows:
+                        yield passed(rows)
+                    key, rows = at, []
+                rows.append((node, its, c, n, bits.as_py()))
+        if rows:
+            yield passed(rows)
+
+    met = dealt.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").transform(map_arrow, run, "a long, b long")
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, count_links: bool = True
 ) -> DataFrame:
@@ -299,16 +430,19 @@ def jaccard_join(
     white space). Fewer words give one shingle of them all; a text that is
     null or has no words links with nothing and is its own component.
     class_id is the smallest id with the same set, n_links the number of all other
-    classes that link with it. Repeated rows and ids fall in one class. A
-    row without id has no class and no component. Other columns are not read.
+    classes that link with it. Repeated rows fall in one class. Ids are taken as
+    unique: of an id with several texts one stands for it, so links of the others
+    may be missed. A row without id has no class and no component. An empty table
+    gives no rows. Other columns are not read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     full = store(prefixes(docs, sketch(docs, "text", width), "text", width, num, den), "join-sets")
     sets = store(full.drop("prefix"), "join-digests")
     filled = sets.where("n > 0 and doc_id is not null")
-    classes = store(filled.groupBy("s1", "s2", "n", "p1", "p2").agg(F.min("doc_id").alias("class_id")), "join-classes")
+    # Equal sets have equal parities: grouping by them as well only carries them along.
+    classes = store(filled.groupBy("s1", "s2", "n", "p1", "p2", "par").agg(F.min("doc_id").alias("class_id")), "join-classes")
     groups = classes.groupBy("n", "p1", "p2").agg(F.min("class_id").alias("g"))
-    members = store(classes.join(groups, ["n", "p1", "p2"]).select("g", "class_id", "n"), "join-members")
+    members = store(classes.join(groups, ["n", "p1", "p2"]).select("g", "class_id", "n", "par"), "join-members")
     # Rows of one id have one text; where they don't, the smallest set stands for them.
     heads = full.where("n > 0").join(members.select("g").distinct(), F.col("doc_id") == F.col("g"), "left_semi").groupBy("doc_id").agg(F.min(F.struct("n", "prefix")).alias("x"))
     heads = store(heads.select(F.col("doc_id").alias("g"), F.col("x.n").alias("n"), F.col("x.prefix").alias("prefix")), "join-heads")
@@ -325,36 +459,33 @@ def jaccard_join(
     hub = listed.groupBy("token").agg(F.min(F.struct(F.shiftright("at", 32).alias("pos2"), F.col("g").alias("g2"), "at")).alias("hub"))
     hub = hub.select("token", "hub.pos2", "hub.g2", F.col("hub.at").bitwiseAND(2**32 - 1).alias("n2"))
     spread = listed.select("token", "g", F.shiftright("at", 32).alias("pos"), F.col("at").bitwiseAND(2**32 - 1).alias("n"))
-    shared = store(spread.join(hub, "token"), "join-shared")
+    shared = spread.join(hub, "token").groupBy("g2", "g").agg(F.max(possible(num, den)).alias("possible"))
+    shared = store(shared, "join-shared")
+    discard(listed)
+    discard(common)
 
     # Round 1: every member of a group with the group's own representative, every group with its hubs.
     inner = members.where(F.col("class_id") != F.col("g")).select(F.col("class_id").alias("a"), F.col("g").alias("b"))
-    outer = shared.where((F.col("g") != F.col("g2")) & possible(num, den)).select(F.col("g").alias("a"), F.col("g2").alias("b")).distinct()
-    first = store(inner.unionByName(outer), "join-pairs")
-    links = store(verify(first, texts_of(docs, first), width, num, den), "join-links")
+    outer = shared.where((F.col("g") != F.col("g2")) & F.col("possible")).select(F.col("g").alias("a"), F.col("g2").alias("b"))
+    tried = store(sift(inner.unionByName(outer), members, num, den), "join-pairs")
+    links = store(verify(tried, texts_of(docs, tried), width, num, den), "join-links")
     labels = store(connected_components(links), "join-labels")
 
-    # Round 2: what round 1 left apart. Components, not groups, meet first, so that members of one never do.
-    label = F.coalesce(F.col("component"), F.col("class_id")).alias("c")
-    spread = store(members.join(labels, members["class_id"] == labels["node"], "left").select("g", "class_id", label), "join-spread")
-    placed = shared.join(spread.select("g", "c").distinct(), "g").select("token", "g", "n", "pos", "c")
-    mixed = placed.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
-    placed = store(placed.join(mixed, "token", "left_semi"), "join-placed")
-    parts = placed.groupBy("token", "c").agg(F.min("n").alias("n"), F.max("n").alias("most"), F.min("pos").alias("pos"))
-    theirs = parts.select("token", *(F.col(x).alias(f"{x}2") for x in ("c", "n", "most", "pos")))
-    reach = F.least(F.col("most") - F.col("pos"), F.col("most2") - F.col("pos2")) >= F.ceil((F.col("n") + F.col("n2")) * num / (num + den))
-    sizes = (F.col("n") * num <= F.col("most2") * den) & (F.col("n2") * num <= F.col("most") * den)
-    meet = parts.join(theirs, "token").where((F.col("c") < F.col("c2")) & sizes & reach).select("token", "c", "c2")
-    theirs = placed.select("token", *(F.col(x).alias(f"{x}2") for x in ("c", "g", "n", "pos")))
-    pairs = meet.join(placed, ["token", "c"]).join(theirs, ["token", "c2"]).where(possible(num, den))
-    pairs = pairs.select("g", "c", "g2", "c2").distinct()
-    own = spread.select("g", "c", F.col("class_id").alias("a"))
-    its = spread.select(F.col("g").alias("g2"), F.col("c").alias("c2"), F.col("class_id").alias("b"))
-    second = pairs.join(own, ["g", "c"]).join(its, ["g2", "c2"]).select("a", "b")
-    second = store(second.join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "join-pairs")
-    if not second.isEmpty():
-        links = links.unionByName(store(verify(second, texts_of(docs, second), width, num, den), "join-links"))
-        labels = store(connected_components(links), "join-labels")
+    # Round 2: what round 1 left apart.
+    several = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("family"), "g")
+    families = store(shared.select(F.col("g2").alias("family"), "g").unionByName(several).distinct(), "join-family-groups")
+    for forest in (True, False):
+        met = apart(families, members, labels, num, den, forest)
+        ends = [tried.select(x, y) for x, y in (("a", "b"), ("b", "a"))]
+        met = met.join(ends[0], ["a", "b"], "left_anti").join(ends[1].toDF("a", "b"), ["a", "b"], "left_anti")
+        met = store(met, "join-pairs")
+        if met.isEmpty():
+            continue
+        found = store(verify(met, texts_of(docs, met), width, num, den), "join-links")
+        tried = tried.unionByName(met)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = store(connected_components(links), "join-labels")
 
     named = classes.join(labels, classes["class_id"] == labels["node"], "left").drop("node")
     if count_links:
@@ -374,7 +505,11 @@ def jaccard_join(
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest; rows without id stay."""
+    """The rows of ``docs`` whose id is its component's smallest.
+
+    Rows without id, and rows without words, stay; of repeated rows all stay or
+    go together; an empty table gives no rows. All columns are returned.
+    """
     joined = jaccard_join(docs, id_col, text_col, count_links=False, **how)
     gone = joined.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(id_col))
     return docs.join(gone, id_col, "left_anti").select(docs.columns)

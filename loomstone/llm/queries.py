@@ -56,7 +56,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_join.jaccard_join(read(spark, sf_dir, "documents", "doc_id", "text"), width=3, num=90, den=100)
+    found = ngram_join.jaccard_join(read(spark, sf_dir, "documents", "doc_id", "text"), width=3, num=90, den=100, count_links=False)
     return found.select("doc_id", "n_shingles", "component_id")
 
 

@@ -430,6 +430,81 @@ def test_join_against_plain(spark, docs, width, num):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: want[i] for i, _ in given}
 
 
+def edited_copies(n, length=500, edits=8):
+    """Copies of one text, which is not among them, with edits of their own: alike, but no two link at 0.9."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(length)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for k in rng.choice(length, edits, replace=False):
+            w[k] = f"x{i}_{k}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_pairs_tried_grow_with_the_rows(spark, monkeypatch):
+    counts = []
+    monkeypatch.setattr(ngram_join, "verify", lambda pairs, *a, real=ngram_join.verify: counts.append(pairs.count()) or real(pairs, *a))
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 64)
+    for n in (300, 1200):
+        rows = edited_copies(n)
+        counts.clear()
+        got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=90, count_links=False).collect()
+        if n == 300:
+            assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_join(rows, 3, 90, 100)
+        assert sum(counts) <= n  # of 44,850 and 719,400 pairs
+
+
+def test_members_of_a_group_that_link_past_its_representative(spark, monkeypatch):
+    """One prefix for all: the rarest shingles are shared, the rest differs between the first and the others."""
+    monkeypatch.setattr(ngram_join, "HUB_PAIRS", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK_MEMBERS", 3)
+    monkeypatch.setattr(ngram_join, "_cells", lambda h: (h >> np.uint64(63)).astype(np.int64))
+    monkeypatch.setattr(ngram_join, "sketch", lambda *a: np.zeros(2, dtype=np.int32))
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(6):
+        base = [f"b{k}_{i}" for i in range(120)]
+        for i in range(10):
+            w = list(base)
+            for at in rng.choice(120, i // 3, replace=False):
+                w[at] = f"y{at}"
+            rows.append((100 * k + i, " ".join(w)))
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width=2, num=93, count_links=False).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_join(rows, 2, 93, 100)
+
+
+def test_close_pairs_lose_no_link():
+    """Against all pairs: every pair that links passes; a forest joins what the passing pairs join."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 900, dtype=np.uint64)
+    sets = []
+    for i in range(60):
+        n = int(rng.integers(60, 900))
+        own = np.concatenate([base[: n - (i % 7) * 2], rng.integers(0, 2**63, (i % 7) * 2, dtype=np.uint64)])
+        sets.append(np.unique(own))
+    for num in (80, 90):
+        rows = [(i, 2, i // 4 * 4, len(h), ngram_join.parities(h, num, 100)) for i, h in enumerate(sets)]
+        both = [(i, i % 2, *r[2:]) for i, r in enumerate(rows)]
+        true = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 100 * (c := len(np.intersect1d(a, b))) >= num * (len(a) + len(b) - c) and rows[i][2] != rows[j][2]}
+        assert true
+        for given, meet in ((rows, lambda i, j: True), (both, lambda i, j: i % 2 != j % 2)):
+            got = {(max(p), min(p)) for p in ngram_join.close_pairs(given, num, 100, False)}
+            assert {p for p in true if meet(*p)} <= got and all(rows[i][2] != rows[j][2] and meet(i, j) for i, j in got)
+            forest = list(ngram_join.close_pairs(given, num, 100, True))
+            assert len(forest) < len({r[2] for r in rows}) and {(max(p), min(p)) for p in forest} <= got
+
+            def joined(pairs):
+                root = {r[0]: r[2] for r in rows}
+                for a, b in pairs:
+                    x, y = root[a], root[b]
+                    root = {k: y if v == x else v for k, v in root.items()}
+                return {frozenset(k for k, v in root.items() if v == x) for x in set(root.values())}
+
+            assert joined(forest) == joined(got)
+
+
 def plain_links(rows, width, num, den):
     """class_id and number of links of every row, by comparing all pairs of distinct sets."""
     sets = {}
