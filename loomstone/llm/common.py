@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,7 +11,10 @@ from pyspark.sql import functions as F
 
 from loomstone.shipping import map_arrow
 
-__all__ = ["SPACE_CLASS", "as_bytes", "discard", "drawn_share", "forget_plans", "fresh", "joined_small", "let", "map_arrow", "read", "shared_dir", "store", "text_or_empty"]
+__all__ = ["SPACE_CLASS", "as_bytes", "discard", "drawn_share", "fresh", "joined_small", "let", "map_arrow", "read", "shared_dir", "store", "text_or_empty"]
+
+#: Spark deletes a query's shuffle files at its end where this is set.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows of a few short columns that may be broadcast: some tens of megabytes.
 BROADCAST_ROWS = 1 << 18
@@ -28,12 +30,14 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster is an error."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not held:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         held = found.get() if found.isDefined() else None
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         held = "file://" + tempfile.mkdtemp(prefix="loomstone-")
         spark.sparkContext.setCheckpointDir(held)
     return held.rstrip("/")
@@ -43,29 +47,34 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Lineage ends here: a lost executor costs at most the tasks that read the
-    files again. The folder belongs to the session, which cleans it up.
+    files again. The shuffle files of the write go when it is done, the table
+    itself by ``discard`` or at the application's end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    # Shuffle files go when the driver's JVM finds their plans unused: ask for that now, not when memory is short.
-    forget_plans(spark)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    at, files = _place(spark, path)
+    files.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
-def discard(stored: DataFrame) -> None:
-    """Delete a stored table that nothing to come reads."""
-    spark = stored.sparkSession
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stored._stored_at)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+def _place(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def forget_plans(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files and broadcasts of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*stored: DataFrame) -> None:
+    """Delete stored tables that nothing to come reads."""
+    for table in stored:
+        at, files = _place(table.sparkSession, table._stored_at)
+        files.delete(at, True)
 
 
 def joined_small(rows: DataFrame, stored: DataFrame, on: list[str], how: str, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -30,7 +30,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import SPACE_CLASS, fresh, joined_small, store, text_or_empty
+from loomstone.llm.common import SPACE_CLASS, discard, fresh, joined_small, store, text_or_empty
 
 #: Hashes in a bucket.
 CAPACITY = 1 << 14
@@ -120,6 +120,7 @@ def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     twins = linked.where("alike > 1")
     if twins.isEmpty():
+        discard(entries, hashes, twice, chains, linked)
         return found
     # Links that share hash and digest: their rows are read again and looked up by their bytes.
     rows = owned(joined_small(texts, store(twins.select("h").distinct(), "dedup-twins"), ["h"], "left_semi")).drop("depth")

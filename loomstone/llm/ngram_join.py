@@ -487,6 +487,7 @@ def jaccard_join(
             links = links.unionByName(found)
             labels = store(connected_components(links), "join-labels")
 
+    discard(shared, families, members)
     named = classes.join(labels, classes["class_id"] == labels["node"], "left").drop("node")
     if count_links:
         ends = degrees(docs, classes, links, labels, width, num, den)
