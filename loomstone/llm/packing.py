@@ -16,6 +16,7 @@ task packs the same rows again into the same sequences.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -45,6 +46,15 @@ class Limits:
 
 #: What keeps a Latin-1 text from the short way: control characters, odd white space, the soft hyphen, special tokens.
 ODD = re.compile("[\\x00-\\x09\\x0B-\\x1F\\x7F-\\xA0\\xAD]|<\\|")
+#: The tokenizer file's settings that ``WordCache`` mirrors.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _L, _N = "a-z\u00AA\u00B5\u00BA\u00DF-\u00F6\u00F8-\u00FF", "0-9\u00B2\u00B3\u00B9\u00BC-\u00BE"
 #: The tokenizer's pre-tokens, for Latin-1 in lower case.
 PRETOKEN = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^\\s{_L}{_N}]+")
@@ -66,6 +76,9 @@ class WordCache:
     the tokenizer crosses, and its runs beyond plain Latin-1 go through the whole
     tokenizer. Pre-tokens of up to 64 characters are held: ``CACHE`` newer ones
     and as many older ones, from which those in use move up.
+
+    This holds for a tokenizer whose file has the ``NORMALIZER`` and the
+    ``PRE_TOKENIZER`` that are mirrored here; any other codes whole texts itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -73,6 +86,11 @@ class WordCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        plain_model = held["model"]["type"] == "BPE" and not any(held["model"].get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "ignore_merges"))
+        marked = all(t["content"].startswith("<|") for t in held["added_tokens"])
+        self.mirrored = held["normalizer"] == NORMALIZER and held["pre_tokenizer"] == PRE_TOKENIZER and plain_model and marked
         self.encode, self.merge = tokenizer.encode_batch, tokenizer.model.tokenize
         self.letters = byte_letters()
         self.held: dict[str, bytes] = {}
@@ -107,6 +125,8 @@ class WordCache:
         return b"".join(found)
 
     def ids(self, text: str) -> bytes:
+        if not self.mirrored:
+            return array("I", self.encode([text], add_special_tokens=False)[0].ids).tobytes()
         if self.plain(text):
             return self._plain_ids(text)
         runs = text.replace("\n", " ").split(" ")
@@ -194,13 +214,14 @@ def by_powers(pieces: list[tuple[int, int, int]], full: int) -> Iterator[list[tu
         yield out
 
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long, sequence_tokens long, sequence_segments long, sequence_loss long"
 ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), prompt_lines: int = 0) -> DataFrame:
     """Pieces of all documents in sequences; each token of a document lies in exactly one piece.
 
+    Each piece names its loss-bearing tokens and its sequence's three sums.
     Null text is empty and gives the end token alone. ``prompt_lines`` leading
     lines of a text bear no loss (instruction data: the prompt), all else does.
     Repeated rows and ids are packed as often as they occur; a null id stays
@@ -219,10 +240,12 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             for found in sequences:
                 for seq in by_powers(found, limits.tokens) if finish else [found]:
                     at = 0
-                    for key, start, stop in seq:
-                        doc_id, ids, loss_from = held[key]
+                    loss = [max(0, stop - max(start, held[key][2])) for key, start, stop in seq]
+                    sums = sum(stop - start for _, start, stop in seq), len(seq), sum(loss)
+                    for (key, start, stop), own in zip(seq, loss, strict=True):
+                        doc_id, ids, _ = held[key]
                         part = ids[4 * start : 4 * stop]
-                        yield doc_id, start, stop - start, zlib.crc32(part), len(ids) // 4, base + serial, at, max(0, stop - max(start, loss_from))
+                        yield doc_id, start, stop - start, zlib.crc32(part), len(ids) // 4, base + serial, at, own, *sums
                         at += stop - start
                         if 4 * stop == len(ids):
                             ended.append(key)

@@ -44,7 +44,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+    """The first line of a text stands for the prompt, which bears no loss."""
+    return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), limits=packing.Limits(segments=64), prompt_lines=1)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

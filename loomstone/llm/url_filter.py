@@ -1,9 +1,11 @@
 """URL filter: ordered host and path rules, and gradient-boosted trees for the rest.
 
 A rule fits its host and all subdomains if the url's path starts with the
-rule's; the longest fitting rule decides. Its verdict also labels the url: on a
-bounded sample of labelled urls (``SAMPLE`` rows by hash) trees are trained on
-lexical features, and they judge the urls that no rule fits.
+rule's; the longest fitting rule decides. Trees trained on lexical features of
+labelled urls judge the urls that no rule fits. Labels are a table of urls; a url
+that it doesn't hold, or all where there is none, takes a fitting rule's verdict
+as its label. Training draws a bounded sample of distinct labelled urls
+(``SAMPLE``, by hash).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.llm import trees
-from loomstone.llm.common import drawn_share, map_arrow
+from loomstone.llm.common import drawn_share, map_arrow, store
 
 SAMPLE = 20_000
 BLOCK_AT = 0.5
@@ -85,10 +87,11 @@ class Suffixes:
     mean: float
 
 
-def parts(host: str, path: str) -> tuple[str, str, str]:
+def parts(host: str, path: str) -> tuple[str, ...]:
+    """What statistics are kept of, each under its kind: the host's last label, last two and last three, and the path's first part."""
     labels = host.split(".")
     head = path.split("/")[1] if path.startswith("/") else ""
-    return labels[-1], ".".join(labels[-3:-2]) or host, "/" + head
+    return *(f"{n}:{'.'.join(labels[-n:])}" if len(labels) >= n else f"{n}:" for n in (1, 2, 3)), f"/:{head}"
 
 
 def entropy(s: str) -> float:
@@ -136,13 +139,18 @@ def train(rows: list[tuple[str | None, str, str, int]]) -> tuple[Suffixes, trees
 SCHEMA = "page_id long, host string, path string, rule string, verdict string, score double"
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE, block_at: float = BLOCK_AT) -> DataFrame:
+def judge(
+    pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE, block_at: float = BLOCK_AT,
+    labels: DataFrame | None = None, label_col: str = "blocked",
+) -> DataFrame:
     """One row per row of ``pages``: host, path, the rule that fits, the verdict and the trees' score.
 
     Urls that are null or have no ``://`` have empty host and path, fit no rule
     and are judged by the trees. Without labelled urls, or with one label only,
     the trees are constant and block nothing that no rule blocks unless all
-    labels do. Repeated rows are judged row by row; an empty table gives no rows.
+    labels do. Of a url with labels that differ, blocked wins; null labels don't
+    count. Repeated rows are judged row by row; an empty table gives no rows.
+    Ids must be whole numbers; other columns are not read.
     """
     known = Rules(rules)
     urls = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
@@ -152,8 +160,12 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
             keep = [(u, found.verdict == "block") for u in b.column(0).to_pylist() if (found := known.fitting(*parse(u)))]
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in keep], pa.string()), pa.array([v for _, v in keep], pa.bool_())], names=["url", "bad"])
 
-    # A url is one training row, whatever the number of its copies.
+    # A url is one training row, whatever the number of its copies; rules are tried once, then their labels are read.
     marked = urls.select("url").distinct().transform(map_arrow, labelled, "url string, bad boolean")
+    if labels is not None:
+        given = labels.where(F.col(label_col).isNotNull() & F.col(url_col).isNotNull()).groupBy(F.col(url_col).alias("url")).agg(F.max(F.col(label_col).cast("boolean")).alias("bad"))
+        marked = marked.join(given, "url", "left_anti").unionByName(given)
+    marked = store(marked, "url-labels")
     key = F.xxhash64("url")
     drawn = marked.where(drawn_share(key, sample, marked.count())).orderBy(key, "url").limit(sample)
     rows = [(r.url, *parse(r.url), int(r.bad)) for r in drawn.collect()]

@@ -299,6 +299,23 @@ def test_url_trees_learn_lexical_signs(spark):
     assert sum(got[1000 + i] == ("block" if i % 2 else "allow") for i in range(40)) >= 38
 
 
+def test_url_statistics_know_the_registered_domain():
+    assert url_filter.parts("www.shop.example.co.uk", "/a/b") == ("1:uk", "2:co.uk", "3:example.co.uk", "/:a")
+    assert url_filter.parts("a.example.org", "") == ("1:org", "2:example.org", "3:a.example.org", "/:")
+    assert url_filter.parts("org", "/") == ("1:org", "2:", "3:", "/:") and not set(url_filter.parts("org.x.com", "/x")) & set(url_filter.parts("org", "/"))
+
+
+def test_url_labels_as_a_table(spark):
+    """Labels decide what the trees learn, rules still decide where one fits."""
+    rows = [(i, f"http://s{i}.{'bad' if i % 3 == 0 else 'fine'}.example.net/p{i % 7}/{i}") for i in range(900)] + [(5000, "http://x.org/a"), (5001, None), (5002, "no url"), (5003, "http://q.fine.example.net/" + "a" * 100_000)]
+    df = spark.createDataFrame([(i, u, "x", True) for i, u in rows * 2], "page_id long, url string, host string, bad boolean")
+    labels = spark.createDataFrame([(u, i % 3 == 0) for i, u in rows[:600]] + [(rows[0][1], False), (rows[1][1], None), (None, True), ("http://x.org/a", True)], "url string, blocked boolean")
+    got = url_filter.judge(df, [url_filter.rule("allow org/")], labels=labels).collect()
+    assert len(got) == 2 * len(rows)
+    verdict = {r.page_id: r.verdict for r in got}
+    assert verdict[5000] == "allow" and sum(verdict[i] == ("block" if i % 3 == 0 else "allow") for i in range(600, 900)) >= 290
+
+
 def test_url_sample_is_of_distinct_urls(spark, monkeypatch):
     given = []
     monkeypatch.setattr(url_filter, "train", lambda rows, real=url_filter.train: given.extend(rows) or real(rows))
@@ -604,6 +621,18 @@ def test_packing_is_exact_and_without_padding(hard, docs, empty):
     assert packing.pack(empty, queries.tokenizer_path()).count() == 0
 
 
+def test_registered_packing_has_prompts(spark, docs, testdata):
+    got = queries.QUERIES["op6_packing"](spark, testdata).collect()
+    check_packing(docs, got)
+    sums = defaultdict(list)
+    for r in got:
+        sums[r.sequence_id].append(r)
+    for rows in sums.values():
+        assert {(r.sequence_tokens, r.sequence_segments, r.sequence_loss) for r in rows} == {(sum(r.length for r in rows), len(rows), sum(r.loss_tokens for r in rows))}
+        assert len(rows) <= 64
+    assert sum(r.loss_tokens for r in got) < sum(r.length for r in got)
+
+
 def test_packing_keeps_all_limits(docs):
     limits = packing.Limits(tokens=1024, segments=5, loss=700)
     got = packing.pack(docs, queries.tokenizer_path(), limits=limits, prompt_lines=1).collect()
@@ -615,11 +644,13 @@ def test_packing_keeps_all_limits(docs):
     assert sum(a for a, _, _ in sums.values()) == sum({r.doc_id: r.doc_tokens for r in got}.values())
 
 
-def test_word_cache_equals_the_tokenizer():
+@pytest.mark.parametrize("name, mirrored", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_word_cache_equals_the_tokenizer(name, mirrored):
     from tokenizers import Tokenizer
 
-    path = queries.tokenizer_path()
+    path = queries.tokenizer_path(name)
     cache, t = packing.WordCache(path), Tokenizer.from_file(path)
+    assert cache.mirrored is mirrored
     rng = np.random.default_rng(0)
     parts = ["a", "É", "ß", "'s", "'ll", " ", "\n", "\t", "12", "!!", "#", "İ", "Σ", "日本", "<|endoftext|>", "<|", "\x1c", " ", "ª", "½", "Word", "\xa0", "\xad", "\x85", "DON'T", "x" * 70]
     for _ in range(1500):
