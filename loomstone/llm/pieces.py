@@ -25,7 +25,7 @@ from __future__ import annotations
 import re
 from collections import Counter, deque
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +43,7 @@ PAIRS = 400_000
 #: Characters of text coded at a time, which bounds what a worker holds beside its input.
 STEP = 1 << 21
 #: Characters with a column in the array form of the automaton, and the longest segments that use it.
-CLASSES = 127
+CLASSES = 250
 LONGEST = 48
 BATCH = 8192
 UNKNOWN_PENALTY = 10.0
@@ -157,7 +157,7 @@ class Codec:
         for k, c in enumerate(chosen, start=1):
             self.kind_of[ord(c)] = k
         column = {c: k for k, c in enumerate(chosen, start=1)}
-        self.moves = np.zeros((len(automaton.next), len(chosen) + 1), dtype=np.int32)
+        self.moves = np.zeros((len(automaton.next), len(chosen) + 1), dtype=np.min_scalar_type(len(automaton.next)))
         queue = deque([0])
         while queue:
             at = queue.popleft()
@@ -363,11 +363,11 @@ class Codec:
         by_text = [self.segment.findall(mark + t.replace(" ", MARK)) if t else [] for t in texts]
         counts = np.fromiter(map(len, by_text), np.int64, len(by_text))
         segments = list(chain.from_iterable(by_text))
-        places = list(map(self.held.get, segments))
-        if None in places:
-            self._code(list(dict.fromkeys(s for s, x in zip(segments, places, strict=True) if x is None)))
-            places = list(map(self.held.__getitem__, segments))
-        at = np.array(places, dtype=np.int64)
+        at = np.fromiter(map(self.held.get, segments, repeat(-1)), np.int64, len(segments))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            self._code(list(dict.fromkeys([segments[i] for i in new])))
+            at[new] = [self.held[segments[i]] for i in new]
         of = np.concatenate([[0], np.cumsum(counts)])
         offsets, ids = [], []
         for side in (0, 1):
