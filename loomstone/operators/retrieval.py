@@ -1,9 +1,10 @@
 """Exact cosine retrieval: similarity, top-k, threshold, context strings, threshold calibration.
 
-A query batch meets the chunk table in blocks: queries are few against the
-chunks, so they are grouped into rows of ``BLOCK`` queries, and each chunk
-partition scores all queries of a block and keeps its own best k before any
-shuffle. What moves is k rows per query and partition, not one per pair.
+Up to ``BLOCK`` queries go to every task with the chunks it reads, which keeps
+its own best k before any shuffle: what moves is k rows a query and task. More
+queries are dealt into blocks, and so are the chunks; a task holds one block of
+queries and reads one of chunks. Both tables are read once, whatever their
+sizes, and no vector passes through the driver.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from pyspark.sql import functions as F
 
 from loomstone.shipping import map_arrow
 
-#: Queries of a pass at most; a batch beyond it runs in several passes.
+#: Queries that go to every task, and queries and chunks of a block beyond that.
 BLOCK = 4096
+CHUNKS = 1 << 16
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -28,12 +30,44 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms != 0, dot(a, b) / norms)
 
 
-def _rows(vectors: list) -> np.ndarray:
-    m = np.array(vectors, dtype=np.float64)
+def _rows(vectors: pa.Array) -> np.ndarray:
+    """Unit vectors of a column of lists of one length; NaN for a norm of 0."""
+    if not len(vectors):
+        return np.zeros((0, 1))
+    m = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
     norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
     return np.divide(m, norm, out=np.full_like(m, np.nan), where=norm != 0)
 
 
+class Best:
+    """The k nearest chunks so far of each of some queries, ties by the smaller chunk id."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, same: bool) -> None:
+        self.ids, self.vectors, self.k, self.same = ids, vectors, k, same
+        self.kept = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in ids]
+
+    def see(self, chunks: np.ndarray, vectors: np.ndarray) -> None:
+        if not len(chunks) or not len(self.ids):
+            return
+        sims = self.vectors @ vectors.T
+        if not self.same:
+            sims[self.ids[:, None] == chunks[None, :]] = np.nan
+        for i, s in enumerate(sims):
+            s0, c0 = self.kept[i]
+            ok = ~np.isnan(s)
+            s1, c1 = np.concatenate([s0, s[ok]]), np.concatenate([c0, chunks[ok]])
+            first = np.lexsort((c1, -s1))[: self.k]
+            self.kept[i] = s1[first], c1[first]
+
+    def rows(self) -> pa.RecordBatch:
+        n = [len(s) for s, _ in self.kept]
+        cols = np.repeat(self.ids, n), np.concatenate([c for _, c in self.kept]), np.concatenate([s for s, _ in self.kept])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "chunk_id", "similarity"])
+
+
+FOUND = "query_id long, chunk_id long, similarity double"
+
+
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, min_similarity: float | None = None, same: bool = True) -> DataFrame:
     """(query_id, chunk_id, similarity, rank): each query's k nearest chunks, ties by the smaller chunk id.
 
@@ -42,48 +76,62 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, min_similarity: float |
     query's own id doesn't count. Rows without id or vector, or with a vector of
     norm 0, match nothing.
     """
-    asked = queries.select(F.col("id").cast("long"), "embedding").where("id is not null and embedding is not null")
-    stored = chunks.select(F.col("id").cast("long"), "embedding").where("id is not null and embedding is not null")
-    found = None
+    vectors = lambda df: df.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>")).where("id is not null and embedding is not null")
+    asked, stored = vectors(queries), vectors(chunks)
     total = asked.count()
-    passes = -(-total // BLOCK)
-    for p in range(max(1, passes)):
-        # Blocks by hash, of BLOCK queries on average: what is sent to the executors is one block.
-        part = asked if passes <= 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == p)
-        held = [(r.id, r.embedding) for r in part.toLocalIterator()]
-        best = _pass(held, stored, k, same)
-        found = best if found is None else found.unionByName(best)
+    found = _to_all(asked, stored, k, same) if total <= BLOCK else _in_blocks(asked, stored, -(-total // BLOCK), k, same)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked if min_similarity is None else ranked.where(F.col("similarity") >= min_similarity)
 
 
-def _pass(held: list, stored: DataFrame, k: int, same: bool) -> DataFrame:
-    ids = np.array([i for i, _ in held], dtype=np.int64)
-    shared = stored.sparkSession.sparkContext.broadcast((ids, _rows([v for _, v in held]) if held else np.zeros((0, 1))))
+def _to_all(asked: DataFrame, stored: DataFrame, k: int, same: bool) -> DataFrame:
+    """At most ``BLOCK`` queries, sent with each task."""
+    table = asked.toArrow()
+    column = table.column("embedding").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float64()))
+    shared = stored.sparkSession.sparkContext.broadcast((table.column("id").to_numpy(), _rows(column)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(*shared.value, k, same)
+        for b in batches:
+            best.see(b.column(0).to_numpy(), _rows(b.column(1)))
+        if len(best.ids):
+            yield best.rows()
+
+    return stored.transform(map_arrow, run, FOUND)
+
+
+def _in_blocks(asked: DataFrame, stored: DataFrame, n_asked: int, k: int, same: bool) -> DataFrame:
+    """Blocks of queries against blocks of chunks, a pair of blocks at a time."""
+    n_stored = max(1, -(-stored.count() // CHUNKS))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select(own(n_asked).alias("q"), every(n_stored).alias("c"), F.lit(0).alias("side"), "id", "embedding")
+    right = stored.select(every(n_asked).alias("q"), own(n_stored).alias("c"), F.lit(1).alias("side"), "id", "embedding")
+    dealt = left.unionByName(right).repartition("q", "c").sortWithinPartitions("q", "c", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, q = shared.value
-        kept = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in own]
+        key, ids, vectors, best = None, [], [], None
         for b in batches:
-            if not b.num_rows or not len(own):
-                continue
-            c = b.column(0).to_numpy()
-            sims = q @ _rows(b.column(1).to_pylist()).T
-            if not same:
-                sims[own[:, None] == c[None, :]] = np.nan
-            for i, s in enumerate(sims):
-                s0, c0 = kept[i]
-                ok = ~np.isnan(s)
-                s1, c1 = np.concatenate([s0, s[ok]]), np.concatenate([c0, c[ok]])
-                first = np.lexsort((c1, -s1))[:k]
-                kept[i] = s1[first], c1[first]
-        n = [len(s) for s, _ in kept]
-        if sum(n):
-            cols = np.repeat(own, n), np.concatenate([c for _, c in kept]), np.concatenate([s for s, _ in kept])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "chunk_id", "similarity"])
-
-    return stored.transform(map_arrow, run, "query_id long, chunk_id long, similarity double")
+            q, c, side = (b.column(i).to_numpy() for i in range(3))
+            # stretches of one pair of blocks and one side
+            starts = np.flatnonzero(np.concatenate([[True], (np.diff(q) != 0) | (np.diff(c) != 0) | (np.diff(side) != 0)])) if len(q) else np.zeros(0, dtype=int)
+            for lo, hi in zip(starts, np.append(starts[1:], len(q)), strict=True):
+                if (q[lo], c[lo]) != key:
+                    if best is not None:
+                        yield best.rows()
+                    key, ids, vectors, best = (q[lo], c[lo]), [], [], None
+                at, rows = b.column(3).slice(lo, hi - lo).to_numpy(), _rows(b.column(4).slice(lo, hi - lo))
+                if side[lo] == 0:
+                    ids.append(at)
+                    vectors.append(rows)
+                elif ids:
+                    best = best or Best(np.concatenate(ids), np.concatenate(vectors), k, same)
+                    best.see(at, rows)
+        if best is not None:
+            yield best.rows()
+
+    return dealt.transform(map_arrow, run, FOUND)
 
 
 def assemble(ranked: DataFrame, texts: DataFrame, sep: str = "\n---\n") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import facts, fixed
 from loomstone.functions.fixed import Domain
 from loomstone.functions.text import fill
-from loomstone.operators import draws
+from loomstone.operators import draws, splits
 from loomstone.sources import sinks
 
 INTENT = (
@@ -80,7 +80,7 @@ class Sections:
         return F.array_join(F.transform(chosen, self.text), fixed.CONTEXT_BREAK)
 
 
-def _rows(df: DataFrame, segment: str, title: Column | None = None) -> DataFrame:
+def segment_rows(df: DataFrame, segment: str, title: Column | None = None) -> DataFrame:
     none = F.array().cast("array<struct<role:string,content:string>>")
     history = F.col("history") if "history" in df.columns else none
     title = F.lit(None).cast("string") if title is None else title
@@ -109,7 +109,7 @@ def intent_segments(intents: DataFrame, sections: Sections) -> DataFrame:
     right = picked.withColumn("response", draws.choose(replies, seed, F.col("_k"), F.lit("grounded"))).withColumn("context", sections.grounded(F.col("_own"), F.col("_k"), F.col("hard_distractor")))
     wrong = some(grounded, SIZES["wrong"]).withColumn("response", reply("wrong")).withColumn("context", sections.text(sections.distractor(F.col("_own"), F.concat_ws("|", "_k", F.lit("wrong")))))
     return (
-        _rows(plain, "plain").unionByName(_rows(irrelevant, "irrelevant")).unionByName(_rows(right, "grounded", F.get("_own", 0))).unionByName(_rows(wrong, "wrong"))
+        segment_rows(plain, "plain").unionByName(segment_rows(irrelevant, "irrelevant")).unionByName(segment_rows(right, "grounded", F.get("_own", 0))).unionByName(segment_rows(wrong, "wrong"))
     )
 
 
@@ -119,29 +119,37 @@ def retrieval_misses(intents: DataFrame, sections: Sections, n: int = SIZES["mis
     rows = intents.where("context_responses is not null").select("*", F.explode("questions").alias("instruction"))
     rows = rows.withColumn("_k", F.concat_ws("|", "intent", "instruction", F.lit("miss"))).orderBy(draws.digest(seed, F.col("_k")), "_k").limit(n)
     other = draws.choose(F.array_except(sections.titles, F.col("kb")), seed, F.col("_k"))
-    return _rows(rows.withColumn("response", draws.choose(F.col("responses"), seed, F.col("_k"))).withColumn("context", sections.text(other)), "miss")
+    return segment_rows(rows.withColumn("response", draws.choose(F.col("responses"), seed, F.col("_k"))).withColumn("context", sections.text(other)), "miss")
 
 
 def specific(questions: DataFrame, sections: Sections) -> DataFrame:
     """Rows of generated questions (instruction, response, title, category, intent), grounded in their section."""
     rows = questions.withColumn("context", sections.grounded(F.array("title"), F.concat_ws("|", "intent", "instruction")))
-    return _rows(rows, "specific", F.col("title"))
+    return segment_rows(rows, "specific", F.col("title"))
 
 
-def follow_ups(subjects: DataFrame, first: str, then: list[str], title: str, sections: Sections, n: int = SIZES["follow_ups"], group: str = "service") -> DataFrame:
-    """Two-turn chats: a question on one subject and its answer, then a short follow-up on another.
+def follow_ups(subjects: DataFrame, first: list[str], then: list[str], title: str, sections: Sections, n: int = SIZES["follow_ups"], group: str = "service") -> DataFrame:
+    """n two-turn chats: a question on one subject and its answer, then a short follow-up on another.
 
-    ``subjects``: (subject, answer). Each pair of different subjects stands in the order of its digest; the first n are taken.
+    ``subjects``: (subject, answer), a hand-written list that goes to each row; a row draws its two by its number.
     """
-    seed = sections.seed
-    a = subjects.select(F.col("subject").alias("a"), F.col("answer").alias("answer_a"))
-    b = subjects.select(F.col("subject").alias("b"), F.col("answer").alias("answer_b"))
-    pairs = a.join(b, F.col("a") != F.col("b")).withColumn("_k", F.concat_ws("|", F.lit(group), "a", "b")).orderBy(draws.digest(seed, F.col("_k")), "_k").limit(n)
+    seed, spark = sections.seed, subjects.sparkSession
+    listed = subjects.agg(F.array_sort(F.collect_list(F.struct("subject", "answer"))).alias("s"))
+    rows = spark.range(n).join(F.broadcast(listed), how="cross").withColumn("_k", F.concat_ws("|", F.lit(group), "id"))
+    rows = rows.withColumn("a", draws.choose(F.col("s"), seed, F.col("_k"), F.lit("a")))
+    rows = rows.withColumn("b", draws.choose(F.filter("s", lambda x: x["subject"] != F.col("a.subject")), seed, F.col("_k"), F.lit("b")))
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    history = F.array(turn("user", fill(first, x=F.col("a"))), turn("assistant", F.col("answer_a")))
-    ask = draws.choose(F.array(*(fill(t, x=F.col("b")) for t in then)), seed, F.col("_k"))
-    rows = pairs.select("_k", ask.alias("instruction"), F.col("answer_b").alias("response"), history.alias("history"), F.lit("FOLLOW_UP").alias("category"), F.lit("follow_up").alias("intent"))
-    return _rows(rows.withColumn("context", sections.grounded(F.array(F.lit(title)), F.col("_k"))), "follow_up", F.lit(title))
+    pick = lambda templates, x, tag: draws.choose(F.array(*(fill(t, x=x) for t in templates)), seed, F.col("_k"), F.lit(tag))
+    history = F.array(turn("user", pick(first, F.col("a.subject"), "first")), turn("assistant", F.col("a.answer")))
+    rows = rows.where("b is not null").select(
+        "_k", pick(then, F.col("b.subject"), "then").alias("instruction"), F.col("b.answer").alias("response"), history.alias("history"), F.lit("FOLLOW_UP").alias("category"), F.lit("follow_up").alias("intent")
+    )
+    return segment_rows(rows.withColumn("context", sections.grounded(F.array(F.lit(title)), F.col("_k"))), "follow_up", F.lit(title))
+
+
+def context_gaps(rows: DataFrame, sections: Sections) -> DataFrame:
+    """Questions (instruction, title, response, category, intent) whose answer their section doesn't hold: the section alone is the context."""
+    return segment_rows(rows.withColumn("context", sections.text(F.col("title"))), "gap", F.col("title"))
 
 
 def pick_others(pairs: DataFrame, key: str, alike: str, other: Column, k: int, seed: int) -> DataFrame:
@@ -153,8 +161,9 @@ def pick_others(pairs: DataFrame, key: str, alike: str, other: Column, k: int, s
 def topic_switches(pool: DataFrame, sections: Sections, n: int = SIZES["switches"]) -> DataFrame:
     """n rows of the pool after one or two earlier exchanges on other intents, of a look-alike section where there is one.
 
-    The pool is the training set being built. A current row meets ``2 n`` drawn
-    rows of other intents for each side, not the whole pool.
+    The pool is the training set being built. A current row meets all rows of
+    its look-alike sections, by equality of titles; where those have fewer than
+    two of other intents, it meets two rows of each intent beside them.
     """
     seed = sections.seed
     key = F.concat_ws("|", "intent", "instruction", "segment")
@@ -164,15 +173,21 @@ def topic_switches(pool: DataFrame, sections: Sections, n: int = SIZES["switches
     bare = round(n * RATES["no_context_switch"])
     current = drawn(without, "c", bare).unionByName(drawn(with_section, "c", n - bare))
     other = with_section.select(F.col("_k").alias("_k2"), F.col("intent").alias("intent2"), F.col("title").alias("title2"), F.col("instruction").alias("q2"), F.col("response").alias("a2"))
-    other = other.orderBy(draws.digest(f"{seed}o", F.col("_k2")), "_k2").limit(20 * n)
-    pairs = current.join(other, F.col("intent") != F.col("intent2"))
-    alike = F.coalesce(F.array_contains(F.element_at(sections.looks, F.col("title")), F.col("title2")), F.lit(False))
-    ranked = pairs.withColumn("_alike", alike).groupBy("_k").agg(F.array_sort(F.collect_list(F.struct((~F.col("_alike")).alias("far"), draws.digest(seed, F.col("_k"), F.col("_k2")).alias("d"), "q2", "a2"))).alias("ps"))
+    asking = current.select("_k", "intent", F.explode(F.coalesce(F.element_at(sections.looks, F.col("title")), F.array().cast("array<string>"))).alias("title2"))
+    alike = asking.distinct().join(other, "title2").where("intent != intent2")
+    some = draws.sample_per_group(other, "intent2", "_k2", 2, f"{seed}o")
+    any_other = current.select("_k", "intent").join(some, F.col("intent") != F.col("intent2"))
+    pair = lambda rows, far: rows.select("_k", F.lit(far).alias("far"), "_k2", "q2", "a2")
+    w = Window.partitionBy("_k").orderBy("far", "d", "_k2")
+    # A row that is met both ways comes first as a look-alike; the other way it is dropped.
+    met = pair(alike, False).unionByName(pair(any_other.join(alike.select("_k", "_k2"), ["_k", "_k2"], "left_anti"), True))
+    ranked = met.withColumn("d", draws.digest(seed, F.col("_k"), F.col("_k2"))).withColumn("r", F.row_number().over(w)).where("r <= 2")
+    ranked = ranked.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct("r", "q2", "a2"))).alias("ps"))
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     count = F.when(draws.chance(RATES["two_turns"], seed, F.col("_k"), F.lit("two")), 2).otherwise(1)
     history = F.flatten(F.transform(F.slice("ps", F.lit(1), count), lambda p: F.array(turn("user", p["q2"]), turn("assistant", p["a2"]))))
     rows = current.drop("history").join(ranked.select("_k", history.alias("history")), "_k")
-    return _rows(rows.withColumn("context", facts.strip_fact_block(F.col("context"))), "switch", F.col("title"))
+    return segment_rows(rows.withColumn("context", facts.strip_fact_block(F.col("context"))), "switch", F.col("title"))
 
 
 def union_all(*parts: DataFrame) -> DataFrame:
@@ -188,3 +203,26 @@ def write_dataset(rows: DataFrame, path: str, seed: int = 42) -> dict:
     kept = draws.shuffle_rows(rows, key, seed).select(*ROW)
     sinks.write_jsonl(kept, path)
     return sinks.summary(rows, fixed.FACT_HEADER).first().asDict()
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows without their lineage, in the session's checkpoint folder; as they are where it has none."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+
+
+def build(intents: DataFrame, questions: DataFrame, chats: list[DataFrame], gaps: DataFrame, sections: Sections, protected: DataFrame, domain: Domain = Domain()) -> DataFrame:
+    """All segments' rows, verified, in the order in which they are to be trained on.
+
+    ``questions``: rows of the generators; ``chats``: follow-up rows; ``gaps``:
+    see ``context_gaps``; ``protected``: (q) questions of evaluation, none of
+    which may be asked by a row or its history. The pool of topic switches are
+    the single-turn rows that answer their own question.
+    """
+    base = cut(intent_segments(intents, sections).unionByName(specific(questions, sections)))
+    misses = union_all(retrieval_misses(intents, sections), context_gaps(gaps, sections))
+    pool = base.where("segment in ('plain', 'irrelevant', 'grounded', 'specific')")
+    asked = cut(union_all(base, misses, *chats, topic_switches(pool, sections)))
+    splits.require_clean(protected, asked)
+    # Dealt, so that the facts are worked out on the rows and not in each segment's own plan.
+    rows = verified(asked.repartition("intent", "instruction"), domain)
+    return draws.shuffle_rows(rows, F.concat_ws("|", "intent", "instruction", "context", "response"), sections.seed)

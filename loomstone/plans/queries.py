@@ -547,4 +547,4 @@ def flatten_props(spark, sf_dir):
 def stream_latch(spark, sf_dir):
     token = F.when(F.col("event_type") == "error", F.lit(" 5%")).otherwise(F.col("event_type"))
     rows = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("reply_id"), F.col("event_id").alias("seq"), token.alias("token"))
-    return latches.latch(rows).select("reply_id", "seq", "shown", F.char_length("text").cast("long").alias("chars"))
+    return latches.latch(rows, with_text=False).select("reply_id", "seq", "shown", "chars")

@@ -1,7 +1,10 @@
 """Streamed replies that are held back once they quote a figure, until they can be checked whole.
 
-Batch form: window functions over a reply's fragments. Stream form: keyed state
-with the text so far and whether it is being held.
+The text so far is held with a mark of whether the pattern has matched. The
+pattern is tried on a new fragment and the ``REACH`` characters before it, so
+each character is read a bounded number of times; a longer match counts once its
+last ``REACH`` characters match by themselves. Batch form: a reply's fragments
+in order, one after the other. Stream form: keyed state.
 """
 
 from __future__ import annotations
@@ -10,35 +13,67 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from loomstone.functions import fixed
-from loomstone.functions.text import reveal_slots
+from loomstone.shipping import map_arrow
 
+#: Characters before a fragment in which a match may begin.
+REACH = 256
+SLOT = re.compile(r"\{\{\s*([^{}]+?)\s*\}\}")
 OUT = "reply_id string, seq long, text string, final boolean"
 
 
-def latch(fragments: DataFrame, pattern: str = fixed.FIGURE) -> DataFrame:
-    """(reply_id, seq, text, shown): the text so far, and whether it may be shown as it stands.
+def matcher(pattern: str) -> re.Pattern:
+    """The pattern as Spark's expressions read it: without case, classes of ASCII."""
+    return re.compile(pattern, re.I | re.A)
+
+
+def latch(fragments: DataFrame, pattern: str = fixed.FIGURE, with_text: bool = True) -> DataFrame:
+    """(reply_id, seq, chars, shown, and text if asked for): the text so far, its length, and whether it may be shown as it stands.
 
     The pattern is tried on the text so far, so a figure split over fragments
-    counts. A reply's fragments meet in one window: a reply is as long as a
-    model's answer, which is bounded.
+    counts. Null fragments are empty, null replies are one reply; fragments of
+    equal number stand in the order of their texts. The texts so far of a reply
+    take the square of its length: without them a reply costs its length.
     """
-    w = Window.partitionBy("reply_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    so_far = fragments.withColumn("_text", F.array_join(F.collect_list(F.coalesce("token", F.lit(""))).over(w), ""))
-    held = F.max(F.col("_text").rlike("(?i)" + pattern)).over(w)
-    return so_far.select("reply_id", "seq", reveal_slots(F.col("_text")).alias("text"), (~held).alias("shown"))
+    found = matcher(pattern)
+    kinds = dict(fragments.dtypes)
+    names = ["reply_id", "seq", "chars", "shown", *(["text"] if with_text else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reply, text, tail, slots, size, held = object(), [], "", False, 0, False
+        for b in batches:
+            out = []
+            for own, token in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if own != reply:
+                    reply, text, tail, slots, size, held = own, [], "", False, 0, False
+                token = token or ""
+                tail += token
+                held = held or bool(found.search(tail, max(0, len(tail) - len(token) - REACH)))
+                slots = slots or "{{" in tail
+                tail = tail[-REACH - 1 :]
+                text.append(token)
+                size += len(token)
+                whole = SLOT.sub(r"\1", "".join(text)) if slots or with_text else None
+                out.append((size if whole is None else len(whole), not held, *([whole] if with_text else [])))
+            if out:
+                types = [pa.int64(), pa.bool_(), *([pa.string()] if with_text else [])]
+                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=names)
+
+    rows = fragments.select("reply_id", "seq", "token").repartition("reply_id").sortWithinPartitions("reply_id", "seq", "token")
+    schema = f"reply_id {kinds['reply_id']}, seq {kinds['seq']}, chars long, shown boolean" + (", text string" if with_text else "")
+    return rows.transform(map_arrow, run, schema)
 
 
 class Latch(StatefulProcessor):
     """Per reply: emits the text so far while it quotes no figure; the end mark emits the whole text as final."""
 
     def __init__(self, pattern: str = fixed.FIGURE) -> None:
-        self.pattern = re.compile(pattern, re.I)
-        self.slot = re.compile(r"\{\{\s*([^{}]+?)\s*\}\}")
+        self.pattern = matcher(pattern)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("reply", "text string, held boolean")
@@ -47,12 +82,12 @@ class Latch(StatefulProcessor):
         text, held = self.state.get() if self.state.exists() else ("", False)
         out = []
         for row in pd.concat(list(rows)).sort_values("seq").itertuples():
-            text += row.token or ""
-            held = held or bool(self.pattern.search(text))
+            before, text = len(text), text + (row.token or "")
+            held = held or bool(self.pattern.search(text, max(0, before - REACH)))
             if row.end:
-                out.append((key[0], row.seq, self.slot.sub(r"\1", text), True))
+                out.append((key[0], row.seq, SLOT.sub(r"\1", text), True))
             elif not held:
-                out.append((key[0], row.seq, self.slot.sub(r"\1", text), False))
+                out.append((key[0], row.seq, SLOT.sub(r"\1", text), False))
             if row.end:
                 text, held = "", False
         if text:

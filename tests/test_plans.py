@@ -156,7 +156,7 @@ def test_build_plan(spark, tmp_path):
     assert count == {"plain": 11, "irrelevant": 2, "grounded": 3 + 4, "wrong": 4}
     assert build.retrieval_misses(intents, kb, 2).count() == 2
     subjects = spark.createDataFrame([(c, f"About {c}.") for c in "abcd"], "subject string, answer string")
-    turns = build.follow_ups(subjects, "Price of {x}?", ["And {x}?", "What about {x}?"], "Alpha", kb, 5)
+    turns = build.follow_ups(subjects, ["Price of {x}?"], ["And {x}?", "What about {x}?"], "Alpha", kb, 5)
     assert turns.count() == 5 and turns.where("size(history) = 2").count() == 5
     switches = build.topic_switches(base.where("segment in ('grounded', 'irrelevant')"), kb, 6)
     got = switches.collect()
@@ -201,11 +201,70 @@ def test_generators_have_the_rows_their_lists_give(spark):
     count = {r.intent: r["count"] for r in rows.groupBy("intent").count().collect()}
     assert count == {
         "inspection_price_specific": 26 * 2 + 17 * 2 + 2, "sifm_fee_specific": 26 + 18 * 2 + 2, "sifm_commission": 9 * 2 + 8, "featured_price_specific": 6 + 2,
-        "city_eligibility": 22 + 15, "transfer_city": 3 * 3 + 7, "sifm_model_year": 9 + 3, "auction_fee_unknown": 5,
+        "city_eligibility": 22 + 15, "transfer_city": 3 * 3 + 7, "sifm_model_year": 9 + 3, "auction_fee_unknown": 5, "autostore_returns": 6 + 4 + 3 + 3,
     }
     assert rows.select("instruction").distinct().count() == sum(count.values())
     # each answer is what reading the question gives
     told = F.array_join(F.transform(facts.detect(F.col("instruction")), lambda f: f["text"]), " ")
+    rows = rows.where("intent != 'autostore_returns'")
     wrong = rows.withColumn("told", told).where(~F.contains("told", "response")).collect()
     # a month reads as 28 days, whose sentence then replaces the month's
     assert not [(r.instruction, r.response, r.told) for r in wrong if "month" not in r.instruction] and len(wrong) == 1
+
+
+def test_the_whole_build(spark):
+    from loomstone.plans.generators import TITLES, Generators
+
+    made = Generators(spark)
+    questions = made.all().cache()
+    kb = build.Sections({t: f"## {t}\nbody of {t}" for t in [*TITLES.values(), "Alpha", "Beta"]}, {"Alpha": ["Beta"], TITLES["inspection"]: [TITLES["sifm"]]}, 42)
+    intents = spark.createDataFrame([(*r[:4], [t for t in r[4] or [] if t != "Gamma"], *r[5:]) for r in INTENTS], build.INTENT)
+    gaps = spark.createDataFrame([("Is there parking at night?", "Alpha", "That isn't in my information.", "C", "parking")], "instruction string, title string, response string, category string, intent string")
+    protected = spark.createDataFrame([("a question that only the evaluation asks",)], "q string")
+    rows = build.build(intents, questions, made.chats(kb), gaps, kb, protected).cache()
+    count = {r.segment: r["count"] for r in rows.groupBy("segment").count().collect()}
+    assert count["follow_up"] == 2 * 10 + 3 * 10 + 3 and count["gap"] == 1 and count["specific"] == questions.count()
+    assert {"plain", "irrelevant", "grounded", "wrong", "miss", "specific", "follow_up", "gap", "switch"} == set(count)
+    # a verified answer leads the context and is what the row replies
+    for r in rows.collect():
+        assert r.instruction and r.response and "{" not in r.instruction + r.response
+        assert r.context.startswith(FACT_HEADER) or not r.overridden
+        roles = [m.role for m in r.history]
+        assert roles == ["user", "assistant"] * (len(roles) // 2) and len(roles) <= 4 and (len(roles) > 0) is (r.segment in ("follow_up", "switch"))
+    asked = rows.where("segment = 'plain'").first().instruction
+    with pytest.raises(ValueError):
+        build.build(intents, questions, [], gaps, kb, spark.createDataFrame([(asked,)], "q string"))
+
+
+def test_switches_find_the_only_look_alike_of_a_large_pool(spark):
+    kb = build.Sections({"Alpha": "a", "Beta": "b", "Gamma": "c"}, {"Alpha": ["Beta"]}, 1)
+    none = []
+    rows = [(f"q{i}", "r", "", none, "c", f"g{i % 50}", "grounded", "Gamma") for i in range(3000)] + [("the one", "told", "", none, "c", "beta", "grounded", "Beta")]
+    current = [(f"a{i}", "r", "", none, "c", "alpha", "grounded", "Alpha") for i in range(4000)]
+    pool = spark.createDataFrame(rows + current, f"instruction string, response string, context string, history {TURNS}, category string, intent string, segment string, title string")
+    got = build.topic_switches(pool, kb, 60).where("title = 'Alpha'").collect()
+    assert got and all(r.history[0].content == "the one" for r in got)
+
+
+def test_top_k_in_blocks_equals_one_pass(spark, monkeypatch):
+    rows = spark.range(300).select("id", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.sin(F.col("id") * i)).alias("embedding"))
+    rows = rows.unionByName(spark.createDataFrame([(1000, [0.0] * 8), (1001, None), (None, [1.0] * 8)], "id long, embedding array<double>"))
+    for same in (True, False):
+        one = sorted(map(tuple, retrieval.top_k(rows, rows, 4, same=same).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "BLOCK", 64)
+            m.setattr(retrieval, "CHUNKS", 90)
+            blocks = sorted(map(tuple, retrieval.top_k(rows, rows, 4, same=same).collect()))
+        assert [r[:2] + r[3:] for r in one] == [r[:2] + r[3:] for r in blocks] and len(one) == 299 * 4  # sin(0) gives a norm of 0
+
+
+def test_latch_reads_figures_across_fragments(spark):
+    rows = [(r, i, t) for r, tokens in {"a": ["It is ", "PK", "R 9", "00", " now"], "b": ["no ", None, "figure {{ here }}"], "c": ["1", "2", " %"], "d": ["x" * 5000, "y 7%"], None: ["5", "%"]}.items() for i, t in enumerate(tokens)]
+    df = spark.createDataFrame(rows, "reply_id string, seq long, token string")
+    got = {}
+    for r in latch.latch(df).orderBy("seq").collect():
+        got.setdefault(r.reply_id, []).append((r.shown, r.chars, r.text))
+    assert [s for s, _, _ in got["a"]] == [True, True, False, False, False] and [s for s, _, _ in got["b"]] == [True] * 3
+    assert got["b"][-1][1:] == (14, "no figure here") and [s for s, _, _ in got["c"]] == [True, True, False]
+    assert [s for s, _, _ in got["d"]] == [True, False] and [s for s, _, _ in got[None]] == [True, False]
+    assert {(r.reply_id, r.seq): r.chars for r in latch.latch(df, with_text=False).collect()} == {(k, i): c for k, v in got.items() for i, (_, c, _) in enumerate(v)}
