@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.functions import facts, text
+from loomstone.functions import facts, fixed, text
 from loomstone.operators import draws, evaluate, history, retrieval, rules, splits
 from loomstone.plans import build
 from loomstone.sources import readers, sinks
@@ -243,10 +243,29 @@ def placeholder_clean(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", a.alias("instruction"), b.alias("response"))
 
 
-@query()
+@query(r"""
+    WITH w AS (SELECT doc_id, unnest(string_split_regex(text, '\s+')) AS word, generate_subscripts(string_split_regex(text, '\s+'), 1) AS i FROM documents),
+    k AS (SELECT doc_id, word, i, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w WHERE word <> '')
+    SELECT doc_id, count(*) AS n_words, count_if(regexp_full_match(word, '[A-Za-z]+') AND regexp_full_match(coalesce(before, ''), '[A-Za-z]+') AND lower(word) = lower(before))::BIGINT AS n_doubled FROM k GROUP BY doc_id
+""")
+def doubled_words(spark, sf_dir):
+    """Words, and those of ASCII letters that repeat the one before."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    plain = "^[A-Za-z]+$"
+    again = lambda w, i: w.rlike(plain) & F.coalesce(F.lower(w) == F.lower(F.get("words", i - 1)), F.lit(False))
+    rows = read(spark, sf_dir, "documents").withColumn("words", words).where(F.size("words") > 0)
+    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), F.size(F.filter("words", again)).cast("long").alias("n_doubled"))
+
+
+@query(r"""
+    WITH t AS (SELECT p_partkey, string_split(p_name, ' ') AS ws FROM part)
+    SELECT p_partkey, array_to_string(ws, ' ') || ', the ' || ws[1] AS text FROM t
+""")
 def dedup_words(spark, sf_dir):
-    """Back-references are beyond the checking engine's regular expressions; tests compare with a plain version."""
-    return read(spark, sf_dir, "documents").select("doc_id", text.dedup_words(F.col("text")).alias("text"))
+    """Each word of a name said one to three times in a row, in changing case."""
+    said = F.transform(F.split("p_name", " "), lambda w, i: F.array_join(F.slice(F.array(w, F.upper(w), w), F.lit(1), (i + F.col("p_partkey")).cast("int") % 3 + 1), " "))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.array_join(said, " "), F.lit(", the the "), F.get(F.split("p_name", " "), 0)).alias("text"))
+    return rows.select("p_partkey", text.dedup_words(F.col("text")).alias("text"))
 
 
 # --- Lookups -----------------------------------------------------------------------------------------
@@ -263,8 +282,6 @@ def band_range_join(spark, sf_dir):
 """)
 def band_price_lookup(spark, sf_dir):
     """The dimension has one row a band, so its literal rows go to every task."""
-    from loomstone.functions import fixed
-
     bands = spark.createDataFrame([(b, fixed.BAND_LABEL[b], p) for b, p in fixed.INSPECTION_PRICE.items()], "band string, label string, price string")
     rows = read(spark, sf_dir, "part").withColumn("band", facts.band_of(F.col("p_size") * 50))
     return rows.join(F.broadcast(bands), "band").select("p_partkey", "label", "price")
@@ -338,6 +355,173 @@ GUARD = """
     g AS (SELECT *, CASE WHEN n % 2 = 0 THEN 'PKR ' || amount ELSE 'PKR ' || coalesce(before, '0') END AS sources FROM s)"""
 
 
+# Facts read from questions made of the tables' numbers; the SQL has the sentences and works out which one applies.
+
+
+def told(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
+    """(key, answer): the sentences of the facts found in ``question``."""
+    found = facts.detect(F.col("question"), None, FACT_DOMAIN)
+    return rows.select(key, F.array_join(F.transform(found, lambda f: f["text"]), " ").alias("answer"))
+
+
+FACT_DOMAIN = fixed.Domain(brand="Carhub", site="carhub.example", helpline="111")
+
+
+def said(sentence: str, **parts: str) -> str:
+    """A fixed sentence as SQL text, its places filled with SQL expressions."""
+    out = "'" + fixed.SENTENCES[sentence].replace("{brand}", FACT_DOMAIN.brand).replace("'", "''") + "'"
+    for name, value in parts.items():
+        out = out.replace("{" + name + "}", f"' || {value} || '")
+    return f"({out})"
+
+
+def case_of(key: str, values: dict) -> str:
+    return f"(CASE {key} {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in values.items())} END)"
+
+
+def _price_sql(service: str, table: dict[str, str]) -> str:
+    lead = said("cc", article="CASE WHEN regexp_matches(cc::VARCHAR, '^(8|11|18)') THEN 'An' ELSE 'A' END", cc="cc::VARCHAR", label=case_of("band", fixed.BAND_LABEL))
+    verb = f"'{fixed.SENTENCES[service + '_verb']}'"
+    return f"""
+        WITH p AS (SELECT p_partkey, p_size * 50 AS cc, CASE WHEN p_size * 50 <= 1000 THEN 'small' WHEN p_size * 50 <= 2000 THEN 'mid' ELSE 'large' END AS band FROM part)
+        SELECT p_partkey, CASE WHEN cc < 100 THEN '' WHEN band = 'large' THEN {said("large_" + service)} ELSE {said(service, lead=lead, verb=verb, price=case_of("band", table))} END AS answer FROM p
+    """
+
+
+def sized(spark: SparkSession, sf_dir: str, question: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit(question), (F.col("p_size") * 50).cast("string"), F.lit("cc car")).alias("question"))
+
+
+@query(_price_sql("inspection", fixed.INSPECTION_PRICE))
+def fact_price(spark, sf_dir):
+    return told(spark, sized(spark, sf_dir, "Cost of inspection, "), "p_partkey")
+
+
+@query(_price_sql("sifm", fixed.SALE_FEE))
+def fact_sale_fee(spark, sf_dir):
+    return told(spark, sized(spark, sf_dir, "Sell it for me, "), "p_partkey")
+
+
+#: Places as questions write them, and their usual names.
+PLACES = {"Lahore": "Lahore", "khi": "Karachi", "Multan": "Multan", "di khan": "Dera Ismail Khan", "PINDI": "Rawalpindi", "Sialkot": "Sialkot", "isb": "Islamabad"}
+ASKS = {"inspection": "inspection in ", "sifm": "sifm in ", "transfer": "car transfer in "}
+
+
+def _verdict_sql() -> str:
+    where = f"CASE WHEN city = 'Lahore' THEN {said('where_home')} ELSE {said('where_other')} END"
+    held = lambda names: "city IN (" + ", ".join(f"'{n}'" for n in names) + ")"
+    listed = lambda names: f"'{facts.name_list(names)}'"
+    inspected, sold, moved = held(fixed.INSPECTION_CITIES), held(fixed.SALE_CITIES), held(fixed.TRANSFER_CITIES)
+    extra = f"CASE WHEN {inspected} THEN {said('sifm_no_extra', city='city')} ELSE '' END"
+    return f"""
+        WITH places(i, city) AS (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(PLACES.values()))}),
+        asks(j, service) AS (VALUES {", ".join(f"({j}, '{a}')" for j, a in enumerate(ASKS))})
+        SELECT c_custkey, CASE service
+            WHEN 'inspection' THEN CASE WHEN {inspected} THEN {said("inspection_yes", city="city", where=f"({where})")} ELSE {said("inspection_no", city="city", cities=listed(fixed.INSPECTION_CITIES))} END
+            WHEN 'sifm' THEN CASE WHEN {sold} THEN {said("sifm_yes", city="city")} ELSE {said("sifm_no", city="city", cities=listed(fixed.SALE_CITIES), extra=f"({extra})")} END
+            ELSE CASE WHEN {moved} THEN {said("transfer_yes", city="city")} ELSE {said("transfer_no", city="city", cities=listed(fixed.TRANSFER_CITIES))} END
+        END AS answer
+        FROM customer JOIN places ON i = c_custkey % {len(PLACES)} JOIN asks ON j = c_nationkey % {len(ASKS)}
+    """
+
+
+def pick(options: list[str], at: F.Column) -> F.Column:
+    return F.element_at(F.array(*map(F.lit, options)), (at % len(options) + 1).cast("int"))
+
+
+@query(_verdict_sql())
+def fact_verdict(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer")
+    return told(spark, rows.select("c_custkey", F.concat(pick(list(ASKS.values()), F.col("c_nationkey")), pick(list(PLACES), F.col("c_custkey"))).alias("question")), "c_custkey")
+
+
+@query(f"""
+    WITH y AS (SELECT o_orderkey, 1960 + o_orderkey % 70 AS year, o_orderkey % 2 = 0 AS named FROM orders),
+    s AS (SELECT *, CASE WHEN named THEN year || ' Honda City' ELSE year || ' model car' END AS subject FROM y)
+    SELECT o_orderkey, CASE WHEN year < 2000 THEN {said("year_no", subject="subject")} ELSE {said("year_yes", subject="subject", cities=f"'{facts.name_list(fixed.SALE_CITIES)}'")} END AS answer FROM s
+""")
+def fact_model_year(spark, sf_dir):
+    year = (F.col("o_orderkey") % 70 + 1960).cast("string")
+    named = F.when(F.col("o_orderkey") % 2 == 0, F.lit("Honda City, ")).otherwise(F.lit(""))
+    return told(spark, read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("sifm, "), named, F.lit("year "), year).alias("question")), "o_orderkey")
+
+
+SPANS = {"7 days": "7 days", "one week": "7 days", "two weeks": "14 days", "14 din": "14 days", "a month": "28 days", "28 days": "28 days", "3 days": None}
+
+
+@query(f"""
+    WITH spans(i, days) AS (VALUES {", ".join(f"({i}, " + (f"'{d}'" if d else "NULL") + ")" for i, d in enumerate(SPANS.values()))})
+    SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CASE o_orderkey % 12 {" ".join(f"WHEN {n} THEN {said('bundle', n=f"'{n}'", price=f"'{p}'")}" for n, p in fixed.BUNDLE_PRICE.items())} ELSE {said("bundles")} END
+        WHEN days IS NULL THEN {said("featured_options")}
+        ELSE {said("featured", days="days", price=case_of("days", fixed.FEATURED_PRICE))} || {said("featured_tail")} END AS answer
+    FROM orders JOIN spans ON i = o_orderkey % {len(SPANS)}
+""")
+def fact_featured(spark, sf_dir):
+    """Bundles of feature credits, else one ad for a number of days."""
+    credits = F.concat((F.col("o_orderkey") % 12).cast("string"), F.lit(" feature credits"))
+    days = F.concat(F.lit("feature an ad, "), pick(list(SPANS), F.col("o_orderkey")))
+    return told(spark, read(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, credits).otherwise(days).alias("question")), "o_orderkey")
+
+
+@query("""
+    WITH n AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS v FROM orders)
+    SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 0 THEN (v % 900 + 100) / 10 WHEN 1 THEN (v % 90 + 10) / 10 * 100 WHEN 2 THEN CASE WHEN v >= 100000 THEN v / 100000 END END, 6) AS lakh FROM n
+""")
+def fact_amount(spark, sf_dir):
+    """Sale prices written in lakh, crore and rupees, and none; a tenth at most after the point."""
+    v = F.floor("o_totalprice").cast("long")
+    words = (
+        F.when(F.col("o_orderkey") % 4 == 0, F.concat(((v % 900 + 100) / 10).cast("string"), F.lit(" lakh")))
+        .when(F.col("o_orderkey") % 4 == 1, F.concat(((v % 90 + 10) / 10).cast("string"), F.lit(" crore")))
+        .when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("Rs. "), F.format_number(v, 0)))
+        .otherwise(F.lit("sold today"))
+    )
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("it sold for "), words).alias("question"))
+    return rows.select("o_orderkey", F.round(facts.amount_in_lakh(F.col("question")), 6).alias("lakh"))
+
+
+GERMANS = (("bmw", "3 series", "BMW 3 Series"), ("AUDI", "a4", "Audi A4"), ("mercedes benz", "c-class", "Mercedes Benz C-Class"), ("vw", None, "Volkswagen"), ("Benz", "e-class", "Benz E-Class"))
+
+
+@query(f"""
+    WITH g(i, name) AS (VALUES {", ".join(f"({i}, '{fixed.GERMAN_BRANDS[b.lower()]}' || {chr(39) + ' ' + n.split(' ', b.count(' ') + 1)[-1] + chr(39) if m else chr(39) * 2})" for i, (b, m, n) in enumerate(GERMANS))})
+    SELECT p_partkey, name, 'german' AS band FROM part JOIN g ON i = p_partkey % {len(GERMANS)}
+""")
+def german_name(spark, sf_dir):
+    """The car that a question names, by German brand and model."""
+    asked = pick([" ".join(x for x in g[:2] if x) for g in GERMANS], F.col("p_partkey"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", facts.vehicle(F.concat(F.lit("my "), asked, F.lit(", please"))).alias("v"))
+    return rows.select("p_partkey", "v.name", "v.band")
+
+
+PHRASES = ("auction sheet of the {p}", "boost the {p} listing", "sifm commission on a {p}", "register a {p}, then inspect it", "PDI of a {p}", "an open letter {p}", "{p}")
+
+
+@query(f"""
+    WITH t AS (SELECT p_partkey, regexp_replace(replace(list_extract([{", ".join(f"'{x}'" for x in PHRASES)}], (p_partkey % {len(PHRASES)} + 1)::INT), '{{p}}', p_name), '(?i){fixed.OPEN_LETTER}', ' ', 'g') AS t FROM part)
+    SELECT p_partkey, concat_ws(',', {", ".join("CASE WHEN regexp_matches(t, '(?i)" + p.replace("{brand}", "Carhub").replace("'", "''") + f"') THEN '{name}' END" for name, p in fixed.SERVICES)}) AS services FROM t
+""")
+def services_of(spark, sf_dir):
+    asked = F.replace(pick(list(PHRASES), F.col("p_partkey")), F.lit("{p}"), F.col("p_name"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(facts.services(asked, FACT_DOMAIN), ",").alias("services"))
+
+
+@query("""
+    WITH d(i, who) AS (VALUES (0, 'Daniel Morgan'), (1, 'Sarah Lee'), (2, 'James Patel'), (3, 'Maria Garcia')),
+    c(i, city) AS (VALUES (0, 'Chicago'), (1, 'Toronto'), (2, 'Manchester'), (3, 'Sydney')),
+    n AS (SELECT c_custkey, ('0x' || substr(md5(c_custkey || '|person'), 1, 8))::BIGINT % 4 AS p, ('0x' || substr(md5(c_custkey || '|city'), 1, 8))::BIGINT % 4 AS k,
+        'ORD-' || (('0x' || substr(md5(c_custkey || '|order'), 1, 12))::BIGINT % 900000 + 100000) AS o FROM customer)
+    SELECT c_custkey, 'Where is ' || o || ' for ' || who || '?' AS instruction, 'Order ' || o || ' of ' || who || ' goes to your city, ' || o || ' it is.' AS response
+    FROM n JOIN d ON d.i = p JOIN c ON c.i = k
+""")
+def slot_fill(spark, sf_dir):
+    """Slots that the instruction names take the row's drawn values on both sides; a city that it doesn't name stays neutral."""
+    asked = F.lit("Where is {{Order Number}} for {{Person Name}}?")
+    given = F.lit("Order {{order number}} of {{ Person Name }} goes to {{Delivery City}}, {{Order Number}} it is.")
+    a, b = text.clean_pair(asked, given, F.col("c_custkey"))
+    return read(spark, sf_dir, "customer").select("c_custkey", a.alias("instruction"), b.alias("response"))
+
+
 def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -411,10 +595,23 @@ def leak_free_split(spark, sf_dir):
     return side(train, "train").unionByName(side(test, "test"))
 
 
-@query("SELECT 0::BIGINT AS shared")
+@query(f"""
+    WITH {PAIRS},
+    side AS (SELECT key, told, key IN (SELECT key FROM held) AS test FROM q),
+    kept AS (SELECT * FROM side WHERE test OR told IS NULL OR told NOT IN (SELECT key FROM held))
+    SELECT count_if(test)::BIGINT AS test_rows, count_if(NOT test)::BIGINT AS train_rows, count(DISTINCT CASE WHEN test THEN key END) AS test_keys,
+        (SELECT count(*) FROM (SELECT key FROM kept WHERE test INTERSECT SELECT key FROM kept WHERE NOT test)) AS shared,
+        count_if(NOT test AND told IN (SELECT key FROM held))::BIGINT AS leaked
+    FROM kept
+""")
 def split_disjoint(spark, sf_dir):
+    """Rows and keys of both sides, keys on both, and training rows whose history asks a test question."""
     train, test = splits.split_by_question(questions(spark, sf_dir), 20, 42)
-    return splits.shared_keys(train, test).agg(F.count("*").alias("shared"))
+    keys = test.select(text.question_key(F.col("instruction")).alias("key")).distinct()
+    told = train.select(F.explode("history").alias("m")).select(text.question_key(F.col("m.content")).alias("key"))
+    out = test.agg(F.count("*").alias("test_rows")).crossJoin(train.agg(F.count("*").alias("train_rows"))).crossJoin(keys.agg(F.count("*").alias("test_keys")))
+    out = out.crossJoin(splits.shared_keys(train, test).agg(F.count("*").alias("shared")))
+    return out.crossJoin(told.join(keys, "key", "left_semi").agg(F.count("*").alias("leaked")))
 
 
 TEMPLATES = ("What does {n} cost?", "Is {n} available?", "{n} ki qeemat?")
