@@ -29,6 +29,7 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -38,10 +39,10 @@ from loomstone.llm.common import map_arrow, text_or_empty
 MARK = "▁"
 #: Segments held and, at most, their ids; pairs of pieces held.
 HELD = 500_000
-HELD_IDS = 1 << 24
+HELD_IDS = 1 << 22
 PAIRS = 400_000
-#: Characters of text coded at a time, which bounds what a worker holds beside its input.
-STEP = 1 << 21
+#: Bytes of text coded at a time, which bounds what a worker holds beside its input.
+STEP = 1 << 20
 #: Characters with a column in the array form of the automaton, and the longest segments that use it.
 CLASSES = 250
 LONGEST = 48
@@ -398,11 +399,11 @@ def codec(path: str, model_type: int | None = None) -> Codec:
     return _codecs[path, model_type]
 
 
-def steps(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Stretches of texts of about ``STEP`` characters."""
+def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of texts of about ``STEP`` bytes."""
     start, size = 0, 0
-    for i, t in enumerate(texts, start=1):
-        size += len(t)
+    for i, n in enumerate(pc.binary_length(texts).to_pylist(), start=1):
+        size += n
         if size >= STEP or i == len(texts):
             yield start, i
             start, size = i, 0
@@ -423,12 +424,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in steps(texts):
-                offsets, ids, scores = c.encode_many(texts[lo:hi])
-                same = [True] * (hi - lo)
+            for lo, hi in steps(b.column(1)):
+                texts = b.column(1).slice(lo, hi - lo).to_pylist()
+                offsets, ids, scores = c.encode_many(texts)
+                same = [True] * len(texts)
                 for at, x in zip(offsets, ids, strict=True):
-                    same = [s and c.decode(x[a:z]) == t for s, a, z, t in zip(same, at[:-1], at[1:], texts[lo:hi], strict=True)]
+                    same = [s and c.decode(x[a:z]) == t for s, a, z, t in zip(same, at[:-1], at[1:], texts, strict=True)]
                 lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.astype(np.int32))) for at, x in zip(offsets, ids, strict=True)]
                 columns = [b.column(0).slice(lo, hi - lo), *lists, pa.array(scores, pa.float64()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
