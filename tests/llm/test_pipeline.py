@@ -37,6 +37,7 @@ def test_run_on_an_empty_table(spark, tmp_path):
 
 def test_stages_take_nulls_and_extra_columns(spark):
     docs = spark.createDataFrame([(1, "a fine text of some words here", None, 5), (1, "a fine text of some words here", None, 5), (None, None, "x", None), (2, "", "y", 1)], "doc_id long, text string, lang string, _key long")
+    assert {(r.doc_id, r.doc_tokens) for r in corpus_pipeline.pack_sequences(spark, docs, "").collect()} >= {(None, 1), (2, 1)}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs.select("doc_id", "text", "lang", F.lit(1).alias("source"), F.lit(1).cast("long").alias("n_chars"), F.lit("z").alias("_gone")), "")
         assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_gone"], name
