@@ -83,6 +83,7 @@ def answer_conversation(cases: DataFrame, answer: Callable[[dict, list[dict]], s
         return pd.DataFrame(out, columns=[key, order, "answer"])
 
     kinds = dict(cases.dtypes)
+    ship(cases.sparkSession)
     return cases.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, {order} {kinds[order]}, answer string")
 
 

@@ -57,7 +57,11 @@ def require_known(rows: DataFrame, column: str, known: DataFrame, name: str = "t
 BANK = r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b|\b\d{4}-\d{4}-\d{4}\b"
 
 
+def holding(rows: DataFrame, column: str, pattern: str = BANK) -> DataFrame:
+    """The rows whose column holds the pattern."""
+    return rows.where(F.col(column).rlike(pattern))
+
+
 def require_absent(rows: DataFrame, column: str, pattern: str = BANK) -> None:
-    n = rows.where(F.col(column).rlike(pattern)).limit(1).count()
-    if n:
+    if not holding(rows, column, pattern).isEmpty():
         raise ValueError(f"{column} holds what it must not: {pattern}")

@@ -429,7 +429,10 @@ def pick(options: list[str], at: F.Column) -> F.Column:
     return F.element_at(F.array(*map(F.lit, options)), (at % len(options) + 1).cast("int"))
 
 
-@query(_verdict_sql())
+VERDICT_SQL = _verdict_sql()
+
+
+@query(VERDICT_SQL)
 def fact_verdict(spark, sf_dir):
     rows = read(spark, sf_dir, "customer")
     return told(spark, rows.select("c_custkey", F.concat(pick(list(ASKS.values()), F.col("c_nationkey")), pick(list(PLACES), F.col("c_custkey"))).alias("question")), "c_custkey")

@@ -25,7 +25,7 @@ def write_once(rows: DataFrame, path: str) -> None:
     rows.write.mode("ignore").parquet(path)
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     """One small file through Spark's file systems, so that the path may be remote."""
     jvm = spark.sparkContext._jvm
     to = jvm.org.apache.hadoop.fs.Path(path)
@@ -44,7 +44,7 @@ def write_report(scored: DataFrame, mode: str, folder: str) -> int:
     spark = scored.sparkSession
     results = [r.asDict(recursive=True) for r in scored.orderBy("id").toLocalIterator()]
     passed = sum(r["passed"] for r in results)
-    _write_text(spark, f"{folder}/report.json", json.dumps(results, indent=2, ensure_ascii=False))
+    write_text(spark, f"{folder}/report.json", json.dumps(results, indent=2, ensure_ascii=False))
     topics: dict[str, list[bool]] = {}
     for r in results:
         topics.setdefault(r["topic"], []).append(r["passed"])
@@ -53,7 +53,7 @@ def write_report(scored: DataFrame, mode: str, folder: str) -> int:
     lines += ["", "## Failures", ""]
     for r in (r for r in results if not r["passed"]):
         lines += [f"**{r['id']}. {r['question']}**", "", f"> {r['answer']}", "", *(f"- {x}" for x in r["failures"]), ""]
-    _write_text(spark, f"{folder}/report.md", "\n".join(lines))
+    write_text(spark, f"{folder}/report.md", "\n".join(lines))
     return passed
 
 
