@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import fixed
@@ -14,6 +14,14 @@ from loomstone.functions import fixed
 CI = "(?iU)"
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is worked out once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -139,11 +147,12 @@ def clean_pair(instruction: Column, response: Column, seed: Column | None = None
     values = slot_values(seed)
     said: dict[str, Column] = {}
     for name, (g, _) in fixed.SLOTS.items():
-        said[g] = said.get(g, F.lit(False)) | instruction.rlike(slot(name))
+        said[g] = said.get(g, F.lit(False)) | (F.contains(instruction, F.lit("{{")) & instruction.rlike(slot(name)))
     tier = group(instruction, fixed.ACCOUNT_TIER)
     account = F.when(said["account"], values["account", None]).when(tier.isNotNull(), F.initcap(tier))
 
-    def one_pass(text: Column, neutral: bool) -> Column:
+    def one_pass(plain: Column, neutral: bool) -> Column:
+        text = plain
         for name, (g, field) in fixed.SLOTS.items():
             value = values[g, field]
             if neutral:
@@ -151,7 +160,8 @@ def clean_pair(instruction: Column, response: Column, seed: Column | None = None
             text = _put(text, name, value)
         for name, phrase in fixed.GENERIC_PHRASES.items():
             text = F.regexp_replace(text, slot(name), phrase)
-        return reveal_slots(text)
+        # Most texts have no slot, and after the first pass few have one left.
+        return F.when(F.contains(plain, F.lit("{{")), reveal_slots(text)).otherwise(plain)
 
     asked = F.transform(F.array(instruction), lambda t: one_pass(t, False))
     asked = F.element_at(F.transform(asked, lambda t: one_pass(t, False)), 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.functions.text import fresh
+
 
 def digest(seed: int | str, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(k.cast("string") for k in keys)))
@@ -33,8 +35,9 @@ def shuffled(options: Column, seed: int | str, *keys: Column) -> Column:
 def sample_per_group(rows: DataFrame, group: str | list[str], key: str, k: int, seed: int | str) -> DataFrame:
     """At most k rows of each group, by the order of their digests; groups are cut before they are shuffled whole."""
     by = [group] if isinstance(group, str) else group
-    w = Window.partitionBy(*by).orderBy("_d", key)
-    return rows.withColumn("_d", digest(seed, F.col(key))).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_d", "_r")
+    r = fresh(rows, "rank_in_group")
+    w = Window.partitionBy(*by).orderBy(digest(seed, F.col(key)), key)
+    return rows.withColumn(r, F.row_number().over(w)).where(F.col(r) <= k).drop(r)
 
 
 def shuffle_rows(rows: DataFrame, key: Column, seed: int | str) -> DataFrame:

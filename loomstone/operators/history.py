@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions import fixed
-from loomstone.functions.text import fill, follow_up, let, strip, translate_words, word_count
+from loomstone.functions.text import fill, follow_up, fresh, let, strip, translate_words, word_count
 
 ROLES = ("user", "assistant")
 
@@ -120,8 +120,9 @@ def recent_long(turns: DataFrame, max_turns: int) -> DataFrame:
     w = Window.partitionBy("conv_id")
     back = w.orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     user = F.when(F.col("role") == "user", 1).otherwise(0)
-    seen = normalize_long(turns).withColumn("_c", F.sum(user).over(back)).withColumn("_n", F.least(F.sum(user).over(w), F.lit(max_turns)))
-    return seen.where((F.col("_c") < F.col("_n")) | ((F.col("_c") == F.col("_n")) & (F.col("role") == "user"))).drop("_c", "_n")
+    c, n = fresh(turns, "users_since"), fresh(turns, "users_wanted")
+    seen = normalize_long(turns).withColumn(c, F.sum(user).over(back)).withColumn(n, F.least(F.sum(user).over(w), F.lit(max_turns)))
+    return seen.where((F.col(c) < F.col(n)) | ((F.col(c) == F.col(n)) & (F.col("role") == "user"))).drop(c, n)
 
 
 def with_previous_question(turns: DataFrame) -> DataFrame:
@@ -134,17 +135,19 @@ def with_previous_question(turns: DataFrame) -> DataFrame:
 def carry_forward(turns: DataFrame, value: Column, name: str) -> DataFrame:
     """User rows with ``name``: the newest earlier value that isn't empty."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    asked = normalize_long(turns).where("role = 'user'").withColumn("_v", F.when(F.size(value) > 0, value))
-    return asked.withColumn(name, F.last("_v", ignorenulls=True).over(w)).drop("_v")
+    v = fresh(turns, "value_held")
+    asked = normalize_long(turns).where("role = 'user'").withColumn(v, F.when(F.size(value) > 0, value))
+    return asked.withColumn(name, F.last(v, ignorenulls=True).over(w)).drop(v)
 
 
 def trim_long(turns: DataFrame, budget: int) -> DataFrame:
     """The newest rows of each conversation whose running number of tokens fits, from a user row on."""
     w = Window.partitionBy("conv_id")
     back = w.orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = normalize_long(turns).withColumn("_sum", F.sum(word_count(F.col("text"))).over(back)).where(F.col("_sum") <= budget)
+    total, start = fresh(turns, "tokens_since"), fresh(turns, "first_turn")
+    fits = normalize_long(turns).withColumn(total, F.sum(word_count(F.col("text"))).over(back)).where(F.col(total) <= budget)
     first = F.min(F.when(F.col("role") == "user", F.col("turn"))).over(w)
-    return fits.withColumn("_first", first).where(F.col("turn") >= F.col("_first")).drop("_sum", "_first")
+    return fits.withColumn(start, first).where(F.col("turn") >= F.col(start)).drop(total, start)
 
 
 def nest(turns: DataFrame) -> DataFrame:

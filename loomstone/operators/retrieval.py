@@ -104,11 +104,22 @@ def _to_all(asked: DataFrame, stored: DataFrame, k: int, same: bool) -> DataFram
 def _in_blocks(asked: DataFrame, stored: DataFrame, n_asked: int, k: int, same: bool) -> DataFrame:
     """Blocks of queries against blocks of chunks, a pair of blocks at a time."""
     n_stored = max(1, -(-stored.count() // CHUNKS))
-    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.select(own(n_asked).alias("q"), every(n_stored).alias("c"), F.lit(0).alias("side"), "id", "embedding")
-    right = stored.select(every(n_asked).alias("q"), own(n_stored).alias("c"), F.lit(1).alias("side"), "id", "embedding")
-    dealt = left.unionByName(right).repartition("q", "c").sortWithinPartitions("q", "c", "side")
+    left = asked.select(_part("id", n_asked).alias("q"), _every(F.lit(n_stored)).alias("c"), F.lit(0).alias("side"), "id", "embedding")
+    right = stored.select(_every(F.lit(n_asked)).alias("q"), _part("id", n_stored).alias("c"), F.lit(1).alias("side"), "id", "embedding")
+    return _meet(left.unionByName(right), k, same)
+
+
+def _part(key: str, n: Column | int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n) if isinstance(n, int) else n).cast("int")
+
+
+def _every(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _meet(rows: DataFrame, k: int, same: bool) -> DataFrame:
+    """The k nearest chunks (side 1) of each query (side 0) among those of one pair of blocks (q, c)."""
+    dealt = rows.select("q", "c", "side", "id", "embedding").repartition("q", "c").sortWithinPartitions("q", "c", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vectors, best = None, [], [], None
@@ -121,19 +132,77 @@ def _in_blocks(asked: DataFrame, stored: DataFrame, n_asked: int, k: int, same:
                     if best is not None:
                         yield best.rows()
                     key, ids, vectors, best = (q[lo], c[lo]), [], [], None
-                at, rows = b.column(3).slice(lo, hi - lo).to_numpy(), _rows(b.column(4).slice(lo, hi - lo))
+                at, found = b.column(3).slice(lo, hi - lo).to_numpy(), _rows(b.column(4).slice(lo, hi - lo))
                 if side[lo] == 0:
                     ids.append(at)
-                    vectors.append(rows)
+                    vectors.append(found)
                 elif ids:
                     best = best or Best(np.concatenate(ids), np.concatenate(vectors), k, same)
-                    best.see(at, rows)
+                    best.see(at, found)
         if best is not None:
             yield best.rows()
 
     return dealt.transform(map_arrow, run, FOUND)
 
 
+# --- Approximate: cells around centres, of which a query looks into the nearest few ----------------
+
+
+def fit_cells(chunks: DataFrame, cells: int = 256, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
+    """Unit centres of at most ``cells`` cells, by spherical k-means on the ``sample`` rows of the smallest digests. Empty without vectors."""
+    drawn = chunks.where("id is not null and embedding is not null").orderBy(F.md5(F.col("id").cast("string")), "id").limit(sample)
+    table = drawn.select(F.col("embedding").cast("array<double>")).toArrow()
+    if not table.num_rows:
+        return np.zeros((0, 1))
+    rows = _rows(table.column(0).combine_chunks())
+    rows = rows[~np.isnan(rows).any(axis=1)]
+    centres = rows[:: max(1, len(rows) // cells)][:cells].copy()
+    for _ in range(rounds if len(centres) else 0):
+        near = (rows @ centres.T).argmax(axis=1)
+        for i in np.unique(near):
+            mean = rows[near == i].sum(axis=0)
+            norm = np.linalg.norm(mean)
+            centres[i] = mean / norm if norm else centres[i]
+    return centres
+
+
+def with_cells(rows: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
+    """(id, embedding, cell): a row for each of the ``probes`` nearest cells; rows without a direction have none."""
+    shared = rows.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors = _rows(b.column(1))
+            ok = np.flatnonzero(~np.isnan(vectors).any(axis=1))
+            if not len(ok) or not len(shared.value):
+                continue
+            near = np.argsort(-(vectors[ok] @ shared.value.T), axis=1, kind="stable")[:, :probes]
+            out = b.take(pa.array(np.repeat(ok, near.shape[1])))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(near.ravel().astype(np.int32))], names=["id", "embedding", "cell"])
+
+    vectors = rows.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>")).where("id is not null and embedding is not null")
+    return vectors.transform(map_arrow, run, "id long, embedding array<double>, cell int")
+
+
+def top_k_near(queries: DataFrame, chunks: DataFrame, k: int, cells: int = 256, probes: int = 80, sample: int = 20_000, same: bool = True) -> DataFrame:
+    """As ``top_k``, but of the chunks in the ``probes`` cells nearest to a query alone; every chunk is in one cell.
+
+    The centres are fit on a bounded sample (``sample`` rows, a parameter). A
+    cell of many chunks is dealt into blocks, and so are the queries beyond
+    ``BLOCK``; what a task holds is a block of queries.
+    """
+    centres = fit_cells(chunks, cells, sample)
+    stored, asked = with_cells(chunks, centres), with_cells(queries, centres, probes)
+    # One row a cell, of which there are at most ``cells``.
+    sizes = stored.groupBy("cell").agg(F.ceil(F.count("*") / CHUNKS).cast("int").alias("n"))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    left = asked.join(F.broadcast(sizes), "cell").select((F.col("cell") * blocks + _part("id", blocks)).alias("q"), _every(F.col("n")).alias("c"), F.lit(0).alias("side"), "id", "embedding")
+    held = stored.join(F.broadcast(sizes), "cell").withColumn("c", _part("id", F.col("n")))
+    right = held.withColumn("part", _every(F.lit(blocks))).select((F.col("cell") * blocks + F.col("part")).alias("q"), "c", F.lit(1).alias("side"), "id", "embedding")
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
+    return _meet(left.unionByName(right), k, same).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def assemble(ranked: DataFrame, texts: DataFrame, sep: str = "\n---\n") -> DataFrame:
     """(query_id, context): the texts of a query's chunks in rank order, joined. k rows a query meet in a group."""
     rows = ranked.join(texts.select(F.col("id").alias("chunk_id"), "text"), "chunk_id")

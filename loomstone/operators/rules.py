@@ -17,7 +17,9 @@ def check(answer: Column, must: Column, must_not: Column) -> Column:
 
 def score_cases(cases: DataFrame, answers: DataFrame) -> DataFrame:
     """(id, topic, question, answer, passed, failures) for every case; a case without an answer has "" for one."""
-    rows = cases.join(answers.select(F.col("id").cast("string").alias("_id"), "answer"), cases["id"].cast("string") == F.col("_id"), "left")
+    given = answers.select(F.col("id").cast("string").alias("answer_id"), F.col("answer").alias("answer"))
+    asked = cases.select("id", "topic", "q", "must", "must_not")
+    rows = asked.join(given, F.col("id").cast("string") == F.col("answer_id"), "left")
     failures = check(F.col("answer"), F.col("must"), F.col("must_not"))
     scored = rows.select("id", "topic", F.col("q").alias("question"), F.coalesce("answer", F.lit("")).alias("answer"), failures.alias("failures"))
     return scored.withColumn("passed", F.size("failures") == 0).select("id", "topic", "question", "answer", "passed", "failures")
@@ -25,8 +27,8 @@ def score_cases(cases: DataFrame, answers: DataFrame) -> DataFrame:
 
 def pass_rate(scored: DataFrame, topic: str = "topic", order: str = "id") -> DataFrame:
     """(topic, passed, total, rate), topics in the order of their first case."""
-    table = scored.groupBy(topic).agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"), F.min(order).alias("_first"))
-    return table.withColumn("rate", F.col("passed") / F.col("total")).orderBy("_first").drop("_first")
+    table = scored.groupBy(topic).agg(F.count_if("passed").alias("passed"), F.count("*").alias("total"), F.min(order).alias("first_case"))
+    return table.withColumn("rate", F.col("passed") / F.col("total")).orderBy("first_case").drop("first_case")
 
 
 def first_match_join(rows: DataFrame, rules: DataFrame, text: str, key: str) -> DataFrame:

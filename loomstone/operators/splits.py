@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstone.functions.text import question_key
+from loomstone.functions.text import fresh, question_key
 from loomstone.operators.draws import digest
+from loomstone.sources.shared import store
 
 
 def test_keys(rows: DataFrame, test_size: int, seed: int, question: str = "instruction") -> DataFrame:
@@ -19,27 +20,28 @@ def split_by_question(rows: DataFrame, test_size: int, seed: int, question: str
     """(train, test): all rows of a test question go to test; a training row whose history asks one is left out of both.
 
     ``history`` is an array of struct<role, content>; without that column no
-    row is left out for it. The held-out keys are ``test_size`` rows, joined
-    as Spark sees fit.
+    row is left out for it. The held-out keys are ``test_size`` rows, stored
+    once and joined as Spark sees fit.
     """
-    held = test_keys(rows, test_size, seed, question)
-    keyed = rows.withColumn("_key", question_key(F.col(question)))
-    test = keyed.join(held, keyed["_key"] == held["key"], "left_semi").drop("_key")
-    rest = keyed.join(held, keyed["_key"] == held["key"], "left_anti")
+    own = fresh(rows, "own_key")
+    held = store(test_keys(rows, test_size, seed, question).withColumnRenamed("key", own), "held")
+    keyed = rows.withColumn(own, question_key(F.col(question)))
+    test = keyed.join(held, own, "left_semi").drop(own)
+    rest = keyed.join(held, own, "left_anti").drop(own)
     if history in rows.columns:
         asked = F.transform(F.filter(history, lambda m: m["role"] == "user"), lambda m: question_key(m["content"]))
         # A scalar subquery of at most ``test_size`` keys: no explode, no join and no shuffle of histories.
-        told = held.agg(F.collect_set("key")).scalar()
+        told = held.agg(F.collect_set(own)).scalar()
         rest = rest.where(~F.coalesce(F.arrays_overlap(asked, told), F.lit(False)))
-    return rest.drop("_key"), test
+    return rest, test
 
 
 def split_rows(rows: DataFrame, key: Column, test_size: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(train, test) by row: ``test_size`` rows by the order of their keys' digests."""
-    ranked = rows.withColumn("_d", digest(seed, key))
-    last = ranked.select("_d").orderBy("_d").limit(test_size).agg(F.max("_d")).first()[0]
-    cut = F.col("_d") <= F.lit(last) if last is not None else F.lit(False)
-    return ranked.where(~cut).drop("_d"), ranked.where(cut).drop("_d")
+    d = digest(seed, key)
+    last = rows.select(d.alias("d")).orderBy("d").limit(test_size).agg(F.max("d")).first()[0]
+    cut = d <= F.lit(last) if last is not None else F.lit(False)
+    return rows.where(~cut), rows.where(cut)
 
 
 def shared_keys(a: DataFrame, b: DataFrame, question: str = "instruction") -> DataFrame:

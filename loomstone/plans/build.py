@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import facts, fixed
 from loomstone.functions.fixed import Domain
-from loomstone.functions.text import fill
+from loomstone.functions.text import fill, fresh
 from loomstone.operators import draws, splits
 from loomstone.sources import sinks
 
@@ -29,8 +29,8 @@ SIZES = {"grounded": 4, "irrelevant": 2, "wrong": 2, "misses": 15, "switches": 1
 
 
 def cross(templates: DataFrame, entities: DataFrame, name: str, template: str = "template", out: str = "question") -> DataFrame:
-    """Every template with every entity put in its ``{name}`` place. Both tables are hand-written lists."""
-    return templates.join(F.broadcast(entities), how="cross").withColumn(out, F.replace(F.col(template), F.lit(f"{{{name}}}"), F.col(name).cast("string")))
+    """Every template with every entity put in its ``{name}`` place. Both are hand-written lists; Spark broadcasts the one that is small enough."""
+    return templates.join(entities, how="cross").withColumn(out, F.replace(F.col(template), F.lit(f"{{{name}}}"), F.col(name).cast("string")))
 
 
 def sample_templates(templates: DataFrame, entities: DataFrame, name: str, k: int, seed: int) -> DataFrame:
@@ -41,12 +41,11 @@ def sample_templates(templates: DataFrame, entities: DataFrame, name: str, k: in
 
 def verified(rows: DataFrame, domain: Domain = Domain()) -> DataFrame:
     """Rows with their verified facts first in the context; a response without them is replaced and marked ``overridden``."""
-    told = F.array_join(F.transform("_facts", lambda f: f["text"]), " ")
-    known = F.size("_facts") > 0
-    rows = rows.withColumn("_facts", facts.detect(F.col("instruction"), F.col("history"), domain)).withColumn("_told", told)
-    rows = rows.withColumn("overridden", known & ~F.contains(F.col("response"), F.col("_told")))
-    rows = rows.withColumn("context", facts.build_context(F.col("_facts"), F.col("context")))
-    return rows.withColumn("response", F.when(F.col("overridden"), F.col("_told")).otherwise(F.col("response"))).drop("_facts", "_told")
+    found, told = fresh(rows, "found_facts"), fresh(rows, "told_facts")
+    rows = rows.withColumn(found, facts.detect(F.col("instruction"), F.col("history"), domain)).withColumn(told, F.array_join(F.transform(found, lambda f: f["text"]), " "))
+    rows = rows.withColumn("overridden", (F.size(found) > 0) & ~F.contains(F.col("response"), F.col(told)))
+    rows = rows.withColumn("context", facts.build_context(F.col(found), F.col("context")))
+    return rows.withColumn("response", F.when(F.col("overridden"), F.col(told)).otherwise(F.col("response"))).drop(found, told)
 
 
 class Sections:
@@ -154,8 +153,9 @@ def context_gaps(rows: DataFrame, sections: Sections) -> DataFrame:
 
 def pick_others(pairs: DataFrame, key: str, alike: str, other: Column, k: int, seed: int) -> DataFrame:
     """At most k partners of each key, look-alikes first, then by the digest of both."""
-    w = Window.partitionBy(key).orderBy(F.col(alike).desc(), "_d")
-    return pairs.withColumn("_d", draws.digest(seed, F.col(key), other)).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_d", "_r")
+    r = fresh(pairs, "rank_in_group")
+    w = Window.partitionBy(key).orderBy(F.col(alike).desc(), draws.digest(seed, F.col(key), other))
+    return pairs.withColumn(r, F.row_number().over(w)).where(F.col(r) <= k).drop(r)
 
 
 def topic_switches(pool: DataFrame, sections: Sections, n: int = SIZES["switches"]) -> DataFrame:

@@ -198,6 +198,20 @@ def keyword_vectors(spark, sf_dir):
     return rows.select("doc_id", *(F.get("v", F.lit(i)).alias(w) for i, w in enumerate([*VOCABULARY, "bias"])))
 
 
+@query()
+def near_topk(spark, sf_dir):
+    """The five nearest by the approximate index; a test measures what it finds of the exact ones."""
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    found = retrieval.top_k_near(rows.where("id % 20 = 0"), rows, 5)
+    return found.select("query_id", "chunk_id", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def chunk_recursive(spark, sf_dir):
+    """Chunks of at most 1,000 characters, cut at paragraphs, lines and words in this order; tested on its properties."""
+    return retrieval.recursive_chunks(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), F.col("chunk_no").cast("long").alias("chunk_no"), "chunk")
+
+
 # --- Evaluation ------------------------------------------------------------------------------------------
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import facts, fixed
 from loomstone.operators import draws, evaluate, rules
-from loomstone.plans import build, generators
+from loomstone.plans import build, generators, samples
 from loomstone.plans.generators import ASKED, TITLES
-from loomstone.plans.queries import FACT_DOMAIN, case_of, pick, query, read, said
+from loomstone.plans.queries import FACT_DOMAIN, ORACLES, case_of, pick, query, read, said
 from loomstone.sources import readers, sinks
 from loomstone.sources.shared import scratch
 
@@ -168,6 +168,20 @@ def auction_rows(spark, sf_dir):
     return made(spark, "auction_fee")
 
 
+RETURN_YES, RETURN_NO = quote(generators.RETURN_YES), quote(generators.RETURN_NO)
+
+
+@query(marked_sql(
+    "autostore_returns", "SHOP",
+    asked_sql(list(generators.FAULTY.items()), "item, kind", "faulty", put("item"), "1", f"replace({RETURN_YES}, '{{kind}}', kind)", TITLES["returns"]),
+    said_sql([f"Is a refund due on the {x} I no longer want?" for x in generators.UNLOVED], RETURN_NO, TITLES["returns"]),
+    said_sql([f"The {a} of my {x} is not to my liking, return it?" for x, a, _ in generators.COLOURS], RETURN_NO, TITLES["returns"]),
+    said_sql([f"My order said {a} {x}, a {b} one arrived." for x, a, b in generators.COLOURS], f"replace({RETURN_YES}, '{{kind}}', 'wrong')", TITLES["returns"]),
+))
+def returns_rows(spark, sf_dir):
+    return made(spark, "returns")
+
+
 # --- Draws and sections ----------------------------------------------------------------------------------
 
 WORDS = ("red", "green", "blue", "black", "white")
@@ -266,6 +280,39 @@ def retrieval_misses(spark, sf_dir):
     return build.retrieval_misses(intents, build.Sections(SECTIONS, ALIKE, 42), N_MISSES).select("intent", "instruction", "response", "context")
 
 
+MADE = ("inspection_price_rows", "sale_fee_rows", "commission_rows", "featured_rows", "city_rows", "transfer_rows", "model_year_rows", "auction_rows", "returns_rows")
+SIZE = build.SIZES
+BARE = round(SIZE["switches"] * build.RATES["no_context_switch"])
+INTENT_ROWS = ", ".join(f"('{r[0]}', {len(r[2])}, {r[4] is not None}, {r[6] is not None}, {bool(r[7])})" for r in samples.INTENTS)
+
+
+@query(f"""
+    WITH i(intent, n, own, figures, whole) AS (VALUES {INTENT_ROWS}),
+    made AS (SELECT count(*) AS n FROM ({" UNION ALL ".join(f"SELECT instruction FROM ({ORACLES[m]})" for m in MADE)})),
+    c AS (SELECT sum(n) AS plain, sum(CASE WHEN own THEN 0 WHEN whole THEN n ELSE least(n, {SIZE["irrelevant"]}) END) AS irrelevant, sum(CASE WHEN own THEN CASE WHEN figures OR whole THEN n ELSE least(n, {SIZE["grounded"]}) END ELSE 0 END) AS grounded,
+        sum(CASE WHEN own THEN least(n, {SIZE["wrong"]}) ELSE 0 END) AS wrong, least({SIZE["misses"]}, sum(CASE WHEN figures THEN n ELSE 0 END)) AS miss, (SELECT n FROM made) AS specific FROM i),
+    s(segment, n) AS (
+        SELECT 'plain', plain FROM c UNION ALL SELECT 'irrelevant', irrelevant FROM c UNION ALL SELECT 'grounded', grounded FROM c UNION ALL SELECT 'wrong', wrong FROM c
+        UNION ALL SELECT 'miss', miss FROM c UNION ALL SELECT 'specific', specific FROM c UNION ALL SELECT 'gap', {len(samples.GAPS)}
+        UNION ALL SELECT 'follow_up', {5 * SIZE["follow_ups"] + len(generators.FOLLOW_UP_DAYS)}
+        UNION ALL SELECT 'switch', least({BARE}, plain + irrelevant) + least({SIZE["switches"] - BARE}, grounded + specific) FROM c)
+    SELECT segment, n::BIGINT AS rows, CASE WHEN segment IN ('switch', 'follow_up') THEN n ELSE 0 END::BIGINT AS chats, 0::BIGINT AS odd_histories, 0::BIGINT AS untold FROM s
+""")
+def build_segments(spark, sf_dir):
+    """The whole training set by segment: rows, those with a history, histories that don't alternate, and answers without their verified facts."""
+    t = samples.tables(spark)
+    sections = build.Sections(samples.SECTIONS, samples.ALIKE, 42)
+    made = generators.Generators(spark, 42, FACT_DOMAIN)
+    questions = build.cut(made.all())
+    rows = build.build(t["intents"], questions, made.chats(sections), t["gaps"], sections, t["protected"], FACT_DOMAIN)
+    told = F.regexp_extract("context", rf"(?s)^{fixed.FACT_HEADER}\n(.*?)(?:\n---\n|$)", 1)
+    alternates = F.forall(F.transform("history", lambda m, i: m["role"] == F.when(i % 2 == 0, "user").otherwise("assistant")), lambda ok: ok) & (F.size("history") % 2 == 0)
+    return rows.groupBy("segment").agg(
+        F.count("*").alias("rows"), F.count_if(F.size("history") > 0).alias("chats"), F.count_if(~alternates).alias("odd_histories"),
+        F.count_if((told != "") & ~F.contains("response", told)).alias("untold"),
+    )
+
+
 # --- Sources and sinks ---------------------------------------------------------------------------------------
 
 

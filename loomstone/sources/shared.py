@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +28,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     fs.mkdirs(at)
     fs.deleteOnExit(at)
     return at.toString()
+
+
+def store(rows: DataFrame, name: str) -> DataFrame:
+    """The rows written there and read back: worked out once, and read again by tasks whose executor was lost."""
+    path = f"{scratch(rows.sparkSession, name)}/rows"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.functions.fixed import FACT_HEADER
-from loomstone.operators import draws, evaluate, retrieval, rules, splits
-from loomstone.plans import answer, build
+from loomstone.operators import draws, evaluate, history, retrieval, rules, splits
+from loomstone.plans import answer, build, samples
 from loomstone.sources import readers, sinks
 from loomstone.streaming import latch
 
@@ -268,3 +268,41 @@ def test_latch_reads_figures_across_fragments(spark):
     assert got["b"][-1][1:] == (14, "no figure here") and [s for s, _, _ in got["c"]] == [True, True, False]
     assert [s for s, _, _ in got["d"]] == [True, False] and [s for s, _, _ in got[None]] == [True, False]
     assert {(r.reply_id, r.seq): r.chars for r in latch.latch(df, with_text=False).collect()} == {(k, i): c for k, v in got.items() for i, (_, c, _) in enumerate(v)}
+
+
+def test_near_index_finds_the_exact_neighbours(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    asked = rows.where("id % 20 = 0")
+    pairs = lambda found: {(r.query_id, r.chunk_id) for r in found.select("query_id", "chunk_id").collect()}
+    exact, near = pairs(retrieval.top_k(asked, rows, 5)), pairs(retrieval.top_k_near(asked, rows, 5))
+    assert len(exact & near) >= 0.9 * len(exact)
+    centres = retrieval.fit_cells(rows)
+    assert retrieval.with_cells(rows, centres).count() == rows.count()
+    # A look into every cell is the exact search, in blocks of any size.
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    monkeypatch.setattr(retrieval, "CHUNKS", 50)
+    assert pairs(retrieval.top_k_near(asked, rows, 5, cells=8, probes=8)) == exact
+    none = spark.createDataFrame([(1, None), (None, [1.0] * 64)], "id long, embedding array<double>")
+    assert retrieval.top_k_near(asked, none, 5).count() == 0 and retrieval.top_k_near(none, rows, 5).count() == 0
+    zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0])], "id long, embedding array<double>")
+    assert pairs(retrieval.top_k_near(zero, zero, 3)) == {(2, 2)}
+
+
+def test_columns_of_like_names_are_kept(spark):
+    names = ["rank_in_group", "users_since", "users_wanted", "value_held", "tokens_since", "first_turn", "own_key", "key", "_d", "_r"]
+    turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}", *["x"] * len(names)) for i in range(4)], ["conv_id", "turn", "role", "text", *names])
+    kept = lambda df: all(set(names) <= set(df.columns) and r.own_key == "x" and r.rank_in_group == "x" for r in df.collect())
+    assert kept(history.recent_long(turns, 1)) and kept(history.trim_long(turns, 10))
+    assert kept(history.carry_forward(turns, F.array("text"), "held")) and kept(draws.sample_per_group(turns, "conv_id", "turn", 2, 1))
+    train, test = splits.split_by_question(turns, 2, 1, "text")
+    assert kept(train) and kept(test) and (train.count(), test.count()) == (2, 2)
+    assert sum(d.count() for d in splits.split_rows(turns, F.col("turn"), 1, 1)) == 4
+
+
+def test_sample_tables_name_known_sections(spark):
+    t = samples.tables(spark)
+    known = spark.createDataFrame([(s,) for s in samples.SECTIONS], "title string")
+    for rows, column in ((t["intents"].where("kb is not null"), "kb"), (t["gaps"].select(F.array("title").alias("kb")), "kb"), (t["probes"].where("title is not null").select(F.array("title").alias("kb")), "kb")):
+        rules.require_known(rows, column, known)
+    assert not set(sum(samples.ALIKE.values(), [*samples.ALIKE])) - set(samples.SECTIONS)
+    assert splits.contaminated(t["protected"], t["intents"].select(F.explode("questions").alias("instruction"))).count() == 0
