@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.shipping import map_arrow
+from loomstone.sources.shared import shared_dir
 
 __all__ = ["SPACE_CLASS", "as_bytes", "discard", "drawn_share", "fresh", "joined_small", "let", "map_arrow", "read", "shared_dir", "store", "text_or_empty"]
 
@@ -29,20 +29,6 @@ def read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster is an error."""
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not held:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        held = found.get() if found.isDefined() else None
-    if not held:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        held = "file://" + tempfile.mkdtemp(prefix="loomstone-")
-        spark.sparkContext.setCheckpointDir(held)
-    return held.rstrip("/")
-
-
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
