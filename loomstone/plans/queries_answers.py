@@ -8,6 +8,7 @@ from loomstone.functions import facts, fixed, text
 from loomstone.operators import evaluate, history, retrieval, rules
 from loomstone.plans import build
 from loomstone.plans.queries import ASKS, FACT_DOMAIN, NORMAL, PLACES, ROUGE, VERDICT_SQL, pick, query, read, said
+from loomstone.streaming import latch
 
 
 def turn(role: str, content: F.Column | str) -> F.Column:
@@ -188,6 +189,22 @@ def stop_ids(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(history.stop_ids(ids).cast("array<string>"), ",").alias("ids"))
 
 
+@query(f"""
+    WITH {NORMAL}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM n),
+    u AS (SELECT *, coalesce(lag(rn, 2) OVER w, lag(rn, 1) OVER w, rn) AS first FROM r WHERE role = 'user' WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT u.conv_id, u.turn, any_value(u.text) AS text, coalesce(string_agg(r.role || ': ' || r.text, chr(10) ORDER BY r.rn), '') AS history
+    FROM u LEFT JOIN r ON r.conv_id = u.conv_id AND r.rn >= u.first AND r.rn < u.rn GROUP BY u.conv_id, u.turn
+""")
+def chat_state(spark, sf_dir):
+    """Each user message of a stream with the last two exchanges, which the chat's state holds."""
+    turns = read(spark, sf_dir, "conversations")
+    # A stream's path is a folder or a pattern; as a pattern it may be one file as well.
+    asked = history.normalize_long(spark.readStream.schema(turns.schema).parquet(f"{sf_dir}/conversations.parque[t]"))
+    found = latch.run_available(spark, latch.chat_stream(asked, 2), "chats")
+    said = F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return found.select("conv_id", "turn", "text", said.alias("history"))
+
+
 VOCABULARY = ["the", "data", "licen", "e"]
 
 

@@ -14,11 +14,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from loomstone.functions import fixed
-from loomstone.shipping import map_arrow
+from loomstone.shipping import map_arrow, ship
+from loomstone.sources.shared import scratch
 
 #: Characters before a fragment in which a match may begin.
 REACH = 256
@@ -139,3 +140,20 @@ def chat_stream(turns: DataFrame, max_turns: int) -> DataFrame:
     kind = dict(turns.dtypes)["conv_id"]
     out = f"conv_id {kind}, turn long, text string, history array<struct<role:string,content:string>>"
     return turns.groupBy("conv_id").transformWithStateInPandas(Chat(max_turns), out, "Append", "None")
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def run_available(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """All that a stream's sources hold by now, run through and read back; state, progress and rows are in the shared folder."""
+    ship(spark)
+    at = scratch(spark, name)
+    held = spark.conf.get(STORE)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run = rows.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, held)
+    run.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{at}/rows")
