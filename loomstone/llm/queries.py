@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.llm import exact_dedup, licenses, ngram_join, packing, pieces, quality, quality_rules, secrets, toxicity, url_filter
+from loomstone.llm import centroids, decontamination, exact_dedup, hard_negatives, licenses, ngram_join, packing, pieces, quality, quality_rules, secrets, toxicity, url_filter
 from loomstone.llm.common import read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,22 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.size("best_ids").cast("long").alias("n_best"), "best_ids", "best_score", "round_trip")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A seventh of the labels are moved on by one, so that neighbours of other labels exist."""
+    rows = read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0, label)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_license_scan": op2_license_scan,
@@ -78,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_decontamination": op12_decontamination,
+    "op13_centroids": op13_centroids,
 }
 
 _SETTINGS = ", ".join(f"({i}, {', '.join(map(str, cuts))})" for i, cuts in enumerate(quality_rules.SETTINGS))
@@ -88,8 +107,70 @@ _RATES = {
     "repeat_rate": "n_repeat_words / greatest(n_words, 1)",
     "mean_word": "word_chars / greatest(n_words, 1)",
 }
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _clusters_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds one after the other, all distances in each."""
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    assign = f"(SELECT vec_id, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance FROM (SELECT vec_id, cluster, {distance} AS d FROM v, {{0}} c) GROUP BY vec_id)"
+    tables = [
+        f"""WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS cluster, x FROM (SELECT sha256('1:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {k}))"""
+    ]
+    for r in range(rounds):
+        mean = "(s - ((s % n) + n) % n) // n"  # the floor of s / n
+        tables.append(f"""c{r + 1} AS MATERIALIZED (
+            SELECT c.cluster, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+                SELECT cluster, list({mean} ORDER BY i) AS x FROM (
+                    SELECT cluster, i, sum(v.x[i])::BIGINT AS s, count(*) AS n FROM v JOIN {assign.format(f"c{r}")} a USING (vec_id), (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL
+                ) GROUP BY cluster
+            ) m USING (cluster)
+        )""")
+    return ",\n        ".join(tables) + f"""
+        SELECT vec_id, cluster::INT AS cluster, distance::BIGINT AS distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+            (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+        FROM {assign.format(f"c{rounds}")} a JOIN c{rounds} c USING (cluster)
+    """
+
 
 ORACLES: dict[str, str] = {
+    "op11_hard_negatives": f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+            FROM embeddings WHERE label IS NOT NULL AND {_FINITE}
+        ),
+        s AS MATERIALIZED (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS other_id, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+        ),
+        p AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT anchor_id, positive_id, (row_number() OVER w)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+        QUALIFY row_number() OVER w <= 10
+    """,
+    "op12_decontamination": r"""
+        WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        windows AS MATERIALIZED (
+            SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+            FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+        ),
+        runs AS (
+            SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+        ),
+        met AS MATERIALIZED (SELECT doc_id, i, n, item_id FROM runs JOIN windows USING (n, g)),
+        hit AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit FROM met, (SELECT unnest(range(10)) AS o) WHERE o < n GROUP BY doc_id),
+        found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM met WHERE item_id IS NOT NULL) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
+    """,
+    "op13_centroids": _clusters_sql(),
     "op8_quality_rules": rf"""
         WITH t AS (
             SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t,
