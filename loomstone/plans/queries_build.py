@@ -176,7 +176,7 @@ RETURN_YES, RETURN_NO = quote(generators.RETURN_YES), quote(generators.RETURN_NO
     asked_sql(list(generators.FAULTY.items()), "item, kind", "faulty", put("item"), "1", f"replace({RETURN_YES}, '{{kind}}', kind)", TITLES["returns"]),
     said_sql([f"Is a refund due on the {x} I no longer want?" for x in generators.UNLOVED], RETURN_NO, TITLES["returns"]),
     said_sql([f"The {a} of my {x} is not to my liking, return it?" for x, a, _ in generators.COLOURS], RETURN_NO, TITLES["returns"]),
-    said_sql([f"My order said {a} {x}, a {b} one arrived." for x, a, b in generators.COLOURS], f"replace({RETURN_YES}, '{{kind}}', 'wrong')", TITLES["returns"]),
+    said_sql([f"You sent the {x} in {b}; {a} is what I had picked." for x, a, b in generators.COLOURS], f"replace({RETURN_YES}, '{{kind}}', 'wrong')", TITLES["returns"]),
 ))
 def returns_rows(spark, sf_dir):
     return made(spark, "returns")
