@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import fresh, question_key
+from loomstone.operators import gates
 from loomstone.operators.draws import digest
 from loomstone.sources.shared import store
 
+#: Held-out keys that a plan may hold as one set.
+SET = 10_000
+
 
 def test_keys(rows: DataFrame, test_size: int, seed: int, question: str = "instruction") -> DataFrame:
     """(key): ``test_size`` distinct questions, by the order of their digests. The feature is the size, so it is bounded."""
@@ -21,10 +25,12 @@ def split_by_question(rows: DataFrame, test_size: int, seed: int, question: str
 
     ``history`` is an array of struct<role, content>; without that column no
     row is left out for it. The held-out keys are ``test_size`` rows, stored
-    once and joined as Spark sees fit.
+    once and joined as Spark sees fit; of more than ``SET`` keys see ``hold_out``.
     """
     own = fresh(rows, "own_key")
     held = store(test_keys(rows, test_size, seed, question).withColumnRenamed("key", own), "held")
+    if test_size > SET:
+        return hold_out(rows, held, own, question, history)
     keyed = rows.withColumn(own, question_key(F.col(question)))
     test = keyed.join(held, own, "left_semi").drop(own)
     rest = keyed.join(held, own, "left_anti").drop(own)
@@ -36,6 +42,15 @@ def split_by_question(rows: DataFrame, test_size: int, seed: int, question: str
     return rest, test
 
 
+def hold_out(rows: DataFrame, held: DataFrame, key: str = "key", question: str = "instruction", history: str = "history") -> tuple[DataFrame, DataFrame]:
+    """(train, test) as ``split_by_question``, for any table of held-out keys: rows are joined with them only behind a filter."""
+    test, rest = gates.split_by_keys(rows, F.array(question_key(F.col(question))), held, key)
+    if history in rows.columns:
+        asked = F.transform(F.filter(history, lambda m: m["role"] == "user"), lambda m: question_key(m["content"]))
+        rest = gates.split_by_keys(rest, asked, held, key)[1]
+    return rest, test
+
+
 def split_rows(rows: DataFrame, key: Column, test_size: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(train, test) by row: ``test_size`` rows by the order of their keys' digests."""
     d = digest(seed, key)
