@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.operators import patterns
+
 
 def check(answer: Column, must: Column, must_not: Column) -> Column:
     """Failures of an answer: groups of patterns of which none matches, then forbidden patterns that match. Case doesn't count."""
@@ -32,15 +34,14 @@ def pass_rate(scored: DataFrame, topic: str = "topic", order: str = "id") -> Dat
 
 
 def first_match_join(rows: DataFrame, rules: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows with the value of the first rule (pattern, value, priority) that matches, null where none does.
+    """Rows with the value of the first rule (pattern, value, priority) that matches, null where none does; ``key`` comes first.
 
-    For rule tables that are data rather than literals: rules are few, and
-    Spark sends them to the rows if they are small enough. Literal rules are
-    better stated as one CASE expression (functions.facts.first_match).
+    For rule tables that are data rather than literals: see ``patterns``. Nothing
+    is joined, so rows with a null or repeated key have their value as well.
+    Literal rules are better stated as one CASE expression
+    (functions.facts.first_match).
     """
-    hits = rows.select(key, text).join(rules, F.rlike(F.col(text), F.concat(F.lit("(?iU)"), F.col("pattern"))))
-    best = hits.groupBy(key).agg(F.min_by("value", "priority").alias("value"))
-    return rows.join(best, key, "left")
+    return patterns.first_match(rows.select(key, *(c for c in rows.columns if c != key)), rules, text)
 
 
 def unknown_references(rows: DataFrame, column: str, known: DataFrame, name: str = "title") -> DataFrame:

@@ -66,12 +66,20 @@ def shared_keys(a: DataFrame, b: DataFrame, question: str = "instruction") -> Da
 
 
 def contaminated(protected: DataFrame, rows: DataFrame, question: str = "instruction", history: str = "history", protected_col: str = "q") -> DataFrame:
-    """Protected questions that occur among the rows' questions or their histories' user messages."""
-    seen = rows.select(question_key(F.col(question)).alias("key"))
+    """Protected questions that occur among the rows' questions or their histories' user messages.
+
+    Rows pass a filter of the protected questions before anything of them is
+    exploded or moved. Null questions match nothing; repeated ones stay repeated.
+    """
+    keys = F.array(question_key(F.col(question)))
     if history in rows.columns:
-        turns = rows.select(F.explode(history).alias("m")).where("m.role = 'user'")
-        seen = seen.unionByName(turns.select(question_key(F.col("m.content")).alias("key")))
-    return protected.where(F.col(protected_col).isNotNull()).join(seen, question_key(F.col(protected_col)) == F.col("key"), "left_semi")
+        told = F.transform(F.filter(history, lambda m: m["role"] == "user"), lambda m: question_key(m["content"]))
+        keys = F.concat(keys, F.coalesce(told, F.array().cast("array<string>")))
+    asked = protected.where(F.col(protected_col).isNotNull())
+    gate = gates.Gate(asked.select(question_key(F.col(protected_col)).alias("key")))
+    passed, _ = gate.parted(rows, keys)
+    seen = passed.select(F.explode(keys).alias("key")).distinct()
+    return asked.join(seen, question_key(F.col(protected_col)) == F.col("key"), "left_semi")
 
 
 def require_clean(protected: DataFrame, rows: DataFrame, **how: str) -> None:
