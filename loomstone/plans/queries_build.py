@@ -1,7 +1,8 @@
 """Queries of generators, draws, segments, sources and sinks, with their SQL.
 
-Generators read no table: their rows follow from hand-written lists, of which
-the SQL is made, too. Queries of sinks write to the shared folder and read back.
+Generators ask about what the tables name: parts stand for cars and goods,
+order keys give prices, nations and the listed cities give cities. Queries of
+sinks write to the shared folder and read back.
 """
 
 from __future__ import annotations
@@ -27,11 +28,53 @@ def values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows)
 
 
-def asked_sql(rows: list[tuple], cols: str, asked: str, question: str, k: str, answer: str, title: str) -> str:
+#: Entities in SQL, which Spark and the other engine read alike; lists count from 0 in {..} places.
+LISTS = {
+    "bands": ("small", "mid", "suv", "german"), "labels": tuple(fixed.FEATURED_LABELS), "inspection": fixed.INSPECTION_CITIES, "sale": fixed.SALE_CITIES,
+    "transfer": fixed.TRANSFER_CITIES, "kinds": ("wrong", "damaged", "defective", "incomplete"),
+}
+
+
+def nth(name: str, number: str) -> str:
+    """Element ``number`` modulo the list's length."""
+    return f"CASE CAST({number} AS INT) % {len(LISTS[name])} " + " ".join(f"WHEN {i} THEN {quote(v)}" for i, v in enumerate(LISTS[name])) + " END"
+
+
+def cities_sql(name: str) -> str:
+    return f"SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN {nth(name, 'n_nationkey')} ELSE n_name END AS c FROM nation"
+
+
+ENTITIES = {
+    "cars": f"SELECT DISTINCT p_name AS car, {nth('bands', 'length(p_name)')} AS band FROM part",
+    "engines": "SELECT DISTINCT CAST(600 + p_size * 28 AS INT) AS cc FROM part",
+    "prices": "SELECT DISTINCT CAST((o_orderkey % 300 + 1) / 2e0 AS DOUBLE) AS p FROM orders",
+    "featured": f"SELECT DISTINCT {nth('labels', 'p_size')} AS d, ' of a ' || p_name AS x FROM part",
+    "bundles": "SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN 5 ELSE 10 END AS n, ' for ' || lower(c_mktsegment) AS x FROM customer",
+    "inspection_cities": cities_sql("inspection"), "sale_cities": cities_sql("sale"), "transfer_cities": cities_sql("transfer"),
+    "years": "SELECT DISTINCT p_name AS car, CAST(1985 + p_size AS INT) AS y FROM part",
+    "auctions": "SELECT DISTINCT ' of ' || p_brand AS x FROM part",
+    "faulty": f"SELECT DISTINCT lower(p_type) AS item, {nth('kinds', 'length(p_type)')} AS kind FROM part",
+    "unloved": "SELECT DISTINCT p_name AS item FROM part",
+    "colours": "SELECT DISTINCT split_part(p_name, ' ', 2) AS item, split_part(p_name, ' ', 1) AS a, lower(p_brand) AS b FROM part",
+}
+
+
+def entities(spark, sf_dir) -> generators.Entities:
+    found = {}
+    for name, sql in ENTITIES.items():
+        table = next(t for t in ("part", "orders", "customer", "nation") if sql.endswith(f" FROM {t}"))
+        found[name] = spark.sql(sql.replace(f" FROM {table}", " FROM {table}"), table=read(spark, sf_dir, table))
+    return generators.Entities(**found)
+
+
+def asked_sql(source: str, cols: str, asked: str, k: str, answer: str, title: str, **places: str) -> str:
     """k templates of each entity, by the digests of the questions."""
+    question = "t"
+    for c in cols.split(", "):
+        question = f"replace({question}, '{{{c}}}', {places.get(c, f'{c}::VARCHAR')})"
     return f"""SELECT question AS instruction, {answer} AS response, {quote(title)} AS title FROM (
-        SELECT *, row_number() OVER (PARTITION BY {cols} ORDER BY md5('42|' || question), question) AS n
-        FROM (SELECT e.*, {question} AS question FROM ({values(rows)}) AS e({cols}) CROSS JOIN ({values([(t,) for t in ASKED[asked]])}) AS v(t))) WHERE n <= {k}"""
+        SELECT *, row_number() OVER (PARTITION BY {cols} ORDER BY md5('42|' || question), question) AS nth
+        FROM (SELECT e.*, {question} AS question FROM ({ENTITIES[source]}) AS e CROSS JOIN ({values([(t,) for t in ASKED[asked]])}) AS v(t))) WHERE nth <= {k}"""
 
 
 def said_sql(questions: list[str], answer: str, title: str) -> str:
@@ -42,10 +85,6 @@ def marked_sql(intent: str, category: str, *parts: str) -> str:
     return f"SELECT *, {quote(category)} AS category, {quote(intent)} AS intent FROM ({' UNION ALL '.join(parts)})"
 
 
-def put(name: str, value: str | None = None) -> str:
-    return f"replace(t, '{{{name}}}', {value or f'{name}::VARCHAR'})"
-
-
 CC_BAND = "(CASE WHEN cc <= 1000 THEN 'small' WHEN cc <= 2000 THEN 'mid' ELSE 'large' END)"
 
 
@@ -62,28 +101,28 @@ def priced_sql(service: str, kind: str) -> str:
 
 
 def price_rows_sql(intent: str, category: str, service: str, asked: str, per_car: int) -> str:
-    engines = [(e,) for e in generators.ENGINES if e != generators.HELD_OUT_ENGINE[service]]
+    by_size = asked_sql("engines", "cc", f"{asked}_cc", "2", priced_sql(service, "cc"), TITLES[service])
     return marked_sql(
         intent, category,
-        asked_sql(list(generators.CARS), "car, band", f"{asked}_car", put("car"), str(per_car), priced_sql(service, "car"), TITLES[service]),
-        asked_sql(engines, "cc", f"{asked}_cc", put("cc"), "2", priced_sql(service, "cc"), TITLES[service]),
+        asked_sql("cars", "car, band", f"{asked}_car", str(per_car), priced_sql(service, "car"), TITLES[service]),
+        f"{by_size} AND cc <> {generators.HELD_OUT_ENGINE[service]}",
         said_sql(ASKED[f"{asked}_large"], said(f"large_{service}"), TITLES[service]),
     )
 
 
-def made(spark, name: str):
-    rows = getattr(generators.Generators(spark, 42, FACT_DOMAIN), name)()
+def made(spark, sf_dir, name: str):
+    rows = getattr(generators.Generators(spark, 42, FACT_DOMAIN, entities(spark, sf_dir)), name)()
     return rows.select("instruction", "response", "title", "category", "intent")
 
 
 @query(price_rows_sql("inspection_price_specific", "SERVICES", "inspection", "inspection", 2))
 def inspection_price_rows(spark, sf_dir):
-    return made(spark, "inspection_price")
+    return made(spark, sf_dir, "inspection_price")
 
 
 @query(price_rows_sql("sifm_fee_specific", "SELLING", "sifm", "sale", 1))
 def sale_fee_rows(spark, sf_dir):
-    return made(spark, "sale_fee")
+    return made(spark, sf_dir, "sale_fee")
 
 
 LABEL = "(CASE WHEN p >= 100 THEN format('{:g}', (p / 100)::DOUBLE) || ' crore' ELSE format('{:g}', p::DOUBLE) || ' lakh' END)"
@@ -94,11 +133,11 @@ RUPEES = {
 
 
 @query(marked_sql("sifm_commission", "SELLING", asked_sql(
-    [(p,) for p in generators.PRICES], "p", "commission", put("p", LABEL), "CASE WHEN p <= 5 THEN 2 ELSE 1 END",
-    f"CASE WHEN p < 5 THEN {said('commission_low', **RUPEES)} WHEN p = 5 THEN {said('commission_even', **RUPEES)} ELSE {said('commission_high', **RUPEES)} END", TITLES["sifm"],
+    "prices", "p", "commission", "CASE WHEN p <= 5 THEN 2 ELSE 1 END",
+    f"CASE WHEN p < 5 THEN {said('commission_low', **RUPEES)} WHEN p = 5 THEN {said('commission_even', **RUPEES)} ELSE {said('commission_high', **RUPEES)} END", TITLES["sifm"], p=LABEL,
 )))
 def commission_rows(spark, sf_dir):
-    return made(spark, "commission")
+    return made(spark, sf_dir, "commission")
 
 
 FEATURED = case_of(case_of("d", fixed.FEATURED_LABELS), fixed.FEATURED_PRICE)
@@ -106,17 +145,13 @@ FEATURED = case_of(case_of("d", fixed.FEATURED_LABELS), fixed.FEATURED_PRICE)
 
 @query(marked_sql(
     "featured_price_specific", "SELLING",
-    asked_sql([(x,) for x in fixed.FEATURED_LABELS], "d", "featured", put("d"), "1",
+    asked_sql("featured", "d, x", "featured", "1",
         f"CASE WHEN d = 'a month' THEN {said('featured_month', price=FEATURED)} ELSE {said('featured', days=case_of('d', fixed.FEATURED_LABELS), price=FEATURED)} END || {said('featured_tail')}", TITLES["featured"]),
-    asked_sql([(n,) for n in fixed.BUNDLE_PRICE], "n0", "bundle", put("n", "n0::VARCHAR"), "1",
-        "CASE n0 " + " ".join(f"WHEN {n} THEN " + said("bundle", n=f"'{n}'", price=f"'{p}'") for n, p in fixed.BUNDLE_PRICE.items()) + " END", TITLES["featured"]),
+    asked_sql("bundles", "n, x", "bundle", "1",
+        "CASE n " + " ".join(f"WHEN {n} THEN " + said("bundle", n=f"'{n}'", price=f"'{p}'") for n, p in fixed.BUNDLE_PRICE.items()) + " END", TITLES["featured"]),
 ))
 def featured_rows(spark, sf_dir):
-    return made(spark, "featured_price")
-
-
-def cities_of(names: tuple) -> list[tuple]:
-    return [(c,) for c in names]
+    return made(spark, sf_dir, "featured_price")
 
 
 def in_cities(names: tuple) -> str:
@@ -133,21 +168,21 @@ def listed(names: tuple) -> str:
 
 @query(marked_sql(
     "city_eligibility", "SERVICES",
-    asked_sql(cities_of(fixed.INSPECTION_CITIES + generators.NO_INSPECTION), "c", "inspection_city", put("c"), "1",
+    asked_sql("inspection_cities", "c", "inspection_city", "1",
         f"CASE WHEN {in_cities(fixed.INSPECTION_CITIES)} THEN {said('inspection_yes', city='c', where=WHERE)} ELSE {said('inspection_no', city='c', cities=listed(fixed.INSPECTION_CITIES))} END", TITLES["inspection_city"]),
-    asked_sql(cities_of(fixed.SALE_CITIES + generators.NO_SALE), "c", "sale_city", put("c"), "1",
+    asked_sql("sale_cities", "c", "sale_city", "1",
         f"CASE WHEN {in_cities(fixed.SALE_CITIES)} THEN {said('sifm_yes', city='c')} ELSE {said('sifm_no', city='c', cities=listed(fixed.SALE_CITIES), extra=EXTRA)} END", TITLES["sale_city"]),
 ))
 def city_rows(spark, sf_dir):
-    return made(spark, "city_eligibility")
+    return made(spark, sf_dir, "city_eligibility")
 
 
 @query(marked_sql("transfer_city", "SERVICES", asked_sql(
-    cities_of(fixed.TRANSFER_CITIES + generators.NO_TRANSFER), "c", "transfer", put("c"), f"CASE WHEN {in_cities(fixed.TRANSFER_CITIES)} THEN 3 ELSE 1 END",
+    "transfer_cities", "c", "transfer", f"CASE WHEN {in_cities(fixed.TRANSFER_CITIES)} THEN 3 ELSE 1 END",
     f"CASE WHEN {in_cities(fixed.TRANSFER_CITIES)} THEN {said('transfer_yes', city='c')} ELSE {said('transfer_no', city='c', cities=listed(fixed.TRANSFER_CITIES))} END", TITLES["transfer"],
 )))
 def transfer_rows(spark, sf_dir):
-    return made(spark, "transfer_city")
+    return made(spark, sf_dir, "transfer_city")
 
 
 SUBJECT = "(y || ' ' || car)"
@@ -155,17 +190,17 @@ SUBJECT = "(y || ' ' || car)"
 
 @query(marked_sql(
     "sifm_model_year", "SELLING",
-    asked_sql(list(generators.YEARS), "car, y", "year", "replace(" + put("y") + ", '{car}', car)", "1",
+    asked_sql("years", "car, y", "year", "1",
         f"CASE WHEN y < 2000 THEN {said('year_no', subject=SUBJECT)} ELSE {said('year_yes', subject=SUBJECT, cities=listed(fixed.SALE_CITIES))} END", TITLES["sale_city"]),
     said_sql(ASKED["open_letter"], said("open_letter"), TITLES["sale_city"]),
 ))
 def model_year_rows(spark, sf_dir):
-    return made(spark, "model_year")
+    return made(spark, sf_dir, "model_year")
 
 
-@query(marked_sql("auction_fee_unknown", "SERVICES", said_sql(ASKED["auction"], said("auction_fee"), TITLES["auction"])))
+@query(marked_sql("auction_fee_unknown", "SERVICES", asked_sql("auctions", "x", "auction", str(len(ASKED["auction"])), said("auction_fee"), TITLES["auction"])))
 def auction_rows(spark, sf_dir):
-    return made(spark, "auction_fee")
+    return made(spark, sf_dir, "auction_fee")
 
 
 RETURN_YES, RETURN_NO = quote(generators.RETURN_YES), quote(generators.RETURN_NO)
@@ -173,13 +208,13 @@ RETURN_YES, RETURN_NO = quote(generators.RETURN_YES), quote(generators.RETURN_NO
 
 @query(marked_sql(
     "autostore_returns", "SHOP",
-    asked_sql(list(generators.FAULTY.items()), "item, kind", "faulty", put("item"), "1", f"replace({RETURN_YES}, '{{kind}}', kind)", TITLES["returns"]),
-    said_sql([f"Is a refund due on the {x} I no longer want?" for x in generators.UNLOVED], RETURN_NO, TITLES["returns"]),
-    said_sql([f"The {a} of my {x} is not to my liking, return it?" for x, a, _ in generators.COLOURS], RETURN_NO, TITLES["returns"]),
-    said_sql([f"You sent the {x} in {b}; {a} is what I had picked." for x, a, b in generators.COLOURS], f"replace({RETURN_YES}, '{{kind}}', 'wrong')", TITLES["returns"]),
+    asked_sql("faulty", "item, kind", "faulty", "1", f"replace({RETURN_YES}, '{{kind}}', kind)", TITLES["returns"]),
+    asked_sql("unloved", "item", "unloved", "1", RETURN_NO, TITLES["returns"]),
+    asked_sql("colours", "item, a, b", "tired", "1", RETURN_NO, TITLES["returns"]),
+    asked_sql("colours", "item, a, b", "swapped", "1", f"replace({RETURN_YES}, '{{kind}}', 'wrong')", TITLES["returns"]),
 ))
 def returns_rows(spark, sf_dir):
-    return made(spark, "returns")
+    return made(spark, sf_dir, "returns")
 
 
 # --- Draws and sections ----------------------------------------------------------------------------------
@@ -302,7 +337,7 @@ def build_segments(spark, sf_dir):
     """The whole training set by segment: rows, those with a history, histories that don't alternate, and answers without their verified facts."""
     t = samples.tables(spark)
     sections = build.Sections(samples.SECTIONS, samples.ALIKE, 42)
-    made = generators.Generators(spark, 42, FACT_DOMAIN)
+    made = generators.Generators(spark, 42, FACT_DOMAIN, entities(spark, sf_dir))
     questions = build.cut(made.all())
     rows = build.build(t["intents"], questions, made.chats(sections), t["gaps"], sections, t["protected"], FACT_DOMAIN)
     told = F.regexp_extract("context", rf"(?s)^{fixed.FACT_HEADER}\n(.*?)(?:\n---\n|$)", 1)
