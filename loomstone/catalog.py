@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from loomstone.plans import queries, queries_answers, queries_build, queries_index, queries_joins, queries_streams  # noqa: F401  all but the first register theirs
+from loomstone.plans import queries, queries_answers, queries_build, queries_index, queries_joins, queries_judged, queries_streams  # noqa: F401  all but the first register theirs
 
 QUERIES = queries.QUERIES
 ORACLES = queries.ORACLES

@@ -66,3 +66,12 @@ def tables(spark: SparkSession) -> dict[str, DataFrame]:
         "probes": spark.createDataFrame(PROBES, "id long, question string, title string"),
         "protected": cases.select("q"),
     }
+
+#: Judged questions: question, true answer, the section that holds it.
+GOLDEN = [
+    ("What do I need for an account?", "Sign up with a phone number and confirm the code.", "Opening an account"),
+    ("What goes into an ad?", "Add photos, a price and the city.", "Posting an ad"),
+    ("How is an ad reported?", "Use the flag beside an ad.", "Reporting an ad"),
+    ("Who looks at a reported ad?", "A moderator looks at it.", "Reporting an ad"),
+    ("How long is a parcel on its way?", "Parcels take three to five working days.", "Parcel delivery"),
+]
