@@ -9,6 +9,7 @@ sizes, and no vector passes through the driver.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstone.functions.text import let
 from loomstone.shipping import map_arrow
 
 #: Queries that go to every task, and queries and chunks of a block beyond that.
@@ -240,6 +242,8 @@ def fixed_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col:
 
 
 SEPARATORS = ("\n\n", "\n", " ", "")
+#: What a chunk neither begins nor ends with.
+BLANKS = "\t\n\x0b\x0c\r "
 
 
 def split_recursively(text: str, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -253,16 +257,16 @@ def split_recursively(text: str, size: int = 1000, overlap: int = 200, separator
     out, held, total = [], [], 0
     for p in pieces:
         if held and total + len(p) > size:
-            out.append("".join(held).strip())
+            out.append("".join(held).strip(BLANKS))
             while held and (total > overlap or total + len(p) > size):
                 total -= len(held.pop(0))
         held.append(p)
         total += len(p)
-    return [x for x in [*out, "".join(held).strip()] if x]
+    return [x for x in [*out, "".join(held).strip(BLANKS)] if x]
 
 
 def recursive_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk_no, chunk) by ``split_recursively``, in Arrow batches and without a shuffle."""
+    """(id, chunk_no, chunk) by ``split_recursively``, in Arrow batches and without a shuffle. Null and blank texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,6 +279,42 @@ def recursive_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, id_c
     return docs.select(id_col, text_col).transform(map_arrow, run, f"id {kind}, chunk_no int, chunk string")
 
 
+def _merged(pieces: Column, size: int, overlap: int) -> Column:
+    """Pieces joined into chunks: a fold whose state is the chunks so far and the pieces held for the next."""
+    length = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.char_length(x))
+    state = lambda out, held, total: F.struct(out.alias("out"), held.alias("held"), total.alias("total"))
+    none = F.array().cast("array<string>")
+
+    def step(s: Column, p: Column) -> Column:
+        held, n = s["held"], F.char_length(p)
+        most = F.least(F.lit(overlap), size - n)
+        # what the next chunk shares with this one: the longest end of at most ``most`` characters
+        kept = F.filter(held, lambda _, i: length(F.slice(held, i + 1, F.greatest(F.size(held), F.lit(1)))) <= most)
+        next_one = let(kept, lambda k: state(F.array_append(s["out"], F.array_join(held, "")), F.array_append(k, p), length(k) + n))
+        return F.when((s["total"] > 0) & (s["total"] + n > size), next_one).otherwise(state(s["out"], F.array_append(held, p), s["total"] + n))
+
+    strip = lambda c: F.regexp_replace(c, r"^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$", "")
+    chunks = F.aggregate(pieces, state(none, none, F.lit(0)), step, lambda s: F.array_append(s["out"], F.array_join(s["held"], "")))
+    return F.filter(F.transform(chunks, strip), lambda c: c != "")
+
+
+def _pieces(text: Column, size: int, overlap: int, separators: tuple[str, ...]) -> Column:
+    sep, finer = separators[0], separators[1:]
+    if sep == "":
+        return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    parts = F.filter(F.transform(F.split(text, re.escape(sep)), lambda p, i: F.when(i > 0, F.concat(F.lit(sep), p)).otherwise(p)), lambda p: p != "")
+    if not finer:
+        return parts
+    cut = lambda p: F.when(F.char_length(p) <= size, F.array(p)).otherwise(_merged(_pieces(p, size, overlap, finer), size, overlap))
+    return F.when(F.contains(text, F.lit(sep)), F.flatten(F.transform(parts, cut))).otherwise(_pieces(text, size, overlap, finer))
+
+
+def folded_chunks(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: str = "doc_id", text_col: str = "text", separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """The chunks of ``recursive_chunks`` by one expression in the JVM: for plans without Python; on 15 MB of texts it took 17 s where batches took 3."""
+    chunks = _merged(_pieces(F.coalesce(text_col, F.lit("")), size, overlap, separators), size, overlap)
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(chunks).alias("chunk_no", "chunk"))
+
+
 def build_index(docs: DataFrame, embed, size: int = 1000, overlap: int = 200, path: str | None = None) -> DataFrame:
     """Chunks with an embedding: (id, text, embedding). ``embed`` maps a text column to an array column; ``path`` keeps the table."""
     chunks = recursive_chunks(docs, size, overlap)

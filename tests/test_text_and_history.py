@@ -113,3 +113,16 @@ def test_first_match_prefers_the_earlier_rule(spark):
     df = spark.createDataFrame([("corolla cross",), ("corolla",), ("none",)], "t string")
     got = df.select(facts.first_match(F.col("t"), [("corolla cross", F.lit("suv")), ("corolla", F.lit("mid"))]).alias("v")).collect()
     assert [r.v for r in got] == ["suv", "mid", None]
+
+
+def test_folded_chunks_equal_the_others(spark):
+    """Paragraphs, lines, words and bare runs, longer and shorter than a chunk, with characters of several bytes."""
+    import random
+
+    rng = random.Random(4)
+    part = lambda: "".join(rng.choice(["ab", "é", "日本", "x" * 9, " ", "  ", "\n", "\n\n", "\t", "\U0001f600"]) for _ in range(rng.randint(0, 60)))
+    texts = [None, "", " \n ", "y" * 95, *(part() for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for size, overlap in ((20, 5), (30, 0), (12, 11)):
+        rows = lambda f: sorted(map(tuple, f(docs, size, overlap).collect()))  # noqa: B023, E731
+        assert rows(retrieval.folded_chunks) == rows(retrieval.recursive_chunks)
