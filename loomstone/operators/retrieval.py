@@ -2,9 +2,10 @@
 
 Up to ``BLOCK`` queries go to every task with the chunks it reads, which keeps
 its own best k before any shuffle: what moves is k rows a query and task. More
-queries are dealt into blocks, and so are the chunks; a task holds one block of
-queries and reads one of chunks. Both tables are read once, whatever their
-sizes, and no vector passes through the driver.
+queries are dealt into blocks of ``BLOCK_BYTES``, and chunks into stretches of
+``READ``; a task holds one block of queries and reads one stretch. No vector
+passes through the driver then; a chunk is sent once for each block, which of
+64 components holds 65,536 queries.
 """
 
 from __future__ import annotations
@@ -19,10 +20,16 @@ from pyspark.sql import functions as F
 
 from loomstone.functions.text import let
 from loomstone.shipping import map_arrow
+from loomstone.sources.shared import store
 
-#: Queries that go to every task, and queries and chunks of a block beyond that.
+#: Queries that go to every task, and chunks of a block of a cell.
 BLOCK = 4096
 CHUNKS = 1 << 16
+#: Beyond that: bytes of a block of queries, which a task holds, and chunks that it reads.
+BLOCK_BYTES = 1 << 25
+READ = 1 << 20
+#: Products of a tile.
+TILE = 1 << 21
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -46,25 +53,41 @@ class Best:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, same: bool) -> None:
         self.ids, self.vectors, self.k, self.same = ids, vectors, k, same
-        self.kept = [(np.zeros(0), np.zeros(0, dtype=np.int64)) for _ in ids]
+        self.score, self.key = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def see(self, chunks: np.ndarray, vectors: np.ndarray) -> None:
-        if not len(chunks) or not len(self.ids):
+        if not len(chunks) or not len(self.ids) or not self.k:
             return
-        sims = self.vectors @ vectors.T
+        order = np.argsort(chunks, kind="stable")
+        chunks, vectors = chunks[order], vectors[order]
+        step = max(1, TILE // len(chunks))
+        for at in range(0, len(self.ids), step):
+            self._tile(slice(at, at + step), chunks, vectors)
+
+    def _tile(self, rows: slice, chunks: np.ndarray, vectors: np.ndarray) -> None:
+        sims = self.vectors[rows] @ vectors.T
         if not self.same:
-            sims[self.ids[:, None] == chunks[None, :]] = np.nan
-        for i, s in enumerate(sims):
-            s0, c0 = self.kept[i]
-            ok = ~np.isnan(s)
-            s1, c1 = np.concatenate([s0, s[ok]]), np.concatenate([c0, chunks[ok]])
-            first = np.lexsort((c1, -s1))[: self.k]
-            self.kept[i] = s1[first], c1[first]
+            sims[self.ids[rows, None] == chunks[None, :]] = np.nan
+        sims[np.isnan(sims)] = -np.inf
+        score, key, k = self.score[rows], self.key[rows], self.k
+        some = np.flatnonzero((sims.max(axis=1) >= score[:, -1]) & (sims.max(axis=1) > -np.inf))
+        if not len(some):
+            return
+        s = sims[some]
+        least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        # of those that tie for the last places, the smaller ids, which come first
+        tied = (s == least[:, None]) & (least > -np.inf)[:, None]
+        above = s > least[:, None]
+        r, c = np.nonzero(above | (tied & (np.cumsum(tied, axis=1) <= (k - above.sum(axis=1))[:, None])))
+        row = np.concatenate([r, np.repeat(np.arange(len(some)), k)])
+        value, name = np.concatenate([s[r, c], score[some].ravel()]), np.concatenate([chunks[c], key[some].ravel()])
+        order = np.lexsort((name, -value, row))
+        first = order[np.arange(len(row)) - np.searchsorted(row[order], row[order]) < k]
+        score[some], key[some] = value[first].reshape(-1, k), name[first].reshape(-1, k)
 
     def rows(self) -> pa.RecordBatch:
-        n = [len(s) for s, _ in self.kept]
-        cols = np.repeat(self.ids, n), np.concatenate([c for _, c in self.kept]), np.concatenate([s for s, _ in self.kept])
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "chunk_id", "similarity"])
+        r, c = np.nonzero(self.score > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.ids[r], self.key[r, c], self.score[r, c])], names=["query_id", "chunk_id", "similarity"])
 
 
 FOUND = "query_id long, chunk_id long, similarity double"
@@ -81,7 +104,7 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, min_similarity: float |
     vectors = lambda df: df.select(F.col("id").cast("long"), F.col("embedding").cast("array<double>")).where("id is not null and embedding is not null")
     asked, stored = vectors(queries), vectors(chunks)
     total = asked.count()
-    found = _to_all(asked, stored, k, same) if total <= BLOCK else _in_blocks(asked, stored, -(-total // BLOCK), k, same)
+    found = _to_all(asked, stored, k, same) if total <= BLOCK else _in_blocks(asked, stored, total, k, same)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked if min_similarity is None else ranked.where(F.col("similarity") >= min_similarity)
@@ -103,9 +126,11 @@ def _to_all(asked: DataFrame, stored: DataFrame, k: int, same: bool) -> DataFram
     return stored.transform(map_arrow, run, FOUND)
 
 
-def _in_blocks(asked: DataFrame, stored: DataFrame, n_asked: int, k: int, same: bool) -> DataFrame:
-    """Blocks of queries against blocks of chunks, a pair of blocks at a time."""
-    n_stored = max(1, -(-stored.count() // CHUNKS))
+def _in_blocks(asked: DataFrame, stored: DataFrame, total: int, k: int, same: bool) -> DataFrame:
+    """Blocks of queries against stretches of chunks, a pair at a time; a chunk is sent once for each block of queries."""
+    longest = asked.agg(F.max(F.size("embedding"))).head()[0] or 1
+    n_asked = -(-total // max(BLOCK, BLOCK_BYTES // (8 * longest)))
+    n_stored = max(1, -(-stored.count() // READ))
     left = asked.select(_part("id", n_asked).alias("q"), _every(F.lit(n_stored)).alias("c"), F.lit(0).alias("side"), "id", "embedding")
     right = stored.select(_every(F.lit(n_asked)).alias("q"), _part("id", n_stored).alias("c"), F.lit(1).alias("side"), "id", "embedding")
     return _meet(left.unionByName(right), k, same)
@@ -194,7 +219,8 @@ def top_k_near(queries: DataFrame, chunks: DataFrame, k: int, cells: int = 256,
     ``BLOCK``; what a task holds is a block of queries.
     """
     centres = fit_cells(chunks, cells, sample)
-    stored, asked = with_cells(chunks, centres), with_cells(queries, centres, probes)
+    # Read twice: for the sizes of the cells and for the vectors.
+    stored, asked = store(with_cells(chunks, centres), "cells"), with_cells(queries, centres, probes)
     # One row a cell, of which there are at most ``cells``.
     sizes = stored.groupBy("cell").agg(F.ceil(F.count("*") / CHUNKS).cast("int").alias("n"))
     blocks = max(1, -(-queries.count() // BLOCK))

@@ -253,7 +253,9 @@ def test_top_k_in_blocks_equals_one_pass(spark, monkeypatch):
         one = sorted(map(tuple, retrieval.top_k(rows, rows, 4, same=same).collect()))
         with monkeypatch.context() as m:
             m.setattr(retrieval, "BLOCK", 64)
-            m.setattr(retrieval, "CHUNKS", 90)
+            m.setattr(retrieval, "BLOCK_BYTES", 8 * 8 * 64)
+            m.setattr(retrieval, "READ", 90)
+            m.setattr(retrieval, "TILE", 500)
             blocks = sorted(map(tuple, retrieval.top_k(rows, rows, 4, same=same).collect()))
         assert [r[:2] + r[3:] for r in one] == [r[:2] + r[3:] for r in blocks] and len(one) == 299 * 4  # sin(0) gives a norm of 0
 
