@@ -24,11 +24,14 @@ order is right; the counters only make it a good one.
 6. families: groups that met one hub, and the members of one group, are a
    family; every pair that can link lies in one. Where a family is in several
    components after linking, its members are compared by size and parities, in
-   blocks on arrays, a pair of blocks at a time. Only pairs that pass leave a
-   task: first, of those between two components, one a block, then any that
-   are still apart. So texts are read for pairs that link, or nearly do, and no
-   pairs of copies are emitted that others already join.
-7. degrees (if asked for): linked classes are in one component, so the classes
+   blocks on arrays, a pair of blocks at a time. First, of the pairs that pass
+   between two components, one a block leaves its task and is verified. Then
+   only members leave that still have a pair which passes.
+7. settle: texts of these members meet a pair of blocks at a time, where a
+   product of their sets counts what any two share, on their words; links that
+   join two components leave the task, at most one a member. So a text is sent
+   once for each block of its family, however many pairs parities can't decide.
+8. degrees (if asked for): linked classes are in one component, so the classes
    of a component are counted against each other, in blocks as well.
 """
 
@@ -388,38 +391,107 @@ def close_pairs(rows: list[tuple[int, int, int, int, bytes]], num: int, den: int
             yield from ((rows[i][0], rows[r][0]) for r in met.tolist())
 
 
-def apart(families: DataFrame, members: DataFrame, labels: DataFrame, num: int, den: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) of classes of one family that are in different components and that sizes and parities let link."""
+def stretches_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """The rows of each stretch with the same first ``keys`` columns, without these; the last column stays as Arrow has it until then."""
+    key, rows = None, []
+    for b in batches:
+        n = b.num_columns - 1
+        for *at, last in zip(*(b.column(i).to_pylist() for i in range(n)), b.column(n), strict=True):
+            if at[:keys] != key:
+                if rows:
+                    yield rows
+                key, rows = at[:keys], []
+            rows.append((*at[keys:], last.as_py()))
+    if rows:
+        yield rows
+
+
+def in_pairs(rows: DataFrame, key: str, node: str, blocks: Column, *more: str) -> DataFrame:
+    """Rows of each ``key`` dealt into blocks by ``node``, once for each pair of blocks: key, lo, hi, side (0, 1, or 2 within a block) and ``more``."""
+    own = F.pmod(F.xxhash64(node), blocks).cast("int")
+    dealt = rows.select(key, node, *more, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return dealt.select(key, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), node, side.alias("side"), *more)
+
+
+def family_blocks(families: DataFrame, members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of families in several components, a pair of blocks in one stretch of a task's rows."""
     label = F.coalesce(F.col("component"), F.col("class_id")).alias("c")
     spread = members.join(labels, members["class_id"] == labels["node"], "left").select("g", "class_id", label, "n", "par")
     placed = store(families.join(spread, "g").select("family", "class_id", "c", "n", "par"), "join-families")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum(F.octet_length("par")) / BLOCK_BYTES)).cast("int")
-    mixed = placed.groupBy("family").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), blocks.alias("blocks")).where("lo < hi").select("family", "blocks")
-    own = F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")
-    dealt = placed.join(mixed, "family").select("family", "class_id", "c", "n", "par", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    dealt = dealt.select("family", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "class_id", side.alias("side"), "c", "n", "par")
+    mixed = placed.groupBy("family").agg(F.min("c").alias("first"), F.max("c").alias("last"), blocks.alias("blocks")).where("first < last").select("family", "blocks")
+    dealt = in_pairs(placed.join(mixed, "family"), "family", "class_id", F.col("blocks"), "c", "n", "par")
+    return dealt.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def passed(rows: list) -> pa.RecordBatch:
-            got = list(close_pairs(rows, num, den, forest))
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in range(2)], names=["a", "b"])
 
-        key, rows = None, []
-        for b in batches:
-            for *at, node, its, c, n, bits in zip(*(b.column(i).to_pylist() for i in range(7)), b.column(7), strict=True):
-                if at != key:
-                    if rows:
-                        yield passed(rows)
-                    key, rows = at, []
-                rows.append((node, its, c, n, bits.as_py()))
-        if rows:
-            yield passed(rows)
+def apart(families: DataFrame, members: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of classes of one family that sizes and parities let link, for each pair of blocks at most one between two components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in stretches_of(batches, 3):
+            got = list(close_pairs(rows, num, den, True))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in range(2)], names=["a", "b"])
 
-    met = dealt.repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi").transform(map_arrow, run, "a long, b long")
+    met = family_blocks(families, members, labels).transform(map_arrow, run, "a long, b long")
     return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def undecided(families: DataFrame, members: DataFrame, labels: DataFrame, num: int, den: int) -> DataFrame:
+    """(family, node, c): classes that sizes and parities let link with one of another component of their family."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in stretches_of(batches, 3):
+            of = {r[1]: (r[0], r[3]) for r in rows}
+            nodes = {x for pair in close_pairs([r[1:] for r in rows], num, den, False) for x in pair}
+            cols = [(of[x][0] for x in nodes), nodes, (of[x][1] for x in nodes)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["family", "node", "c"])
+
+    met = family_blocks(families, members, labels).select("family", "lo", "hi", F.col("family").alias("of"), "class_id", "side", "c", "n", "par")
+    return met.transform(map_arrow, run, "family long, node long, c long").distinct()
+
+
+def joining_links(rows: list[tuple[int, int, int, bytes]], width: int, num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Links, on words, that join components, between sides 0 and 1 or within side 2; rows are (class, side, component, text).
+
+    Of the links between two components, as joined by earlier links, only the first.
+    """
+    ids: dict[tuple[bytes, ...], int] = {}
+    rows = sorted(rows, key=lambda r: r[1] == 1)
+    n_left = sum(r[1] != 1 for r in rows)
+    if not n_left or (n_left == len(rows) and rows[0][1] != 2):
+        return
+    sets = [[ids.setdefault(x, len(ids)) for x in set(shingles_of(r[3].lower().split(), width))] for r in rows]
+    common, size = common_counts(sets, n_left), np.array([len(x) for x in sets])
+    first = 0 if rows[0][1] == 2 else n_left
+    links = den * common >= num * (size[:n_left, None] + size[first:] - common)
+    component = np.unique([r[2] for r in rows], return_inverse=True)[1]
+    for i in range(n_left):
+        met = np.flatnonzero(links[i]) + first
+        met = met[component[met] != component[i]]
+        _, at = np.unique(component[met], return_index=True)
+        for k in met[at].tolist():
+            yield rows[i][0], rows[k][0]
+            component[component == component[k]] = component[i]
+
+
+def settle(nodes: DataFrame, members: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) that join what is apart among the ``nodes`` of each family; texts meet a pair of blocks at a time."""
+    sized = nodes.join(members.select(F.col("class_id").alias("node"), "n"), "node")
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_CLASSES)).cast("int")
+    placed = sized.join(sized.groupBy("family").agg(blocks.alias("blocks")), "family")
+    texts = texts_of(docs, nodes.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    dealt = in_pairs(placed, "family", "node", F.col("blocks"), "c").join(texts.withColumnRenamed("doc_id", "node"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in stretches_of(batches, 3):
+            got = list(joining_links(rows, width, num, den))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in range(2)], names=["a", "b"])
+
+    met = dealt.select("family", "lo", "hi", "node", "side", "c", "t").repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi")
+    return met.transform(map_arrow, run, "a long, b long").distinct()
+
+
 def jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, count_links: bool = True
 ) -> DataFrame:
@@ -474,15 +546,17 @@ def jaccard_join(
     # Round 2: what round 1 left apart.
     several = members.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select(F.col("g").alias("family"), "g")
     families = store(shared.select(F.col("g2").alias("family"), "g").unionByName(several).distinct(), "join-family-groups")
-    for forest in (True, False):
-        met = apart(families, members, labels, num, den, forest)
-        ends = [tried.select(x, y) for x, y in (("a", "b"), ("b", "a"))]
-        met = met.join(ends[0], ["a", "b"], "left_anti").join(ends[1].toDF("a", "b"), ["a", "b"], "left_anti")
-        met = store(met, "join-pairs")
-        if met.isEmpty():
-            continue
-        found = store(verify(met, texts_of(docs, met), width, num, den), "join-links")
-        tried = tried.unionByName(met)
+    met = apart(families, members, labels, num, den)
+    ends = [tried.select(x, y) for x, y in (("a", "b"), ("b", "a"))]
+    met = met.join(ends[0], ["a", "b"], "left_anti").join(ends[1].toDF("a", "b"), ["a", "b"], "left_anti")
+    met = store(met, "join-pairs")
+    more = [] if met.isEmpty() else [store(verify(met, texts_of(docs, met), width, num, den), "join-links")]
+    if more and not more[0].isEmpty():
+        links = links.unionByName(more[0])
+        labels = store(connected_components(links), "join-labels")
+    nodes = store(undecided(families, members, labels, num, den), "join-undecided")
+    if not nodes.isEmpty():
+        found = store(settle(nodes, members, docs, width, num, den), "join-links")
         if not found.isEmpty():
             links = links.unionByName(found)
             labels = store(connected_components(links), "join-labels")

@@ -473,6 +473,35 @@ def test_pairs_tried_grow_with_the_rows(spark, monkeypatch):
         assert sum(counts) <= n  # of 44,850 and 719,400 pairs
 
 
+@pytest.mark.parametrize("edits", [4, 5, 6, 9])
+def test_copies_about_the_threshold_move_few_texts(spark, monkeypatch, edits):
+    """Copies alike at 0.91, 0.89, 0.87 and 0.81: pairs verified one by one grow with the rows, the others are settled in blocks."""
+    counts = []
+    monkeypatch.setattr(ngram_join, "verify", lambda pairs, *a, real=ngram_join.verify: counts.append(pairs.count()) or real(pairs, *a))
+    monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 40)
+    rows = edited_copies(120, edits=edits, length=500)
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), width=3, num=90, count_links=False).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_join(rows, 3, 90, 100)
+    assert sum(counts) <= 6 * len(rows)  # a few hubs a row, of 7,140 pairs
+
+
+def test_joining_links_join_what_all_links_join():
+    """In one block and between two, against all pairs, with components that are known before."""
+    rows = [(i, 0, i // 3, t.encode()) for i, t in edited_copies(40, edits=5, length=400)]
+    linked = [(a, b) for a in range(40) for b in range(a) if 100 * len((x := set(zip(*(rows[a][3].split()[k:] for k in range(3))))) & (y := set(zip(*(rows[b][3].split()[k:] for k in range(3)))))) >= 90 * len(x | y)]
+
+    def parts(pairs):
+        of = {i: i // 3 for i in range(40)}
+        for a, b in pairs:
+            of = {i: of[a] if c == of[b] else c for i, c in of.items()}
+        return sorted({tuple(i for i in of if of[i] == c) for c in of.values()})
+
+    whole = list(ngram_join.joining_links([(i, 2, c, t) for i, _, c, t in rows], 3, 90, 100))
+    assert linked and set(map(frozenset, whole)) <= set(map(frozenset, linked)) and parts(whole) == parts(linked) and len(whole) < 14
+    two = [[(i, 2, c, t) for i, _, c, t in half] for half in (rows[:20], rows[20:])] + [[(i, i >= 20, c, t) for i, _, c, t in rows]]
+    assert parts([p for part in two for p in ngram_join.joining_links(part, 3, 90, 100)]) == parts(linked)
+
+
 def test_members_of_a_group_that_link_past_its_representative(spark, monkeypatch):
     """One prefix for all: the rarest shingles are shared, the rest differs between the first and the others."""
     monkeypatch.setattr(ngram_join, "HUB_PAIRS", 2)
