@@ -487,7 +487,7 @@ def test_copies_about_the_threshold_move_few_texts(spark, monkeypatch, edits):
 
 def test_joining_links_join_what_all_links_join():
     """In one block and between two, against all pairs, with components that are known before."""
-    rows = [(i, 0, i // 3, t.encode()) for i, t in edited_copies(40, edits=5, length=400)]
+    rows = [(i, 0, i // 3, t.encode()) for i, t in edited_copies(40, edits=5, length=540)]
     linked = [(a, b) for a in range(40) for b in range(a) if 100 * len((x := set(zip(*(rows[a][3].split()[k:] for k in range(3))))) & (y := set(zip(*(rows[b][3].split()[k:] for k in range(3)))))) >= 90 * len(x | y)]
 
     def parts(pairs):
