@@ -13,15 +13,22 @@ Three times the smallest p-value measures agreement with random symbols. A run
 may pass at a level of 0.001 at the lowest, so that about one random key in a
 thousand is lost to chance.
 
+The encoding is the smallest alphabet that holds the run, so names of one shape
+(small letters, small letters with separators, both cases without digits) are a
+stratum of their own and don't hide the keys of another.
+
 What else looks like a key, and how short a run can still tell, is decided by
-the data: every document gives ``DECOYS`` decoys made of its own text the way
-names in code, paths and encoded text are made of words, of all encodings and
-length bands. The share of decoys that pass at a level, times the runs of the
-stratum (encoding and length band), over the runs that pass there, bounds the
-false discoveries; a stratum reports at the lowest level where this is within
-``fdr``, or not at all. Strata with few decoys borrow those of shorter bands,
-then of other encodings. The decision table is counted over all documents and
-has at most 5 x 8 x 9 rows.
+the data: every document gives decoys made of its own text the way names in
+code, paths and encoded text are made of words, of all encodings and length
+bands: ``DECOYS`` of them, and in a table of few rows as many as give
+``DECOYS_IN_ALL``, at most ``DECOYS_MOST``. The share of decoys that pass at a
+level, times the runs of the stratum (encoding and length band) that aren't
+keys, over the runs that pass there, bounds the false discoveries; a stratum
+reports at the lowest level where this is within ``fdr``, or not at all. How
+many runs aren't keys is estimated from those that pass at no level. Strata
+borrow decoys of shorter bands, which pass more often, and with few of either
+those of other encodings. The decision table is counted over all documents and
+has at most 2 x 10 x 8 x 9 rows; equal runs count once.
 """
 
 from __future__ import annotations
@@ -46,8 +53,11 @@ FDR = 0.05
 LEVELS = (0.2, 0.1, 0.05, 0.02, 0.01, 0.005, 0.002, 0.001)
 #: Length bands start here and widen by doubling.
 BANDS = (20, 24, 32, 48, 80, 144, 272, 528)
-#: Decoys of a document, and how many a stratum needs before it borrows others.
+#: Decoys of a document; decoys that a table of few rows gives in all, and the most of one document there.
 DECOYS = 2
+DECOYS_IN_ALL = 1 << 14
+DECOYS_MOST = 32
+#: How many decoys of its encoding a stratum needs before it borrows those of others.
 ENOUGH = 100
 #: Matches of a text whose starts are summed up in one go: a text with very many costs no square of them.
 STRIDE = 256
@@ -58,13 +68,20 @@ _COMMON = "aeinorst"
 _RARE = "".join(c for c in _LOWER if c not in _COMMON)
 _VOWELS, _FREQUENT = "aeiou", "dhlnrst"
 _OTHER = "".join(c for c in _LOWER if c not in _VOWELS + _FREQUENT)
-#: Inferred encoding: the characters it allows, its alphabet in order, and the alphabet's cells.
+_SMALL, _LARGE = (_VOWELS, _FREQUENT, _OTHER), (_VOWELS.upper(), _FREQUENT.upper(), _OTHER.upper())
+_SIGNS = "+/-_"
+#: Inferred encoding, the first that fits: the characters it allows, its alphabet in order, and the alphabet's cells.
 ENCODINGS = {
     "decimal": ("^[0-9]+$", _DIGITS, ("01", "23", "45", "67", "89")),
     "hex": ("^(?:[0-9a-f]+|[0-9A-F]+)$", "0123456789abcdef", ("0123", "4567", "89ab", "cdef")),
-    "base32": ("^[A-Z2-7]+$", _UPPER + "234567", (_VOWELS.upper(), _FREQUENT.upper(), _OTHER.upper(), "234567")),
-    "lower36": ("^[a-z0-9]+$", _LOWER + _DIGITS, (_VOWELS, _FREQUENT, _OTHER, _DIGITS)),
-    "base64": ("", _UPPER + _LOWER + _DIGITS + "+/-_", (_COMMON, _RARE, _COMMON.upper(), _RARE.upper(), _DIGITS + "+/-_")),
+    "lower26": ("^[a-z]+$", _LOWER, _SMALL),
+    "lower36": ("^[a-z0-9]+$", _LOWER + _DIGITS, (*_SMALL, _DIGITS)),
+    "lower40": ("^[a-z0-9+/_-]+$", _LOWER + _DIGITS + _SIGNS, (*_SMALL, _DIGITS, _SIGNS)),
+    "upper26": ("^[A-Z]+$", _UPPER, _LARGE),
+    "base32": ("^[A-Z2-7]+$", _UPPER + "234567", (*_LARGE, "234567")),
+    "upper40": ("^[A-Z0-9+/_-]+$", _UPPER + _DIGITS + _SIGNS, (*_LARGE, _DIGITS, _SIGNS)),
+    "letters": ("^[A-Za-z]+$", _UPPER + _LOWER, (_COMMON, _RARE, _COMMON.upper(), _RARE.upper())),
+    "base64": ("", _UPPER + _LOWER + _DIGITS + _SIGNS, (_COMMON, _RARE, _COMMON.upper(), _RARE.upper(), _DIGITS + _SIGNS)),
 }
 _SPAN = "struct<s:int,e:int,kind:string,hit:string>"
 
@@ -164,10 +181,28 @@ def encoding_of(body: Column) -> Column:
     return out
 
 
-def _by_encoding(encoding: Column, value: Callable[[str], Column]) -> Column:
-    out = value("base64")
+def _parameters(encoding: Column) -> Column:
+    """What the battery needs to know of an encoding: struct<from, to, alphabet, cells, free, s2, s3, halves>."""
+
+    def of(name: str) -> Column:
+        _, alphabet, cells = ENCODINGS[name]
+        share = [len(c) / len(alphabet) for c in cells]
+        # Two hex digits write one byte: first and second ones are counted on their own.
+        halves = name == "hex"
+        return F.struct(
+            F.lit("".join(cells)).alias("from"),
+            F.lit("".join(chr(97 + k) * len(c) for k, c in enumerate(cells))).alias("to"),
+            F.lit(alphabet).alias("alphabet"),
+            F.array(*(F.struct(F.lit(chr(97 + k)).alias("sign"), F.lit(p).alias("p")) for k, p in enumerate(share))).alias("cells"),
+            F.lit(float((1 + halves) * (len(cells) - 1))).alias("free"),
+            F.lit(sum(p**2 for p in share)).alias("s2"),
+            F.lit(sum(p**3 for p in share)).alias("s3"),
+            F.lit(halves).alias("halves"),
+        )
+
+    out = of("base64")
     for name in reversed([x for x in ENCODINGS if x != "base64"]):
-        out = F.when(encoding == name, value(name)).otherwise(out)
+        out = F.when(encoding == name, of(name)).otherwise(out)
     return out
 
 
@@ -179,37 +214,35 @@ def tail(z: Column) -> Column:
 
 def battery(body: Column, encoding: Column) -> Column:
     """3 x the smallest p-value of the tests, at most 1, for a run without padding."""
+    plain = F.when(encoding == "hex", F.lower(body)).otherwise(body)
 
-    def tests(name: str) -> Column:
-        _, alphabet, cells = ENCODINGS[name]
-        share = [len(c) / len(alphabet) for c in cells]
-        plain = F.lower(body) if name == "hex" else body
+    def tests(of: Column) -> Column:
         n = F.char_length(body).cast("double")
-        to = {c: chr(97 + k) for k, cell in enumerate(cells) for c in cell}
-
-        def on_cells(x: Column) -> Column:
-            # Two hex digits write one byte: first and second ones are counted on their own.
-            phases = [F.regexp_replace(x, "(.).?", "$1"), F.regexp_replace(x, ".(.)?", "$1")] if name == "hex" else [x]
-            free = len(phases) * (len(cells) - 1)
-            square = F.lit(0.0)
-            for phase in phases:
-                for k, p in enumerate(share):
-                    expected = F.char_length(phase) * p
-                    full = F.char_length(phase) - F.char_length(F.replace(phase, F.lit(chr(97 + k)), F.lit("")))
-                    square = square + F.pow(full - expected, F.lit(2.0)) / expected
+
+        def uniform(x: Column) -> Column:
+            phases = F.when(of["halves"], F.array(F.regexp_replace(x, "(.).?", "$1"), F.regexp_replace(x, ".(.)?", "$1"))).otherwise(F.array(x))
+
+            def square(phase: Column) -> Column:
+                full = lambda c: F.char_length(phase) - F.char_length(F.replace(phase, c["sign"], F.lit("")))
+                return F.aggregate(of["cells"], F.lit(0.0), lambda a, c: a + F.pow(full(c) - F.char_length(phase) * c["p"], F.lit(2.0)) / (F.char_length(phase) * c["p"]))
+
             # Wilson and Hilferty: the cube root of chi-squared over its freedom is close to normal.
-            z = (F.pow(square / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / (2 / (9 * free)) ** 0.5
+            wide = 2 / (9 * of["free"])
+            z = (F.pow(F.aggregate(phases, F.lit(0.0), lambda a, p: a + square(p)) / of["free"], F.lit(1 / 3)) - (1 - wide)) / F.sqrt(wide)
             # Fuller agreement than the middle of chance says nothing against a run.
-            uniform = tail(F.greatest(z, F.lit(0.0)))
-            s2, s3 = sum(p**2 for p in share), sum(p**3 for p in share)
+            return tail(F.greatest(z, F.lit(0.0)))
+
+        def changes(x: Column) -> Column:
+            s2, s3 = of["s2"], of["s3"]
             runs = F.char_length(F.regexp_replace(x, r"(.)\1*", "x")).cast("double")
             spread = F.sqrt((n - 1) * (s2 * (1 - s2)) + 2 * (n - 2) * (s3 - s2 * s2))
-            return F.least(uniform, 2 * tail(F.abs(runs - (1 + (n - 1) * (1 - s2))) / spread))
+            return 2 * tail(F.abs(runs - (1 + (n - 1) * (1 - s2))) / spread)
 
-        return F.least(let(F.translate(plain, "".join(to), "".join(to.values())), on_cells), serial(places(plain, alphabet), n))
+        on_cells = F.call_function("translate", plain, of["from"], of["to"])
+        return F.least(let(on_cells, lambda x: F.least(uniform(x), changes(x))), serial(places(plain, of["alphabet"]), n))
 
-    def places(x: Column, alphabet: str) -> Column:
-        return F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
+    def places(x: Column, alphabet: Column) -> Column:
+        return F.transform(F.filter(F.split(x, ""), lambda c: c != ""), lambda c: F.instr(alphabet, c).cast("double"))
 
     def serial(x: Column, n: Column) -> Column:
         def about(x: Column, mean: Column) -> Column:
@@ -219,7 +252,7 @@ def battery(body: Column, encoding: Column) -> Column:
 
         return let(x, lambda held: let(F.aggregate(held, F.lit(0.0), lambda a, v: a + v) / n, lambda mean: about(held, mean)))
 
-    return F.least(F.lit(1.0), 3 * _by_encoding(encoding, tests))
+    return F.least(F.lit(1.0), 3 * let(_parameters(encoding), tests))
 
 
 def level_of(p: Column) -> Column:
@@ -235,95 +268,107 @@ def band_of(length: Column) -> Column:
 
 
 def judged(run: Column, extra: list[Column], decoy: bool) -> Column:
-    """struct<(extra), encoding, band, level, decoy> of a run or decoy."""
+    """struct<(extra), run, encoding, band, level, decoy> of a run, as its hash, or decoy."""
 
     def measured(body: Column, e: Column) -> Column:
-        return F.struct(*extra, e.alias("encoding"), band_of(F.char_length(body)).alias("band"), level_of(battery(body, e)).alias("level"), F.lit(decoy).alias("decoy"))
+        return F.struct(*extra, F.xxhash64(body).alias("run"), e.alias("encoding"), band_of(F.char_length(body)).alias("band"), level_of(battery(body, e)).alias("level"), F.lit(decoy).alias("decoy"))
 
     return let(bare(run), lambda body: let(encoding_of(body), lambda e: measured(body, e)))
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<s, e, encoding, band, level, decoy>> of a text's runs outside base spans."""
+    """array<struct<s, e, run, encoding, band, level, decoy>> of a text's runs outside base spans."""
     found = F.transform(matches(without_base(text), RUN, "random"), lambda x: judged(x["hit"], [x["s"].alias("s"), x["e"].alias("e")], False))
     # What is shorter than a run without its padding can't be told from chance.
-    return F.when(text.rlike(RUN), found).otherwise(F.array().cast("array<struct<s:int,e:int,encoding:string,band:int,level:int,decoy:boolean>>"))
+    return F.when(text.rlike(RUN), found).otherwise(F.array().cast("array<struct<s:int,e:int,run:bigint,encoding:string,band:int,level:int,decoy:boolean>>"))
+
 
+def _numbered(words: Column, h: Column, each: int, most: int, case: Callable[[Column], Column]) -> Column:
+    """The words in one, a number below ``most`` behind each ``each``-th."""
+    number = lambda i: F.when(i % each == 1, F.pmod(h + i, F.lit(most)).cast("string")).otherwise(F.lit(""))
+    return F.array_join(F.transform(words, lambda w, i: F.concat(case(w), number(i))), "")
 
-#: How decoys come about: their words joined as names and paths are, or text written out in another encoding.
-_JOINED: tuple[Callable[[Column, Column, Column], Column], ...] = (
+
+def _mixed(words: Column, h: Column) -> Column:
+    """The letters of the words in another order: what a word of any language with these letters may look like."""
+    letters = F.filter(F.split(F.array_join(words, ""), ""), lambda c: c != "")
+    keyed = F.array_sort(F.transform(letters, lambda c, i: F.struct(F.xxhash64(h, i).alias("at"), c.alias("c"))))
+    return F.array_join(F.transform(keyed, lambda x: x["c"]), "")
+
+
+#: How decoys come about: their words joined as names and paths are, their letters mixed, or text in another encoding.
+_MADE: tuple[Callable[[Column, Column, Column], Column], ...] = (
     lambda text, words, h: F.array_join(F.transform(words, F.lower), "_"),
-    lambda text, words, h: F.array_join(F.transform(words, F.initcap), ""),
     lambda text, words, h: F.array_join(F.transform(words, F.lower), "/"),
-    lambda text, words, h: F.array_join(F.transform(words, lambda w, i: F.concat(F.initcap(w), F.when(i % 3 == 1, F.pmod(h + i, F.lit(100)).cast("string")).otherwise(F.lit("")))), ""),
-    lambda text, words, h: F.array_join(F.transform(words, F.lower), "-"),
-)
-_MADE: tuple[Callable[[Column, Column, Column], Column], ...] = (
-    lambda text, words, h: F.lower(F.hex(text.cast("binary"))),
+    lambda text, words, h: F.array_join(F.transform(words, F.initcap), "/"),
+    lambda text, words, h: F.array_join(F.transform(words, F.upper), "_"),
+    lambda text, words, h: F.array_join(F.transform(words, F.initcap), ""),
+    lambda text, words, h: _numbered(words, h, 3, 100, F.initcap),
+    lambda text, words, h: _numbered(words, h, 2, 1000, F.lower),
+    lambda text, words, h: F.regexp_replace(_numbered(words, h, 3, 100, F.upper), "[0189]", "2"),
     lambda text, words, h: F.upper(F.array_join(words, "")),
     lambda text, words, h: F.lower(F.array_join(words, "")),
+    lambda text, words, h: F.upper(_mixed(words, h)),
+    lambda text, words, h: F.lower(_mixed(words, h)),
     lambda text, words, h: F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("string")), ""),
-    lambda text, words, h: F.lower(F.array_join(F.transform(words, lambda w, i: F.concat(w, F.when(i % 2 == 1, F.pmod(h + i, F.lit(1000)).cast("string")).otherwise(F.lit("")))), "")),
+    lambda text, words, h: F.lower(F.hex(text.cast("binary"))),
 )
 
 
-def decoys(text: Column) -> Column:
-    """array<struct<encoding, band, level, decoy>>: up to ``DECOYS`` of a text, by its hash; short texts give fewer or none."""
+def decoys(text: Column, n: int = DECOYS) -> Column:
+    """array<struct<run, encoding, band, level, decoy>>: up to ``n`` of a text, by its hash; short texts give fewer or none."""
     bands = list(pairwise(BANDS[:6]))
+    lows, widths = F.array(*(F.lit(a) for a, _ in bands)), F.array(*(F.lit(b - a) for a, b in bands))
 
-    def one(k: int) -> Column:
-        h = F.pmod(F.xxhash64(text, F.lit(k)), F.lit(1 << 40))
-        kinds = _JOINED if k % 2 == 0 else _MADE
-        lows, widths = F.array(*(F.lit(a) for a, _ in bands)), F.array(*(F.lit(b - a) for a, b in bands))
+    def one(h: Column) -> Column:
         band = (h % len(bands)).cast("int") + 1
         length = F.element_at(lows, band) + (F.shiftright(h, 12) % F.element_at(widths, band)).cast("int")
         place = (F.shiftright(h, 20) % F.greatest(F.char_length(text) - 300, F.lit(1))).cast("int") + 1
 
         def made(piece: Column) -> Column:
             words = F.regexp_extract_all(piece, F.lit("[A-Za-z]+"), F.lit(0))
-            out = kinds[-1](piece, words, h)
-            for i, how in enumerate(kinds[:-1]):
-                out = F.when(F.shiftright(h, 6) % len(kinds) == i, how(piece, words, h)).otherwise(out)
+            out = _MADE[-1](piece, words, h)
+            for i, how in enumerate(_MADE[:-1]):
+                out = F.when(F.shiftright(h, 6) % len(_MADE) == i, how(piece, words, h)).otherwise(out)
             return F.substring(out, F.lit(1), length)
 
         run = let(F.substring(text, place, F.lit(300)), made)
         return let(run, lambda x: F.when(F.char_length(x) == length, judged(x, [], True)))
 
-    return F.filter(F.array(*(one(k) for k in range(DECOYS))), lambda x: x.isNotNull())
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: let(F.pmod(F.xxhash64(text, k), F.lit(1 << 40)), one))
+    return F.filter(drawn, lambda x: x.isNotNull())
 
 
 def cutoffs(found: DataFrame, fdr: float = FDR) -> dict[tuple[str, int], int]:
     """The lowest level of each (encoding, band) at which false discoveries are within ``fdr``.
 
-    With T runs in the stratum of which t pass, and d of D decoys, at most
-    T (d + 1) / (D + 1) of the t are false; the one that is added keeps strata
-    with few decoys silent. Counts come as one row per stratum and level.
+    Of D decoys d pass at the level, so a run that is no key passes with a chance
+    of r = (d + 1) / (D + 1) at most; the one that is added keeps strata with few
+    decoys silent. Of the T runs in the stratum, F pass at no level: about
+    (F + 1) / (1 - r at the loosest level) are no keys, and never more than T.
+    These, times r, are false among those that pass. A run or decoy that occurs
+    many times counts once, so copies of a name are no evidence for each other.
+    Counts come as one row per stratum and level.
     """
-    table = found.groupBy("encoding", "band", "level", "decoy").agg(F.count("*").alias("n"))
+    table = found.distinct().groupBy("encoding", "band", "level", "decoy").agg(F.count("*").alias("n"))
     runs: dict[tuple[str, int], list[int]] = {}
     made: dict[tuple[str, int], list[int]] = {}
     for r in table.collect():
         (made if r.decoy else runs).setdefault((r.encoding, r.band), [0] * (len(LEVELS) + 1))[r.level] += r.n
 
-    def pool(encoding: str, band: int) -> list[int]:
-        choices = (
-            lambda e, b: e == encoding and b == band,
-            lambda e, b: e == encoding and b <= band,
-            lambda e, b: b <= band,
-        )
-        out: list[int] = [0]
-        for fits in choices:
-            out = [sum(x) for x in zip(*(v for k, v in made.items() if fits(*k)), strict=True)] or [0]
-            if sum(out) >= ENOUGH:
-                break
-        return out
+    def rates(fits: Callable[[str, int], bool]) -> tuple[int, list[float]]:
+        of = [sum(x) for x in zip(*(v for k, v in made.items() if fits(*k)), strict=True)] or [0] * (len(LEVELS) + 1)
+        return sum(of), [(sum(of[level:]) + 1) / (sum(of) + 1) for level in range(len(LEVELS) + 1)]
 
     cuts = {}
     for key, of in runs.items():
-        others = pool(*key)
+        own = [rates(lambda e, b: (e, b) == key), rates(lambda e, b: e == key[0] and b <= key[1])]
+        # Shorter bands pass more often, so the lower of both rates is still no lower than the truth but for chance.
+        share = [min(x) for x in zip(*(r for _, r in own), strict=True)] if own[1][0] >= ENOUGH else rates(lambda e, b: b <= key[1])[1]
+        others = min(sum(of), (of[0] + 1) / (1 - share[1])) if share[1] < 1 else sum(of)
         for level in range(1, len(LEVELS) + 1):
-            t, d = sum(of[level:]), sum(others[level:])
-            if t and sum(of) * (d + 1) <= fdr * t * (sum(others) + 1):
+            t = sum(of[level:])
+            if t and others * share[level] <= fdr * t:
                 cuts[key] = level
                 break
     return cuts
@@ -336,12 +381,14 @@ def scan(docs: DataFrame, text_col: str = "text", fdr: float = FDR, base_col: st
     method's spans never overlap them, and what is left of a run beside one is
     tested on its own. Rows are scanned one by one: nulls and repeats in other
     columns don't matter, and an empty table gives an empty result. Two passes
-    over the texts, no shuffle of texts or spans.
+    over the texts and a count of rows; hashes of runs and decoys are shuffled, no
+    texts or spans.
     """
     text = text_or_empty(text_col)
-    fields = ("encoding", "band", "level", "decoy")
+    fields = ("run", "encoding", "band", "level", "decoy")
     tried = F.transform(candidates(F.col("text")), lambda x: F.struct(*(x[f].alias(f) for f in fields)))
-    found = docs.select(text.alias("text")).select(F.explode(F.concat(tried, decoys(F.col("text")))).alias("x")).select("x.*")
+    each = max(DECOYS, min(DECOYS_MOST, DECOYS_IN_ALL // max(1, docs.count())))
+    found = docs.select(text.alias("text")).select(F.explode(F.concat(tried, decoys(F.col("text"), each))).alias("x")).select("x.*")
     cuts = cutoffs(found, fdr)
     rows = docs.withColumn(base_col, base_spans(text))
 
