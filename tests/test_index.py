@@ -70,6 +70,26 @@ def test_queries_in_blocks(spark, monkeypatch):
     assert near(codes.top_k(rows, index, 2, rerank=20)) == want
 
 
+def test_candidates_are_counted_and_not_listed(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    some = lumps(150, seed=6)
+    rows = table(spark, np.concatenate([some, some[:40].repeat(3, axis=0), rng.normal(size=(30, 32))]))
+    index = codes.build(rows, cells=4, stretches=8)
+    held = []
+    monkeypatch.setattr(codes, "store", lambda df, name: held.append((name, df.count())) or df)
+    for small in (False, True):
+        if small:
+            for name, size in {"BLOCK": 40, "ASKED": 7, "CODED": 64, "BUNDLE": 16, "COUNTED": 16, "READ": 50, "SMALL": 10}.items():
+                monkeypatch.setattr(codes, name, size)
+        got = codes.top_k(rows, index, 100, rerank=60, same=False).collect()
+        assert {r.vectors_read for r in got} == {60} and len(got) == 300 * 60  # copies too are cut at the same id
+        want = want if small else near(spark.createDataFrame(got))
+        assert near(spark.createDataFrame(got)) == want
+    assert all(n <= 300 for _, n in held)  # before, all 60 candidates of each of 300 queries were stored
+    assert codes.top_k(rows, index, 3, rerank=0).count() == 0
+    assert {r.vectors_read for r in codes.top_k(rows, index, 3, rerank=1000).collect()} == {300}
+
+
 # --- Snapshots ------------------------------------------------------------------------------
 
 
