@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomstone.functions import fixed
 from loomstone.functions.fixed import SENTENCES as S
 from loomstone.functions.fixed import Domain
-from loomstone.functions.text import fill, group, has, let, lookup, unsupported_figures, word_count
+from loomstone.functions.text import fill, group, has, let, lookup, says, seen, unsupported_figures, word_count
 
 HISTORY = "array<struct<role:string,content:string>>"
 DEFAULT = Domain()
@@ -44,8 +44,8 @@ def join_names(names: Column) -> Column:
 def services(text: Column, domain: Domain = DEFAULT) -> Column:
     """Names of all services whose pattern the text matches, in the rules' order. An open-letter phrase doesn't count."""
     bare = F.regexp_replace(text, "(?iU)" + fixed.OPEN_LETTER, " ")
-    hits = [F.when(has(bare, p.replace("{brand}", re.escape(domain.brand))), F.lit(name)) for name, p in fixed.SERVICES]
-    return F.array_compact(F.array(*hits))
+    hits = lambda t: F.array(*(F.when(says(t, p.replace("{brand}", re.escape(domain.brand))), F.lit(name)) for name, p in fixed.SERVICES))
+    return F.array_compact(let(seen(bare), hits))
 
 
 def previous_services(history: Column, domain: Domain = DEFAULT) -> Column:
@@ -69,7 +69,7 @@ def cities(text: Column) -> Column:
 
 def first_match(text: Column, rules: list[tuple[str, Column]]) -> Column:
     """The value of the first rule, in order, whose pattern the text matches."""
-    return one_of([(has(text, pattern), value) for pattern, value in rules])
+    return let(seen(text), lambda t: one_of([(says(t, pattern), value) for pattern, value in rules]))
 
 
 def german_name(brand: Column, model: Column) -> Column:
@@ -234,9 +234,13 @@ def detect(message: Column, history: Column | None = None, domain: Domain = DEFA
     A message of at most ten words that names no service takes those of the
     newest earlier question that does; what it asks about is its own.
     """
+    return let(message, lambda m: _detect(m, history, domain))
+
+
+def _detect(message: Column, history: Column | None, domain: Domain) -> Column:
     own = services(message, domain)
     if history is not None:
-        earlier = F.when((F.size(own) == 0) & (word_count(message) <= 10), previous_services(history, domain)).otherwise(own)
+        earlier = let(own, lambda s: F.when((F.size(s) == 0) & (word_count(message) <= 10), previous_services(history, domain)).otherwise(s))
     else:
         earlier = own
     read = F.struct(

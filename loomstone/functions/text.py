@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstone.functions import fixed
+from loomstone.functions.literals import factors
 
 #: Case-insensitive and Unicode-aware, as the rules are meant.
 CI = "(?iU)"
@@ -31,12 +34,29 @@ def has(text: Column, pattern: str) -> Column:
     return text.rlike(CI + pattern)
 
 
+def seen(text: Column) -> Column:
+    """struct<text, low>: a text to be asked for many patterns; ``low`` in small letters, null if it isn't all ASCII."""
+    return F.struct(text.alias("text"), F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).alias("low"))
+
+
+def says(t: Column, pattern: str) -> Column:
+    """As ``has`` of a text ``seen``: the pattern is tried only where a literal that it demands occurs, or beyond ASCII."""
+    known = [F.contains(t["low"], F.lit(f)) for f in factors(pattern)]
+    found = has(t["text"], pattern)
+    return F.coalesce(reduce(or_, known), F.lit(True)) & found if known else found
+
+
 def group(text: Column, pattern: str, n: int = 1) -> Column:
     """Group ``n`` of the first match, null where there is none."""
     found = F.regexp_extract(text, CI + pattern, n)
     return F.when(found != "", found)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over all cores: for long work on each row of a table that is one small file."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 

@@ -344,7 +344,8 @@ def detect_facts(spark, sf_dir):
     """Facts of a question made of every part's size and name; too long for SQL, tested by goldens."""
     asked = text.fill("Inspection and Sell It For Me fee for my {cc}cc {name} in Lahore or Quetta?", cc=(F.col("p_size") * 50).cast("string"), name=F.col("p_name"))
     found = F.transform(facts.detect(asked), lambda f: F.concat_ws(": ", f["service"], f["text"]))
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(found, "\n").alias("facts"))
+    parts = text.spread(read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name"), "p_partkey")
+    return parts.select("p_partkey", F.array_join(found, "\n").alias("facts"))
 
 
 # --- Guard: an order's amount is the answer, the customer's earlier orders are the sources ---------------

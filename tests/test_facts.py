@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.functions import facts
+from loomstone import catalog
+from loomstone.functions import facts, fixed, text
 from loomstone.functions.fixed import FACT_HEADER, Domain
 
 DOMAIN = Domain(brand="Carhub", site="carhub.example", helpline="111")
@@ -108,3 +109,19 @@ def test_guard_keeps_the_verified_answers_own_figures(spark):
     df = df.withColumn("c", facts.build_context(F.col("f"), F.lit("KB"))).withColumn("a", F.element_at("f", 1)["text"])
     r = df.select("a", "c", facts.guard(F.col("a"), F.col("c"), F.col("q")).alias("g"), facts.strip_fact_block(F.col("c")).alias("s")).first()
     assert r.g == r.a and r.c.startswith(FACT_HEADER) and r.s == "KB"
+
+
+def test_patterns_are_tried_only_where_their_literals_occur(spark):
+    said = ["my HONDA CITY", "a hondacity", "\u017fuzuki alto", "Su\u017e alto", "B\u004dW, Aud\u0130", "nis\u017fan note", "\u212ahyber", "suzuki \u212ahyber", "", None, "caf\u00e9 wagon r", "wagonr", "x-trail", "XTRAIL"]
+    rows = spark.createDataFrame([(x,) for x in said], "t string")
+    tried = lambda p: text.let(text.seen(F.col("t")), lambda t: text.says(t, p))
+    cols = [F.struct(text.has(F.col("t"), p).alias("a"), tried(p).alias("b")) for p in [p for p, *_ in fixed.CARS] + ["a*", "(?:b|c*)"]]
+    for r in rows.select("t", F.array(*cols).alias("c")).collect():
+        assert [x.a for x in r.c] == [x.b for x in r.c], r.t
+    plan = rows.select(facts.vehicle(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("contains(") >= 80  # before, every pattern was tried on every text
+
+
+@pytest.mark.parametrize("name", ["detect_facts"])
+def test_long_work_on_a_small_file_is_dealt_over_cores(spark, testdata, name):
+    assert catalog.QUERIES[name](spark, testdata).rdd.getNumPartitions() >= 4  # before, one task a file
