@@ -240,7 +240,8 @@ def placeholder_clean(spark, sf_dir):
     asked = F.concat(F.lit("Order ORD-"), key, F.lit(" of {{Forgot Password}} for {{ live chat support }}"))
     given = F.lit("Dear customer, the {{Order Number}} goes to {{Delivery City}}; {{Forgot Password}} or {{Live Chat Support}} at our {{Website URL}}.")
     a, b = text.clean_pair(asked, given, F.col("c_custkey"))
-    return read(spark, sf_dir, "customer").select("c_custkey", a.alias("instruction"), b.alias("response"))
+    customers = text.spread(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return customers.select("c_custkey", a.alias("instruction"), b.alias("response"))
 
 
 @query(r"""
@@ -523,7 +524,8 @@ def slot_fill(spark, sf_dir):
     asked = F.lit("Where is {{Order Number}} for {{Person Name}}?")
     given = F.lit("Order {{order number}} of {{ Person Name }} goes to {{Delivery City}}, {{Order Number}} it is.")
     a, b = text.clean_pair(asked, given, F.col("c_custkey"))
-    return read(spark, sf_dir, "customer").select("c_custkey", a.alias("instruction"), b.alias("response"))
+    customers = text.spread(read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+    return customers.select("c_custkey", a.alias("instruction"), b.alias("response"))
 
 
 def guarded(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,7 +116,7 @@ def account_tier(spark, sf_dir):
     """The tier that the instruction names in words fills the response's slot; without one the account is new."""
     asked = F.concat(F.lit("open my"), pick([" pro", " GOLD", ""], F.col("c_custkey")), F.lit(" account"))
     a, b = text.clean_pair(asked, F.lit("Your {{Account Type}} account is open."), F.col("c_custkey"))
-    return read(spark, sf_dir, "customer").select("c_custkey", a.alias("instruction"), b.alias("response"))
+    return text.spread(read(spark, sf_dir, "customer"), "c_custkey").select("c_custkey", a.alias("instruction"), b.alias("response"))
 
 
 @query("SELECT p_partkey, p_name || ' of x costs ' || p_size || ' {y}' AS text FROM part")
