@@ -363,7 +363,7 @@ GUARD = """
 def told(spark: SparkSession, rows: DataFrame, key: str) -> DataFrame:
     """(key, answer): the sentences of the facts found in ``question``."""
     found = facts.detect(F.col("question"), None, FACT_DOMAIN)
-    return rows.select(key, F.array_join(F.transform(found, lambda f: f["text"]), " ").alias("answer"))
+    return text.spread(rows, key).select(key, F.array_join(F.transform(found, lambda f: f["text"]), " ").alias("answer"))
 
 
 FACT_DOMAIN = fixed.Domain(brand="Carhub", site="carhub.example", helpline="111")

@@ -30,7 +30,7 @@ def cities_named(spark, sf_dir):
     """Usual names of three places that a question writes in its own way, each once, in the question's order."""
     key, names = F.col("c_custkey"), list(PLACES)
     asked = text.fill("from {a} via {b} to {c}", a=pick(names, key), b=pick(names, F.floor(key / N)), c=pick(names, F.col("c_nationkey")))
-    return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(facts.cities(asked), ",").alias("cities"))
+    return text.spread(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select("c_custkey", F.array_join(facts.cities(asked), ",").alias("cities"))
 
 
 COMMISSION_PARTS = {
@@ -64,7 +64,7 @@ def carried_services(spark, sf_dir):
     asked = F.concat(pick(list(ASKS.values()), F.col("c_nationkey")), F.lit("Quetta"))
     told = F.array(turn("user", "auction sheet of a car"), turn("user", asked), turn("assistant", "transfer?"), turn("user", "thanks a lot"))
     found = facts.detect(F.when(F.col("c_custkey") % 4 == 0, long).otherwise(short), told, FACT_DOMAIN)
-    return read(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.transform(found, lambda f: f["text"]), " ").alias("answer"))
+    return text.spread(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select("c_custkey", F.array_join(F.transform(found, lambda f: f["text"]), " ").alias("answer"))
 
 
 @query(f"""
@@ -76,7 +76,7 @@ def verified_rows(spark, sf_dir):
     """Training rows whose answer holds the verified facts, or is replaced by them; the facts lead the context."""
     key = F.col("c_custkey")
     asked = F.when(key % 5 == 0, F.lit("hello there")).otherwise(F.concat(pick(list(ASKS.values()), F.col("c_nationkey")), pick(list(PLACES), key)))
-    rows = read(spark, sf_dir, "customer").select("c_custkey", asked.alias("instruction"))
+    rows = text.spread(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").select("c_custkey", asked.alias("instruction"))
     truth = F.array_join(F.transform(facts.detect(F.col("instruction"), None, FACT_DOMAIN), lambda f: f["text"]), " ")
     rows = rows.withColumn("response", F.concat(F.lit("Sure. "), F.when(key % 2 == 0, truth).otherwise(F.lit(""))))
     rows = rows.withColumn("context", F.when(key % 3 > 0, text.fill("section {k}", k=key.cast("string")))).withColumn("history", F.array().cast(facts.HISTORY))

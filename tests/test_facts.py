@@ -122,6 +122,6 @@ def test_patterns_are_tried_only_where_their_literals_occur(spark):
     assert plan.lower().count("contains(") >= 80  # before, every pattern was tried on every text
 
 
-@pytest.mark.parametrize("name", ["slot_fill", "account_tier", "detect_facts"])
+@pytest.mark.parametrize("name", ["slot_fill", "account_tier", "fact_verdict", "carried_services", "verified_rows", "detect_facts"])
 def test_long_work_on_a_small_file_is_dealt_over_cores(spark, testdata, name):
     assert catalog.QUERIES[name](spark, testdata).rdd.getNumPartitions() >= 4  # before, one task a file
