@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstone.operators import retrieval
+from loomstone.operators import gates, retrieval
 from loomstone.sources.shared import store
 from loomstone.sources.snapshots import Snapshots
 
@@ -76,21 +76,41 @@ class Segments:
         one = named.groupBy("doc_id").agg(F.max("text").alias("text")).withColumn("doc_digest", _digest(F.col("text")))
         known = self.documents().withColumnRenamed("doc_digest", "old")
         changed = store(one.join(known, "doc_id", "left").where("old is null or old != doc_digest"), "changed")
-        cut = self.chunks(changed.select("doc_id", "text")).select(F.col("id").alias("doc_id"), F.col("chunk_no").cast("int").alias("chunk_no"), F.col("chunk").alias("text"))
-        empty = changed.join(cut.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(-1).alias("chunk_no"), F.lit(None).cast("string").alias("text"))
+        # The document's digest goes with its id: chunks needn't be joined with their documents.
+        cut = self.chunks(changed.select(F.concat("doc_digest", "doc_id").alias("doc_id"), "text"))
+        cut = cut.select(F.expr("substring(id, 65)").alias("doc_id"), F.substring("id", 1, 64).alias("doc_digest"), F.col("chunk_no").cast("int").alias("chunk_no"), F.col("chunk").alias("text"))
+        empty = changed.join(cut.select("doc_id").distinct(), "doc_id", "left_anti")
+        empty = empty.select("doc_id", "doc_digest", F.lit(-1).alias("chunk_no"), F.lit(None).cast("string").alias("text"))
         rows = store(cut.unionByName(empty).withColumn("digest", F.when(F.col("text").isNotNull(), _digest(F.col("text")))), "chunks")
-        texts = rows.where("digest is not null").groupBy("digest").agg(F.first("text").alias("text"))
-        held = self._part("segments", SEGMENT, None).where("digest is not null").select("digest", "embedding").dropDuplicates(["digest"])
-        reused = held.join(texts.select("digest"), "digest", "left_semi")
-        new = texts.join(held.select("digest"), "digest", "left_anti").select("digest", self.embed(F.col("text")).cast("array<double>").alias("embedding"))
-        vectors = store(reused.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True))), "vectors")
-        segment = rows.join(vectors.drop("new"), "digest", "left").join(changed.select("doc_id", "doc_digest"), "doc_id")
+        segment, embedded = self._embedded(rows)
         segment = segment.withColumn("seq", F.lit(seq)).select(*(c.split()[0] for c in SEGMENT.split(", ")))
         stones = changed.where("old is not null").select("doc_id", F.lit(seq).cast("long").alias("seq"))
-        counts = {"changed": changed.count(), "chunks": rows.where("digest is not null").count(), "embedded": vectors.where("new").count()}
+        counts = {"changed": changed.count(), "chunks": rows.where("digest is not null").count(), "embedded": embedded}
         self._commit(now, counts, segments=segment, tombstones=stones)
         return counts
 
+    def _embedded(self, rows: DataFrame) -> tuple[DataFrame, int]:
+        """Stored chunks with their embedding, and how many texts had to be embedded.
+
+        Only digests are shuffled to see which texts come twice or are held. The chunks
+        of all others, which a filter tells, are embedded where they are read; the rest
+        is joined by digest.
+        """
+        with_vector = lambda df: df.withColumn("embedding", self.embed(F.col("text")).cast("array<double>"))
+        held = self._part("segments", SEGMENT, None).where("digest is not null")
+        times = rows.where("digest is not null").groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "chunk_no")).alias("first"))
+        known = times.join(held.select("digest").distinct().withColumn("held", F.lit(True)), "digest", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+        shared = store(known.where("n > 1 or held").select("digest", "first", "held"), "shared")
+        maybe, alone = gates.Gate(shared, "digest").parted(rows, F.array("digest"))
+        met = maybe.join(shared, "digest", "left").withColumn("new", F.coalesce(~F.col("held") & (F.col("first") == F.struct("doc_id", "chunk_no")), F.lit(True)))
+        met = store(met.drop("first", "held"), "met")
+        first = store(with_vector(met.where("new").drop("new")), "first")
+        old = held.select("digest", "embedding").join(shared.where("held").select("digest"), "digest", "left_semi")
+        vectors = first.select("digest", "embedding").unionByName(old).dropDuplicates(["digest"])
+        again = met.where("not new").drop("new").join(vectors, "digest")
+        single, none = alone.where("digest is not null"), rows.where("digest is null").withColumn("embedding", F.lit(None).cast("array<double>"))
+        return with_vector(single).unionByName(first).unionByName(again).unionByName(none), single.count() + first.count()
+
     def delete(self, ids: DataFrame) -> dict:
         """Documents of these ids (doc_id) go; unknown ids and nulls don't matter."""
         now = self.log.entry()

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstone.operators import codes, retrieval, segments
+from loomstone.sources.shared import store
 from loomstone.sources.snapshots import Drift, Snapshots
 
 # --- Coded index ---------------------------------------------------------------------------
@@ -230,3 +231,16 @@ def test_tombstones_beyond_a_broadcast(spark, index, monkeypatch):
     index.upsert(docs(spark, a="camera", b="drone"))
     index.upsert(docs(spark, a="laptop"))
     assert held(index) == [("a", 0, "laptop"), ("b", 0, "drone")]
+
+
+def test_texts_that_come_once_are_not_shuffled(spark, index, monkeypatch):
+    moved = []
+    monkeypatch.setattr(segments, "store", lambda df, name: moved.append((name, store(df, name))) or moved[-1][1])
+    texts = {f"d{i}": f"camera {i}" for i in range(30)} | {"same": "camera 3", "again": "camera 3", "none": ""}
+    assert index.upsert(docs(spark, **texts)) == {"changed": 33, "chunks": 33, "embedded": 31}
+    assert [x.count() for n, x in moved if n == "met"][0] < 10  # before, all chunks were joined by their digests
+    assert held(index) == sorted((k, 0, v) for k, v in texts.items())
+    assert index.upsert(docs(spark, new="camera 3", other="camera 99"))["embedded"] == 1
+    want = {r.text: r.embedding for r in index.live().where("text is not null").select("text", index.embed(F.col("text")).alias("embedding")).collect()}
+    got = index.live().where("text is not null").collect()
+    assert len(got) == 35 and all(r.embedding == want[r.text] for r in got)
