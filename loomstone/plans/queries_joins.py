@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import fixed
 from loomstone.functions.text import question_key
-from loomstone.operators import bands, patterns, splits
+from loomstone.operators import bands, gates, patterns, splits
 from loomstone.plans.queries import PAIRS, query, questions, read
 from loomstone.sources.shared import store
 
@@ -78,7 +78,11 @@ def gated_split(spark, sf_dir):
     words = read(spark, sf_dir, "documents").where("text is not null").select(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("w"))
     pairs = words.select(F.explode(F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get("w", i + 1)))).alias("key"))
     own = rows.select(question_key(F.col("instruction")).alias("key")).where(F.substring(F.md5("key"), 1, 1).isin("0", "1", "2", "3", "4"))
-    held = store(pairs.unionByName(own).distinct(), "held")
+    # A pair that no question is holds none out: a filter of the questions' keys leaves these before anything is grouped.
+    told = F.transform("history", lambda m: question_key(m["content"]))
+    asked = rows.select(F.explode(F.concat(F.array(question_key(F.col("instruction"))), told)).alias("key")).distinct()
+    met, _ = gates.Gate(store(asked, "asked")).parted(pairs, F.array("key"))
+    held = store(met.unionByName(own).distinct(), "held")
     train, test = splits.hold_out(rows, held)
     side = lambda rows, name: rows.select("conv_id", "turn", F.lit(name).alias("side"))
     return side(train, "train").unionByName(side(test, "test"))

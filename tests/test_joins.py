@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from loomstone.functions import fixed
 from loomstone.operators import bands, gates, patterns, rules, splits
+from loomstone.plans import queries_joins
+from loomstone.sources.shared import store
 
 # --- Patterns -----------------------------------------------------------------------------------
 
@@ -142,3 +144,10 @@ def test_first_match_join_of_rule_tables_still_agrees(spark):
     known = spark.createDataFrame([("blue", "thing", 2), ("bolt", "bolt", 1)], "pattern string, value string, priority int")
     got = {r.k: r.value for r in rules.first_match_join(rows, known, "t", "k").collect()}
     assert got == {r.k: r.value for r in patterns.first_match(rows, known, "t").collect()} == {1: "bolt", 2: None}
+
+
+def test_only_pairs_that_may_be_questions_are_grouped(spark, testdata, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(queries_joins, "store", lambda df, name: kept.setdefault(name, store(df, name)))
+    queries_joins.gated_split(spark, testdata)
+    assert kept["held"].count() < 2 * kept["asked"].count() + 100  # before, all pairs of words of all documents
